@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from series_rank.config import Bounds
+from series_rank.functions.text import SeriesFormat
 from series_rank.operators.points import as_points
 
 REGIMES = ["A", "N", "R"]
+LANDED_REGIMES = ["200000", "500000", "1000000"]
+BOUNDS = [Bounds("attr_a", 500.0, 9000.0), Bounds("attr_b", 2.0, 22.0)]
+LAYOUT = SeriesFormat()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def supplier_points(spark: SparkSession, sf_dir: str, entity: str = "l_suppkey") -> DataFrame:
+def supplier_points(
+    spark: SparkSession, sf_dir: str, entity: str = "l_suppkey", y: Column | None = None, d: Column | None = None
+) -> DataFrame:
     """Shipments of a supplier (or part, or order) by return flag, in date order."""
     li = table(spark, sf_dir, "lineitem")
     return as_points(
@@ -23,7 +30,77 @@ def supplier_points(spark: SparkSession, sf_dir: str, entity: str = "l_suppkey")
         regime=F.col("l_returnflag"),
         order=[F.col(c) for c in ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")],
         x=F.datediff("l_shipdate", F.lit("1995-07-01").cast("date")),
-        y=F.col("l_extendedprice") - 20000,
-        d=F.col("l_extendedprice") / F.col("l_quantity"),
+        y=F.col("l_extendedprice") - 20000 if y is None else y,
+        d=F.col("l_extendedprice") / F.col("l_quantity") if d is None else d,
         m=F.col("l_tax") - 0.04,
     )
+
+
+def supplier_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Balance (missing where negative) and nation of each supplier."""
+    return table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("entity"),
+        F.when(F.col("s_acctbal") >= 0, F.col("s_acctbal")).alias("attr_a"),
+        F.col("s_nationkey").cast("double").alias("attr_b"),
+    )
+
+
+def landed_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three series per embedding, as arrays of whole numbers: one row per (vector, regime).
+
+    y is the vector in millionths, rotated by 21 places per regime; x counts from
+    -16; d and m follow from place and value.
+    """
+    vectors = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id"),
+        F.expr("transform(embedding, v -> cast(floor(cast(v as double) * 1000000) as bigint))").alias("v"),
+        F.expr("posexplode(array('200000', '500000', '1000000'))").alias("k", "regime"),
+    )
+    rotated = vectors.withColumn("y", F.expr("transform(v, (u, i) -> v[(i + 21 * k) % size(v)])"))
+    return rotated.select(
+        F.col("vec_id"),
+        F.col("vec_id").cast("string").alias("entity"),
+        "regime",
+        F.expr("transform(y, (u, i) -> cast(i - 16 as bigint))").alias("x"),
+        "y",
+        F.expr("transform(y, (u, i) -> 1000 + 10 * i + abs(u) % 97)").alias("d"),
+        F.expr("transform(y, (u, i) -> y[(i + 7) % size(y)])").alias("m"),
+    )
+
+
+def landed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every series above written out as a landed file, with damage of each kind.
+
+    Some lines get an extra cell, some lose their last two, some cells read n/a,
+    some are quoted; some files miss a header key or a required column; some
+    files, and all files of some vectors, are absent.
+    """
+    s = landed_series(spark, sf_dir)
+    row = """
+        concat_ws(',', cast(x[i] as string),
+          if(i % 9 = 4, concat('"', cast(u as string), '"'), cast(u as string)),
+          if(vec_id % 5 = 2 and (vec_id * 7 + i) % 29 = 11, 'n/a', cast(d[i] as string)),
+          cast(i as string), cast(m[i] as string),
+          if((vec_id + i) % 17 = 3, null, '0.5'), if((vec_id + i) % 17 = 3, null, '1.'),
+          if((vec_id + i) % 13 = 5, 'extra', null))
+    """
+    header = """
+        concat_ws('\n', 'Landed series', concat('Key,', entity, '-', regime), concat('Airfoil,', entity),
+          concat('Reynolds number,', regime), 'Ncrit,9', 'Mach,0',
+          if(vec_id % 11 = 4, 'Other,1', concat('Max Cl/Cd,', cast(array_max(y) as string))),
+          concat('Max Cl/Cd alpha,', cast(vec_id % 16 as string)), 'Url,a,b', '',
+          if(vec_id % 19 = 6, 'Alpha,Cl,Cd,Cdp,Cm,Top_Xtr', 'Alpha,Cl,Cd,Cdp,Cm,Top_Xtr,Bot_Xtr'))
+    """
+    present = "vec_id % 31 <> 9 and not (vec_id % 23 = 8 and regime = '1000000')"
+    return s.where(present).select(
+        "entity",
+        "regime",
+        F.expr(f"concat({header}, '\n', array_join(transform(y, (u, i) -> {row}), '\n'), '\n')").alias("raw"),
+    )
+
+
+def landed_work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The work list: every vector, described by its label."""
+    return table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").cast("string").alias("entity"), F.concat(F.lit("label "), F.col("label").cast("string")).alias("desc")
+    )

@@ -33,13 +33,32 @@ class ColumnStats:
     total: float | None
 
 
+def number(value: float) -> str:
+    """A double as SQL text that reads back as the same double."""
+    return f"({float(value)!r}D)"
+
+
+def name(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
 def long_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(i, v): every value with the number of its column."""
-    return df.select(F.posexplode(F.array(*(F.col(c).cast("double") for c in columns))).alias("i", "v"))
+    values = ", ".join(f"cast({name(c)} as double)" for c in columns)
+    return df.select(F.expr(f"posexplode(array({values}))").alias("i", "v"))
 
 
 def literal_array(values: Sequence[float]) -> Column:
-    return F.array(*(F.lit(v) for v in values))
+    return F.expr(f"array({', '.join(map(number, values))})")
+
+
+def linear(columns: Sequence[str], centres: Sequence[float], factors: Sequence[float]) -> Column:
+    """Sum of (column - centre) * factor, as one SQL expression.
+
+    Text, because a wide sum built from Column objects takes seconds of calls
+    between Python and the JVM before anything runs.
+    """
+    return F.expr(" + ".join(f"({name(c)} - {number(m)}) * {number(w)}" for c, m, w in zip(columns, centres, factors)))
 
 
 def column_stats(df: DataFrame, columns: Sequence[str]) -> dict[str, ColumnStats]:
@@ -135,17 +154,16 @@ class ScaledModel:
 
         Range, share and weight of a column fold into one factor.
         """
-        terms = {}
+        terms = []
         for c, w in self.weights.items():
-            factor = w / self.stats[c].total
-            r = self.ranges[c]
-            span, above = r.high - r.low, F.col(c) - F.lit(r.low)
+            factor, r = w / self.stats[c].total, self.ranges[c]
+            above = f"({name(c)} - {number(r.low)})"
             if c in self.inverted:
-                at_low, value = factor / self.replacement[c], F.lit(factor * span) / above
+                at_low, value = factor / self.replacement[c], f"{number(factor * (r.high - r.low))} / {above}"
             else:
-                at_low, value = factor * self.replacement[c], above * F.lit(factor / span)
-            terms[c] = F.when(above == 0, F.lit(at_low)).otherwise(value)
-        return weighted_sum(terms, dict.fromkeys(terms, 1.0))
+                at_low, value = factor * self.replacement[c], f"{above} * {number(factor / (r.high - r.low))}"
+            terms.append(f"if({above} = 0, {number(at_low)}, {value})")
+        return F.expr(" + ".join(terms))
 
 
 def fit_scaled(
@@ -163,11 +181,11 @@ def fit_scaled(
     at = F.col("i") + 1
     lows = literal_array([ranges[c].low for c in kept])
     factors = literal_array([1.0 / (ranges[c].high - ranges[c].low) for c in kept])
-    flags = literal_array([c in inverted for c in kept])
+    flags = literal_array([c in inverted for c in kept])  # 1.0 where inverted
     scaled = long_values(df, kept).select(
         "i",
         ((F.col("v") - F.element_at(lows, at)) * F.element_at(factors, at)).alias("v"),
-        F.element_at(flags, at).alias("inverted"),
+        (F.element_at(flags, at) == 1.0).alias("inverted"),
     )
     rest = scaled.where(F.col("v") != 0)
     value = F.when(F.col("inverted"), F.lit(1.0) / F.col("v")).otherwise(F.col("v"))

@@ -15,10 +15,9 @@ import numpy as np
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from series_rank.functions.stats import EPSILON, ColumnStats, column_stats, usable_columns, zscore
+from series_rank.functions.stats import EPSILON, ColumnStats, column_stats, linear, name, number, usable_columns
 
 NEAR = 1e-8  # distances below this make factor counts or orders unreliable
 
@@ -48,11 +47,10 @@ class FactorModel:
 
     def _linear(self, coefficients: Sequence[float]) -> Column:
         # z-score and weight of a column fold into one factor
-        total = F.lit(0.0)
-        for c, w in zip(self.columns, coefficients):
-            s = self.stats[c]
-            total = total + (F.col(c) - F.lit(s.mean)) * F.lit(float(w) / (s.std + EPSILON))
-        return total
+        stats = [self.stats[c] for c in self.columns]
+        return linear(
+            self.columns, [s.mean for s in stats], [float(w) / (s.std + EPSILON) for w, s in zip(coefficients, stats)]
+        )
 
     def scores(self) -> dict[str, Column]:
         """Regression scores; for retained factors these are z . v / sqrt(eigenvalue)."""
@@ -77,9 +75,10 @@ class FactorModel:
         return spark.createDataFrame(rows, "feature string, factor long, loading double")
 
 
-def _vectors(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+def _vectors(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+    """One vector column from the given SQL expressions."""
     assembler = VectorAssembler(inputCols=list(columns), outputCol="_v")
-    return assembler.transform(df.select(*(c.alias(n) for n, c in columns.items()))).select("_v")
+    return assembler.transform(df.selectExpr(*(f"{e} as {name(n)}" for n, e in columns.items()))).select("_v")
 
 
 def factor_count(eigenvalues: np.ndarray, cap: int) -> int:
@@ -94,7 +93,7 @@ def fit_factors(df: DataFrame, columns: Sequence[str], cap: int, on_constant: st
         raise ValueError("no columns to factor")
     stats = column_stats(df, columns)
     kept_columns = usable_columns(stats, on_constant)
-    z = {c: zscore(c, stats[c]) for c in kept_columns}
+    z = {c: f"({name(c)} - {number(stats[c].mean)}) * {number(1.0 / stats[c].std)}" for c in kept_columns}
     model = PCA(k=len(kept_columns), inputCol="_v", outputCol="_pc").fit(_vectors(df, z))
     p = len(kept_columns)
     eigenvalues = np.asarray(model.explainedVariance.toArray()) * p
@@ -108,7 +107,7 @@ def fit_factors(df: DataFrame, columns: Sequence[str], cap: int, on_constant: st
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
     """p x p Pearson correlation, computed over the rows by MLlib."""
-    matrix = Correlation.corr(_vectors(df, {c: F.col(c) for c in columns}), "_v").head()[0]
+    matrix = Correlation.corr(_vectors(df, {c: name(c) for c in columns}), "_v").head()[0]
     return np.asarray(matrix.toArray())
 
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from series_rank.functions.stats import column_stats, normalised, usable_columns, weighted_sum, zscore
+from series_rank.functions.stats import column_stats, linear, normalised, usable_columns
 from series_rank.operators.ranking import global_rank, topk
 from series_rank.operators.wide import direction_split
 
@@ -54,8 +54,9 @@ def rank_zscore_weighted(
     stats = column_stats(pool, columns)
     kept = usable_columns(stats, on_constant)
     low = set(direction_split(columns)[0] if lower is None else lower)
-    terms = {c: -zscore(c, stats[c]) if c in low else zscore(c, stats[c]) for c in kept}
-    scored = pool.withColumn(score, weighted_sum(terms, normalised({c: weights[c] for c in kept})))
+    share = normalised({c: weights[c] for c in kept})
+    signed = [(-share[c] if c in low else share[c]) / stats[c].std for c in kept]
+    scored = pool.withColumn(score, linear(kept, [stats[c].mean for c in kept], signed))
     return global_rank(scored, score, rank, ascending=False)
 
 
