@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from series_rank.config import Bounds
 from series_rank.functions.text import SeriesFormat
 from series_rank.operators.points import as_points
+from series_rank.session import materialize
 
 REGIMES = ["A", "N", "R"]
 LANDED_REGIMES = ["200000", "500000", "1000000"]
@@ -57,7 +58,7 @@ def landed_series(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("posexplode(array('200000', '500000', '1000000'))").alias("k", "regime"),
     )
     rotated = vectors.withColumn("y", F.expr("transform(v, (u, i) -> v[(i + 21 * k) % size(v)])"))
-    return rotated.select(
+    series = rotated.select(
         F.col("vec_id"),
         F.col("vec_id").cast("string").alias("entity"),
         "regime",
@@ -66,6 +67,7 @@ def landed_series(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("transform(y, (u, i) -> 1000 + 10 * i + abs(u) % 97)").alias("d"),
         F.expr("transform(y, (u, i) -> y[(i + 7) % size(y)])").alias("m"),
     )
+    return materialize(series, "landed-series")
 
 
 def landed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,11 +94,12 @@ def landed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
           if(vec_id % 19 = 6, 'Alpha,Cl,Cd,Cdp,Cm,Top_Xtr', 'Alpha,Cl,Cd,Cdp,Cm,Top_Xtr,Bot_Xtr'))
     """
     present = "vec_id % 31 <> 9 and not (vec_id % 23 = 8 and regime = '1000000')"
-    return s.where(present).select(
+    texts = s.where(present).select(
         "entity",
         "regime",
         F.expr(f"concat({header}, '\n', array_join(transform(y, (u, i) -> {row}), '\n'), '\n')").alias("raw"),
     )
+    return materialize(texts, "landed-texts")
 
 
 def landed_work(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import argparse
 import glob
 import os
 import sys
+import threading
 import time
 
 import duckdb
@@ -27,11 +28,12 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
-def canonical(df: pd.DataFrame) -> pd.DataFrame:
+def canonical(df: pd.DataFrame) -> dict[str, list]:
+    """Columns by name, rows sorted, missing values as None."""
     df = df[sorted(df.columns)]
-    df = df.astype(object).where(df.notna(), None)
-    rows = sorted((tuple(r) for r in df.itertuples(index=False)), key=lambda r: tuple((v is None, str(type(v)), v if v is not None else 0) for v in r))
-    return pd.DataFrame(rows, columns=df.columns)
+    cells = ([None if pd.isna(v) else v for v in df[c].tolist()] for c in df.columns)
+    rows = sorted(zip(*cells), key=lambda r: tuple((v is None, str(type(v)), v if v is not None else 0) for v in r))
+    return {c: list(v) for c, v in zip(df.columns, zip(*rows))}
 
 
 def difference(got: pd.DataFrame, want: pd.DataFrame) -> str | None:
@@ -40,10 +42,10 @@ def difference(got: pd.DataFrame, want: pd.DataFrame) -> str | None:
         return f"columns {sorted(got.columns)} != {sorted(want.columns)}"
     if len(got) != len(want):
         return f"{len(got)} rows != {len(want)} rows"
-    got, want = canonical(got), canonical(want)
     if not len(got):
         return "no rows"
-    for c in got.columns:
+    got, want = canonical(got), canonical(want)
+    for c in got:
         bad = [(i, a, b) for i, (a, b) in enumerate(zip(got[c], want[c])) if a != b or (type(a) is not type(b) and isinstance(a, bool))]
         if bad:
             return f"column {c}: {len(bad)} differ, first {bad[0]}"
@@ -53,6 +55,7 @@ def difference(got: pd.DataFrame, want: pd.DataFrame) -> str | None:
 def main() -> int:
     parser = argparse.ArgumentParser()
     parser.add_argument("--sf", default="/root/testdata/sf0.01")
+    parser.add_argument("--limit", type=float, default=60.0, help="seconds for one SQL statement")
     parser.add_argument("names", nargs="*")
     args = parser.parse_args()
     spark = get_session("compare", "local[8]", 8)
@@ -66,12 +69,17 @@ def main() -> int:
             got = df.toPandas()
             took = time.time() - start
             if name not in ORACLES:
-                print(f"ROWS {name} {len(got)} rows {took:.1f}s", flush=True)
+                print(f"\nROWS {name} {len(got)} rows {took:.1f}s", flush=True)
                 continue
             start = time.time()
-            result = con.execute(ORACLES[name])
-            types = {d[0]: str(d[1]) for d in result.description}
-            want = result.fetchdf()
+            stop = threading.Timer(args.limit, con.interrupt)
+            stop.start()
+            try:
+                result = con.execute(ORACLES[name])
+                types = {d[0]: str(d[1]) for d in result.description}
+                want = result.fetchdf()
+            finally:
+                stop.cancel()
             why = difference(got, want)
             kinds = {c: (t, types[c]) for c, t in df.dtypes if c in types and not same_kind(t, types[c])}
             if kinds and not why:
@@ -79,7 +87,7 @@ def main() -> int:
         except Exception as error:  # report and go on with the other queries
             why, took = f"{type(error).__name__}: {str(error)[:600]}", time.time() - start
         failed += why is not None
-        print(f"{'FAIL' if why else 'ok'} {name} {took:.1f}s/{time.time() - start:.1f}s {why or len(got)}", flush=True)
+        print(f"\n{'FAIL' if why else 'ok'} {name} {took:.1f}s/{time.time() - start:.1f}s {why or len(got)}", flush=True)
     print(f"{failed} failed")
     return 1 if failed else 0
 

@@ -28,7 +28,7 @@ def fls(*names: str) -> str:
 
 
 def points(entity: str = "l_suppkey", y: str = "l_extendedprice - 20000", d: str = "l_extendedprice / l_quantity") -> str:
-    return f"""pts AS (
+    return f"""pts AS MATERIALIZED (
   SELECT {entity} AS entity, l_returnflag AS regime,
     row_number() OVER (PARTITION BY {entity}, l_returnflag
       ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS pos,
@@ -37,7 +37,7 @@ def points(entity: str = "l_suppkey", y: str = "l_extendedprice - 20000", d: str
   FROM lineitem)"""
 
 
-EVENT_POINTS = """pts AS (
+EVENT_POINTS = """pts AS MATERIALIZED (
   SELECT user_id AS entity, event_type AS regime,
     row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) - 1 AS pos,
     CAST(event_id - 500 AS DOUBLE) AS x, value - 5 AS y, value + 1 AS d,
@@ -48,17 +48,17 @@ EVENT_POINTS = """pts AS (
 def vector_points(extra: str = "") -> str:
     """The series made of each embedding, three regimes rotated by 21 places."""
     return f"""vec AS (
-  SELECT vec_id, unnest([0, 1, 2]) AS k, list_transform(embedding, v -> CAST(floor(CAST(v AS DOUBLE) * 1000000) AS BIGINT)) AS v
+  SELECT vec_id, unnest([0, 1, 2]) AS k, list_transform(embedding, lambda v: CAST(floor(CAST(v AS DOUBLE) * 1000000) AS BIGINT)) AS v
   FROM embeddings), cell AS (
   SELECT vec_id, k, unnest(range(len(v))) AS i, len(v) AS n, v FROM vec), val AS (
-  SELECT vec_id, k, i, v[(i + 21 * k) % n + 1] AS u, v[(i + 7 + 21 * k) % n + 1] AS w FROM cell), pts AS (
+  SELECT vec_id, k, i, v[(i + 21 * k) % n + 1] AS u, v[(i + 7 + 21 * k) % n + 1] AS w FROM cell), pts AS MATERIALIZED (
   SELECT CAST(vec_id AS VARCHAR) AS entity, vec_id, k, ['200000', '500000', '1000000'][k + 1] AS regime, i AS pos,
     CAST(i - 16 AS DOUBLE) AS x, CAST(u AS DOUBLE) AS y, CAST(1000 + 10 * i + abs(u) % 97 AS DOUBLE) AS d,
     CAST(w AS DOUBLE) AS m FROM val){extra}"""
 
 
 SERIES = """, top AS (
-  SELECT entity, regime, max(y) AS y FROM pts GROUP BY ALL), pk AS (
+  SELECT entity, regime, max(y) AS y FROM pts GROUP BY ALL), pk AS MATERIALIZED (
   SELECT entity, regime, min(pos) AS peak FROM pts JOIN top USING (entity, regime, y) GROUP BY ALL), rise AS (
   SELECT entity, regime, y - lag(y) OVER (PARTITION BY entity, regime ORDER BY pos) AS s
   FROM pts JOIN pk USING (entity, regime) WHERE pos < peak AND y > 0), fall AS (
@@ -74,7 +74,7 @@ SERIES = """, top AS (
   FROM pts GROUP BY ALL), a_rise AS (
   SELECT entity, regime, stddev_pop(s) AS yStdRate, avg(s) AS yMeanRate FROM rise GROUP BY ALL), a_fall AS (
   SELECT entity, regime, stddev_pop(s) AS yStdFallRate, abs(avg(s)) AS yMeanFallRate FROM fall GROUP BY ALL), a_cost AS (
-  SELECT entity, regime, max(d) AS dMax, stddev_pop(s) AS dStdRate, avg(s) AS dMeanRate FROM cost GROUP BY ALL), series AS (
+  SELECT entity, regime, max(d) AS dMax, stddev_pop(s) AS dStdRate, avg(s) AS dMeanRate FROM cost GROUP BY ALL), series AS MATERIALIZED (
   SELECT entity, regime, n_points, n_bad, peak AS peak_pos, n_points - peak AS n_fall,
     q AS ratioMax, ratio.x AS ratioMaxX, yMax, yStdRate, yMeanRate, yStdFallRate, yMeanFallRate,
     dMax, dStdRate, dMeanRate, abs(zero.m) AS mAtZero
@@ -96,7 +96,7 @@ def gate(order: str = "", least: int = 3, fall: int = 7) -> str:
 
 def widen(regimes: list[str] = REGIMES) -> str:
     picks = ", ".join(f"max({f}) FILTER (WHERE regime = '{r}') AS {r}_{f}" for r in regimes for f in FEATURES)
-    return f""", wide AS (SELECT entity, {picks} FROM series GROUP BY entity)"""
+    return f""", wide AS MATERIALIZED (SELECT entity, {picks} FROM series GROUP BY entity)"""
 
 
 def first_missing(columns: list[str]) -> str:
@@ -104,7 +104,7 @@ def first_missing(columns: list[str]) -> str:
 
 
 def entity_table(columns: list[str] = COLUMNS) -> str:
-    return f""", ent AS (
+    return f""", ent AS MATERIALIZED (
   SELECT wide.*, CASE WHEN reason IS NOT NULL THEN 'validation' WHEN {first_missing(columns)} IS NOT NULL THEN 'features' END AS stage,
     coalesce(reason, {first_missing(columns)}) AS reason
   FROM wide JOIN gate USING (entity))"""
@@ -133,7 +133,8 @@ UNION ALL SELECT 2, 'resume', count(*), count(DISTINCT l_suppkey) FROM s
 UNION ALL SELECT 3, 'reuse', count(*), count(DISTINCT l_suppkey) FROM s
 UNION ALL SELECT 4, 'fresh', count(*), count(DISTINCT l_suppkey) FROM s WHERE s_nationkey >= 20"""
 ORACLES["resume_todo"] = """
-SELECT c_custkey AS entity, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)"""
+SELECT c_custkey AS entity, c_name FROM customer WHERE c_custkey NOT IN (
+  SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority = '1-URGENT')"""
 ORACLES["marker_rows"] = """
 SELECT c_custkey AS entity, count(*) AS n_rows, count(*) FILTER (WHERE o_orderstatus IS NULL) AS n_markers
 FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey"""
@@ -148,11 +149,11 @@ WITH saved AS (SELECT DISTINCT o_custkey AS k FROM orders), c AS (
 SELECT total, skipped, total - skipped AS remaining, saved_entities, saved_entities >= total AS complete FROM c"""
 LINKS = r"""links AS (
   SELECT page_id, regexp_extract_all(html, '<nav[^>]*>(.*?)</nav>', 1, 's')[1] AS nav FROM pages), pair AS (
-  SELECT page_id, regexp_extract_all(nav, '<a ([^>]*)>(.*?)</a>', 1, 's') AS at,
+  SELECT page_id, regexp_extract_all(nav, '<a ([^>]*)>(.*?)</a>', 1, 's') AS attrs,
     regexp_extract_all(nav, '<a ([^>]*)>(.*?)</a>', 2, 's') AS label FROM links), each AS (
-  SELECT page_id, unnest(range(len(at))) AS place, unnest(at) AS at, unnest(label) AS label FROM pair), link AS (
-  SELECT page_id, place, replace(trim(label), '&amp;', '&') AS label, regexp_extract(at, 'href="([^"]*)"', 1) AS href
-  FROM each WHERE trim(label) <> '' AND regexp_extract(at, 'href="([^"]*)"', 1) <> '')"""
+  SELECT page_id, unnest(range(len(attrs))) AS place, unnest(attrs) AS attrs, unnest(label) AS label FROM pair), link AS (
+  SELECT page_id, place, replace(trim(label), '&amp;', '&') AS label, regexp_extract(attrs, 'href="([^"]*)"', 1) AS href
+  FROM each WHERE trim(label) <> '' AND regexp_extract(attrs, 'href="([^"]*)"', 1) <> '')"""
 ORACLES["page_links"] = f"WITH {LINKS} SELECT page_id, CAST(place AS BIGINT) AS place, label, href FROM link"
 ORACLES["page_worklist"] = f"""WITH {LINKS}
 SELECT substr(href, 2) AS entity, count(*) AS n_links FROM link WHERE href LIKE '/_%' GROUP BY 1"""
@@ -160,7 +161,7 @@ SELECT substr(href, 2) AS entity, count(*) AS n_links FROM link WHERE href LIKE
 LANDED = vector_points(
     """, line AS (
   SELECT *, vec_id % 31 <> 9 AND NOT (vec_id % 23 = 8 AND k = 2) AS present,
-    vec_id % 19 <> 6 AS whole, (vec_id + pos) % 13 <> 5 AS kept, max(y) OVER (PARTITION BY vec_id, k) AS best FROM pts), parsed AS (
+    vec_id % 19 <> 6 AS whole, NOT ((vec_id + pos) % 13 = 5 AND (vec_id + pos) % 17 <> 3) AS kept, max(y) OVER (PARTITION BY vec_id, k) AS best FROM pts), parsed AS MATERIALIZED (
   SELECT entity, vec_id, regime, CASE WHEN vec_id % 11 <> 4 THEN best END AS ratioMax,
     CAST(vec_id % 16 AS DOUBLE) AS ratioMaxX, row_number() OVER (PARTITION BY vec_id, k ORDER BY pos) - 1 AS pos, x, y,
     CASE WHEN NOT (vec_id % 5 = 2 AND (vec_id * 7 + pos) % 29 = 11) THEN d END AS d, CAST(pos AS DOUBLE) AS dp, m,
@@ -178,13 +179,13 @@ SELECT entity, regime, unnest(['Key', 'Airfoil', 'Reynolds number', 'Ncrit', 'Ma
     CAST(vec_id % 16 AS VARCHAR)]) AS v FROM f"""
 ORACLES["malformed_lines"] = r"""
 WITH l AS (SELECT doc_id, regexp_split_to_array(text, '\r\n|\n|\r') AS ls FROM documents), k AS (
-  SELECT doc_id, ls, list_filter(ls, v -> trim(v) <> '' AND len(string_split(v, ',')) <= 3) AS kept FROM l)
+  SELECT doc_id, ls, list_filter(ls, lambda v: trim(v) <> '' AND len(string_split(v, ',')) <= 3) AS kept FROM l)
 SELECT doc_id, CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(kept) AS BIGINT) AS n_kept, md5(array_to_string(kept, '|')) AS kept_md5 FROM k"""
 ORACLES["coerce_numeric"] = rf"""
 WITH c AS (SELECT doc_id, regexp_split_to_array(text, '[ \n]+') AS cells FROM documents), n AS (
-  SELECT doc_id, cells, list_filter(list_transform(list_transform(cells, v -> regexp_replace(v, '^["\s]+|["\s]+$', '', 'g')),
-    v -> CASE WHEN regexp_full_match(v, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?')
-      OR regexp_full_match(lower(v), '[+-]?inf(inity)?') THEN TRY_CAST(v AS DOUBLE) END), v -> v IS NOT NULL) AS nums FROM c)
+  SELECT doc_id, cells, list_filter(list_transform(list_transform(cells, lambda v: regexp_replace(v, '^["\s]+|["\s]+$', '', 'g')),
+    lambda v: CASE WHEN regexp_full_match(v, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?')
+      OR regexp_full_match(lower(v), '[+-]?inf(inity)?') THEN TRY_CAST(v AS DOUBLE) END), lambda v: v IS NOT NULL) AS nums FROM c)
 SELECT doc_id, CAST(len(cells) AS BIGINT) AS n_cells, CAST(len(nums) AS BIGINT) AS n_numbers,
   {fl('list_max(nums)', 'largest')}, {fl('list_min(nums)', 'smallest')} FROM n"""
 ORACLES["page_metrics"] = """
@@ -206,8 +207,8 @@ SELECT p.entity, regime, 'label ' || any_value(e.label) AS desc, any_value(CAST(
 FROM parsed p JOIN embeddings e USING (vec_id) LEFT JOIN labels ON doc_id = vec_id
 WHERE regime IN ('200000', '500000') GROUP BY p.entity, regime"""
 ORACLES["stream_ingest"] = f"""WITH {LANDED}, b AS (
-  SELECT entity, regime, max(y) AS top FROM parsed GROUP BY ALL)
-SELECT entity, regime, count(*) AS n_points, count(*) FILTER (WHERE d IS NULL) AS n_bad, min(pos) FILTER (WHERE y = top) AS peak_pos
+  SELECT entity, regime, max(y) AS best FROM parsed GROUP BY ALL)
+SELECT entity, regime, count(*) AS n_points, count(*) FILTER (WHERE d IS NULL) AS n_bad, min(pos) FILTER (WHERE y = best) AS peak_pos
 FROM parsed JOIN b USING (entity, regime) GROUP BY entity, regime"""
 ORACLES["stage_metrics"] = f"""{ENT + ATTRS}, j AS (
   SELECT coalesce(stage, CASE WHEN attr_a IS NULL THEN 'attributes' WHEN {RANGE_REASON} IS NOT NULL THEN 'range' END, 'kept') AS s
@@ -326,7 +327,7 @@ SCALED = FEATS + f", scaled AS MATERIALIZED (SELECT entity, {each('(@ - min(@) O
 REPLACED = SCALED + f", repl AS MATERIALIZED (SELECT entity, {each('CASE WHEN @ = 0 THEN min(CASE WHEN @ <> 0 THEN @ END) OVER () ELSE @ END')} FROM scaled)"
 INVERTED = REPLACED + f", inv AS MATERIALIZED (SELECT entity, {each('1 / @', LOWER)}, {', '.join(HIGHER)} FROM repl)"
 _CV = ", ".join(f"stddev_samp({c}) / avg({c}) AS {c}" for c in COLUMNS)
-WEIGHTED = INVERTED + f", cv AS (SELECT {_CV} FROM inv), total AS (SELECT {' + '.join(COLUMNS)} AS t FROM cv)"
+WEIGHTED = INVERTED + f", cv AS MATERIALIZED (SELECT {_CV} FROM inv), total AS (SELECT {' + '.join(COLUMNS)} AS t FROM cv)"
 ORACLES["column_stats"] = (
     FEATS
     + " "
@@ -372,7 +373,7 @@ def weighted(source: str, name: str) -> str:
 
 
 ORACLES["rank_zscore_weighted"] = f"{FEATS + weighted('feats', 'w')} SELECT entity, {fls('score_final')}, rank_final FROM w"
-NOMINATED = ", nom AS (SELECT entity, 'cv' AS source_methods FROM (SELECT * FROM r_cv ORDER BY rank_cv, entity LIMIT 5)), pool AS (SELECT * FROM feats JOIN nom USING (entity))"
+NOMINATED = ", nom AS (SELECT entity, 'cv' AS source_methods FROM (SELECT * FROM r_cv ORDER BY rank_cv, entity LIMIT 5)), pool AS MATERIALIZED (SELECT * FROM feats JOIN nom USING (entity))"
 ORACLES["restart_from_stage"] = f"""{CV_RANK + NOMINATED + weighted('pool', 'w')}
 SELECT entity, {fls('score_final')}, rank_final, 'cv' AS source_methods FROM w"""
 THREE = CV_RANK + """, r_peak AS MATERIALIZED (SELECT entity, rank() OVER (ORDER BY R_yMax DESC) AS rank_peak FROM feats), r_steady AS MATERIALIZED (
@@ -406,7 +407,7 @@ UNION ALL SELECT c_name, c_acctbal, c_mktsegment FROM customer"""
 
 ORACLES["correlation_matrix"] = (
     FEATS
-    + ", c AS (SELECT "
+    + ", c AS MATERIALIZED (SELECT "
     + ", ".join(f"corr({a}, {b}) AS c{i}_{j}" for i, a in enumerate(COLUMNS) for j, b in enumerate(COLUMNS) if i <= j)
     + " FROM feats) SELECT a, b, "
     + fl("r")

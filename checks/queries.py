@@ -119,7 +119,8 @@ def ingest_modes(spark, sf_dir):
 @query
 def resume_todo(spark, sf_dir):
     work = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity"), "c_name")
-    return tables.resume(work, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("entity")))
+    done = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
+    return tables.resume(work, done.select(F.col("o_custkey").alias("entity")))
 
 
 def _orders_by_customer(spark, sf_dir):

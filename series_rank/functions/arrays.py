@@ -61,26 +61,20 @@ def array_features(series: DataFrame) -> DataFrame:
             "peak_pos": first_argmax(F.col("y")).cast("long"),
         }
     )
+    # Intermediate arrays are columns of their own, so that each is computed once per row.
     peak = F.coalesce(F.col("peak_pos"), F.lit(0)).cast("int")
-    rise_y = F.filter(F.slice("y", F.lit(1), peak), lambda v: v > 0)
-    cost_d = F.transform(
-        F.filter(
-            F.arrays_zip(F.slice("x", F.lit(1), peak).alias("x"), F.slice("d", F.lit(1), peak).alias("d")),
-            lambda p: p["x"] >= 0,
-        ),
-        lambda p: p["d"],
-    )
-    fall_y = F.slice("y", peak + 1, F.greatest(F.size("y") - peak, F.lit(0)))
     s = s.withColumns(
         {
-            "n_fall": (F.col("n_points") - F.col("peak_pos")),
-            "_rise": steps(rise_y),
-            "_fall": steps(fall_y),
-            "_costs": cost_d,
+            "n_fall": F.col("n_points") - F.col("peak_pos"),
+            "_rise_y": F.filter(F.slice("y", F.lit(1), peak), lambda v: v > 0),
+            "_fall_y": F.slice("y", peak + 1, F.greatest(F.size("y") - peak, F.lit(0))),
+            "_cost_d": F.transform(
+                F.filter(F.slice(F.arrays_zip("x", "d"), F.lit(1), peak), lambda p: p["x"] >= 0), lambda p: p["d"]
+            ),
             "_crossing": F.get(F.filter(F.arrays_zip("x", "m"), lambda p: p["x"] >= 0), F.lit(0)),
         }
     )
-    s = s.withColumns({"_cost": steps(F.col("_costs"))})
+    s = s.withColumns({"_rise": steps(F.col("_rise_y")), "_fall": steps(F.col("_fall_y")), "_cost": steps(F.col("_cost_d"))})
     s = s.withColumns({f"{n}_mean": mean(F.col(n)) for n in ("_rise", "_fall", "_cost")})
     if not given:
         ratio = F.zip_with("y", "d", F.try_divide)
@@ -96,7 +90,7 @@ def array_features(series: DataFrame) -> DataFrame:
         "yMeanRate": F.col("_rise_mean"),
         "yStdFallRate": std_around(F.col("_fall"), F.col("_fall_mean")),
         "yMeanFallRate": F.abs("_fall_mean"),
-        "dMax": F.array_max("_costs"),
+        "dMax": F.array_max("_cost_d"),
         "dStdRate": std_around(F.col("_cost"), F.col("_cost_mean")),
         "dMeanRate": F.col("_cost_mean"),
         "mAtZero": F.abs("_crossing.m"),

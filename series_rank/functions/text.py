@@ -35,7 +35,14 @@ LINK_KEY = r"airfoil=(.+)$"
 
 def to_number(c: Column) -> Column:
     """Text to double, surrounding blanks and quotes removed; NULL when it is no number."""
-    t = F.regexp_replace(c, r"^[\s\"]+|[\s\"]+$", "")
+    return stripped_number(strip(c))
+
+
+def strip(c: Column) -> Column:
+    return F.regexp_replace(c, r"^[\s\"]+|[\s\"]+$", "")
+
+
+def stripped_number(t: Column) -> Column:
     return F.when(t.rlike(NUMBER) | t.rlike(INFINITE), t.try_cast("double"))
 
 
@@ -100,7 +107,7 @@ def lines(raw: Column) -> Column:
 
 def fields(line: Column) -> Column:
     """Comma-separated cells without surrounding blanks and quotes."""
-    return F.transform(F.split(line, ","), lambda v: F.regexp_replace(v, r"^[\s\"]+|[\s\"]+$", ""))
+    return F.transform(F.split(line, ","), strip)
 
 
 def well_formed(body: Column, columns: Column) -> Column:
@@ -144,11 +151,13 @@ def parse_series(landed: DataFrame, raw: str = "raw", layout: SeriesFormat | Non
     required = F.array(*(F.lit(c) for c in layout.columns.values()))
     parsed = parsed.where(F.size(F.array_except(required, "_names")) == 0)
     body = F.slice("_data", F.lit(2), F.greatest(F.size("_data") - 1, F.lit(0)))
-    parsed = parsed.withColumn("_rows", F.transform(well_formed(body, F.size("_names")), fields))
+    # The number of cells comes from a plain split: inside the lambda it is evaluated line by line.
+    width = F.size(F.split(F.get("_data", F.lit(0)), ","))
+    parsed = parsed.withColumn("_rows", F.transform(well_formed(body, width), fields))
 
     def column(label: str) -> Column:
         place = (F.array_position("_names", F.lit(label)) - 1).cast("int")
-        return F.transform("_rows", lambda r: to_number(F.get(r, place)))
+        return F.transform("_rows", lambda r: stripped_number(F.get(r, place)))
 
     return parsed.select(
         *kept,
