@@ -299,8 +299,8 @@ ORACLES["wide_features"] = ORACLES["stage_roundtrip"]
 _EVENT_COLUMNS = [f"{r}_{f}" for r in ("click", "error") for f in FEATURES]
 ORACLES["regime_subset"] = f"""WITH {EVENT_POINTS + SERIES
     + gate("CASE regime WHEN 'click' THEN '0' WHEN 'error' THEN '1' ELSE '2' || regime END", 4, 2)
-    + widen(['click', 'error']) + entity_table(_EVENT_COLUMNS)}
-SELECT entity, stage, reason, {fls(*_EVENT_COLUMNS)} FROM ent"""
+    + widen(['click', 'error'])}
+SELECT entity, reason AS gate, {fls(*_EVENT_COLUMNS)} FROM wide JOIN gate USING (entity)"""
 
 # ---- joins ------------------------------------------------------------------------------------
 

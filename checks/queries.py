@@ -61,7 +61,7 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialize(wide.complete_features(entities(spark, sf_dir)), "features")
+    return materialize(wide.complete_features(entities(spark, sf_dir), REGIMES), "features")
 
 
 # ---- sources, sinks, ingest -------------------------------------------------
@@ -255,9 +255,9 @@ def stage_metrics(spark, sf_dir):
         spark, root, params, series(spark, sf_dir), supplier_attributes(spark, sf_dir), pipeline.STAGES[:1]
     )
     kept, failed = wide.filter_attributes(
-        wide.complete_features(result.entities), supplier_attributes(spark, sf_dir), ["attr_a"], BOUNDS
+        wide.complete_features(result.entities, REGIMES), supplier_attributes(spark, sf_dir), ["attr_a"], BOUNDS
     )
-    return pipeline.stage_metrics(result.entities, wide.entity_rejects(result.entities).unionByName(failed))
+    return pipeline.stage_metrics(result.entities, wide.entity_rejects(result.entities, REGIMES).unionByName(failed))
 
 
 @query
@@ -295,14 +295,14 @@ def extract_key(spark, sf_dir):
 
 @query
 def feature_projection(spark, sf_dir):
-    joined = wide.attach_attributes(wide.complete_features(entities(spark, sf_dir)), supplier_attributes(spark, sf_dir))
+    joined = wide.attach_attributes(wide.complete_features(entities(spark, sf_dir), REGIMES), supplier_attributes(spark, sf_dir))
     return joined.select(*floats(*wide.feature_projection(joined, ["entity", "attr_a", "attr_b"])))
 
 
 @query
 def direction_split(spark, sf_dir):
     all_rows = entities(spark, sf_dir)
-    lower, _ = wide.direction_split([c for c in all_rows.columns if c not in ("entity", "stage", "reason")])
+    lower, _ = wide.direction_split([c for c in all_rows.columns if c not in ("entity", "gate")])
     values = stats.long_values(all_rows, COLUMNS).select(
         F.element_at(F.array(*(F.lit(c) for c in COLUMNS)), F.col("i") + 1).alias("feature"), "v"
     )
@@ -327,7 +327,7 @@ def drop_incomplete(spark, sf_dir):
 
 @query
 def attr_required(spark, sf_dir):
-    joined = wide.attach_attributes(wide.complete_features(entities(spark, sf_dir)), supplier_attributes(spark, sf_dir))
+    joined = wide.attach_attributes(wide.complete_features(entities(spark, sf_dir), REGIMES), supplier_attributes(spark, sf_dir))
     return joined.dropna(subset=["attr_a", "attr_b"]).select("entity", *floats("attr_a"), "attr_b")
 
 
@@ -351,7 +351,7 @@ def missing_attr_report(spark, sf_dir):
 @query
 def filter_attributes(spark, sf_dir):
     kept, failed = wide.filter_attributes(
-        wide.complete_features(entities(spark, sf_dir)), supplier_attributes(spark, sf_dir), ["attr_a"], BOUNDS
+        wide.complete_features(entities(spark, sf_dir), REGIMES), supplier_attributes(spark, sf_dir), ["attr_a"], BOUNDS
     )
     return kept.select("entity", F.lit("kept").alias("stage"), F.lit("").alias("reason")).unionByName(failed)
 
@@ -385,7 +385,7 @@ def reject_reasons(spark, sf_dir):
 
 @query
 def all_rejects(spark, sf_dir):
-    return wide.entity_rejects(entities(spark, sf_dir))
+    return wide.entity_rejects(entities(spark, sf_dir), REGIMES)
 
 
 @query
@@ -470,7 +470,7 @@ def regime_subset(spark, sf_dir):
     )
     chosen = ["click", "error"]
     table_ = wide.entity_table(points.series_features(pts), chosen, min_series=4, min_fall_points=2)
-    return table_.select("entity", "stage", "reason", *floats(*feature_columns(chosen)))
+    return table_.select("entity", "gate", *floats(*feature_columns(chosen)))
 
 
 # ---- joins -----------------------------------------------------------------------
@@ -478,7 +478,7 @@ def regime_subset(spark, sf_dir):
 
 @query
 def attach_attributes(spark, sf_dir):
-    joined = wide.attach_attributes(wide.complete_features(entities(spark, sf_dir)), supplier_attributes(spark, sf_dir))
+    joined = wide.attach_attributes(wide.complete_features(entities(spark, sf_dir), REGIMES), supplier_attributes(spark, sf_dir))
     return joined.select("entity", *floats(COLUMNS[2], "attr_a"), "attr_b")
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,33 +42,38 @@ def entity_table(
     min_series: int = MIN_SERIES,
     min_fall_points: int = MIN_FALL_POINTS,
 ) -> DataFrame:
-    """Gate and pivot in one grouping: wide features plus ``stage`` and ``reason``.
-
-    Stage and reason are NULL for a complete valid entity; ``validation`` is the
-    gate, ``features`` a valid entity with a missing feature.
-    """
+    """Gate and pivot in one grouping: wide features, and in ``gate`` why the entity is invalid (or NULL)."""
     grouped = (
         series.where(F.col("entity").isNotNull())
         .groupBy("entity")
         .agg(*gate_aggregates(series, regimes, min_fall_points), *wide_aggregates(series, regimes))
     )
-    columns = feature_columns(regimes)
-    wide = grouped.select("entity", entity_reason(min_series).alias("gate"), *wide_select(regimes))
-    incomplete = missing_reason(columns)
-    return wide.select(
-        "entity",
-        *columns,
-        F.when(F.col("gate").isNotNull(), "validation").when(incomplete.isNotNull(), "features").alias("stage"),
-        F.coalesce("gate", incomplete).alias("reason"),
-    )
+    return grouped.select("entity", entity_reason(min_series).alias("gate"), *wide_select(regimes))
+
 
+def present(columns: Sequence[str]) -> Column:
+    """No listed column is missing.
 
-def complete_features(entities: DataFrame) -> DataFrame:
-    return entities.where(F.col("reason").isNull()).drop("stage", "reason")
+    One small condition per column: the optimizer derives filters from them one
+    by one, where a single condition over many columns (``dropna``) makes it try
+    every combination of their aliases.
+    """
+    return reduce(and_, (F.col(f"`{c}`").isNotNull() for c in columns))
+
+
+def complete_features(entities: DataFrame, regimes: Sequence[str]) -> DataFrame:
+    """Valid entities with every feature."""
+    return entities.where(F.col("gate").isNull() & present(feature_columns(regimes))).drop("gate")
 
 
-def entity_rejects(entities: DataFrame) -> DataFrame:
-    return entities.where(F.col("reason").isNotNull()).select("entity", "stage", "reason")
+def entity_rejects(entities: DataFrame, regimes: Sequence[str]) -> DataFrame:
+    """(entity, stage, reason): stage ``validation`` for the gate, ``features`` for a missing feature."""
+    incomplete = missing_reason(feature_columns(regimes))
+    return entities.select(
+        "entity",
+        F.when(F.col("gate").isNotNull(), "validation").otherwise("features").alias("stage"),
+        F.coalesce("gate", incomplete).alias("reason"),
+    ).where(F.col("reason").isNotNull())
 
 
 def missing_reason(columns: Sequence[str]) -> Column:
@@ -78,14 +85,14 @@ def drop_incomplete(wide: DataFrame, columns: Sequence[str]) -> tuple[DataFrame,
     """(complete rows, rejects of stage ``features``)."""
     reason = missing_reason(columns)
     failed = wide.where(reason.isNotNull()).select("entity", F.lit("features").alias("stage"), reason.alias("reason"))
-    return wide.dropna(how="any", subset=list(columns)), failed
+    return wide.where(present(columns)), failed
 
 
 def complete_cases(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Coerce the columns to double and keep the rows without a missing value."""
     types = dict(df.dtypes)
     coerced = df.withColumns({c: F.col(c).try_cast("double") for c in columns if types[c] != "double"})
-    return coerced.dropna(how="any", subset=list(columns))  # NaN counts as missing
+    return coerced.where(present(columns) & ~reduce(or_, (F.isnan(f"`{c}`") for c in columns)))
 
 
 def feature_projection(df: DataFrame, meta: Sequence[str]) -> list[str]:

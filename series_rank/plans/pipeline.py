@@ -7,7 +7,7 @@ so any suffix of the run can be repeated from what an earlier run left behind.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,10 +24,12 @@ STAGES = ("analyse", "filter", "rank", "final")
 
 @dataclass
 class Result:
-    entities: DataFrame
-    features: DataFrame
-    rejects: DataFrame
-    rankings: dict[str, DataFrame]
+    """Tables of the run; those no chosen stage wrote or read stay None."""
+
+    entities: DataFrame | None = None
+    features: DataFrame | None = None
+    rejects: DataFrame | None = None
+    rankings: dict[str, DataFrame] = field(default_factory=dict)
     final: DataFrame | None = None
     summary: DataFrame | None = None
 
@@ -49,50 +51,44 @@ def run(
     unknown = set(stages) - set(STAGES)
     if unknown:
         raise ValueError(f"unknown stages: {', '.join(sorted(unknown))}")
-    columns = params.columns
+    last = max((STAGES.index(s) for s in stages), default=-1)
+    result = Result()
 
     if "analyse" in stages:
         if series is None:
             raise ValueError("the stage analyse needs series")
-        entities = write_stage(
-            entity_table(series, params.regimes, params.min_series, params.min_fall_points), f"{root}/entities"
-        )
-    else:
-        entities = read_stage(spark, f"{root}/entities")
+        table = entity_table(series, params.regimes, params.min_series, params.min_fall_points)
+        result.entities = write_stage(table, f"{root}/entities")
+    elif "filter" in stages:
+        result.entities = read_stage(spark, f"{root}/entities")
 
     if "filter" in stages:
-        complete = complete_features(entities)
-        if attributes is None:
-            kept, failed = complete, None
-        else:
-            kept, failed = filter_attributes(complete, attributes, params.attribute_columns, params.bounds)
-        features = write_stage(kept, f"{root}/features")
-        all_rejects = entity_rejects(entities)
-        if failed is not None:
+        kept = complete_features(result.entities, params.regimes)
+        all_rejects = entity_rejects(result.entities, params.regimes)
+        if attributes is not None:
+            kept, failed = filter_attributes(kept, attributes, params.attribute_columns, params.bounds)
             all_rejects = all_rejects.unionByName(failed)
-        rejects = write_stage(all_rejects, f"{root}/rejects")
-    else:
-        features = read_stage(spark, f"{root}/features")
-        rejects = read_stage(spark, f"{root}/rejects")
+        result.features = write_stage(kept, f"{root}/features")
+        result.rejects = write_stage(all_rejects, f"{root}/rejects")
+    elif last > STAGES.index("filter"):
+        result.features = read_stage(spark, f"{root}/features")
 
-    rankings = {}
     for name in params.methods:
         if "rank" in stages:
-            ranked = method(name).ranker(features, params)
-            rankings[name] = write_stage(sorted_by_rank(ranked, method(name).rank), f"{root}/rank_{name}")
-        else:
-            rankings[name] = read_stage(spark, f"{root}/rank_{name}")
+            ranked = method(name).ranker(result.features, params)
+            result.rankings[name] = write_stage(sorted_by_rank(ranked, method(name).rank), f"{root}/rank_{name}")
+        elif "final" in stages:
+            result.rankings[name] = read_stage(spark, f"{root}/rank_{name}")
 
-    result = Result(entities, features, rejects, rankings)
     if "final" in stages:
+        rankings = result.rankings
         nominators = [(method(n).label, rankings[n], method(n).rank) for n in params.methods]
         ranks = [(method(n).summary_column, rankings[n], method(n).rank) for n in params.methods]
-        pool = write_stage(candidate_pool(features, nominators, params.top_n), f"{root}/pool")
-        final = final_ranking(pool, params.weight_map, columns, params.on_constant)
+        pool = write_stage(candidate_pool(result.features, nominators, params.top_n), f"{root}/pool")
+        final = final_ranking(pool, params.weight_map, params.columns, params.on_constant)
         result.final = write_stage(sorted_by_rank(final, "rank_final"), f"{root}/final")
-        result.summary = write_stage(
-            sorted_by_rank(final_summary(result.final, ranks), "rank_final"), f"{root}/summary"
-        )
+        summary = final_summary(result.final, ranks)
+        result.summary = write_stage(sorted_by_rank(summary, "rank_final"), f"{root}/summary")
     return result
 
 
