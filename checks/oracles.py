@@ -249,7 +249,7 @@ ORACLES["range_reject_reason"] = f"""WITH {ATTRS[2:]}
 SELECT entity, {RANGE_REASON} AS reason FROM attrs WHERE {RANGE_REASON} IS NOT NULL"""
 ORACLES["missing_attr_report"] = f"""WITH {ATTRS[2:]}, m AS (
   SELECT entity, row_number() OVER (ORDER BY entity) AS r FROM attrs WHERE attr_a IS NULL)
-SELECT count(*) AS n_missing, string_agg(CASE WHEN r <= 10 THEN CAST(entity AS VARCHAR) END, ',' ORDER BY r) AS first_entities FROM m"""
+SELECT count(*) AS n_missing, coalesce(string_agg(CASE WHEN r <= 10 THEN CAST(entity AS VARCHAR) END, ',' ORDER BY r), '') AS first_entities FROM m"""
 ORACLES["filter_attributes"] = f"""{FEATS + ATTRS}
 SELECT entity, CASE WHEN attr_a IS NULL THEN 'attributes' WHEN {RANGE_REASON} IS NOT NULL THEN 'range' ELSE 'kept' END AS stage,
   CASE WHEN attr_a IS NULL THEN 'missing attr_a' ELSE coalesce({RANGE_REASON}, '') END AS reason
