@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import and_, or_
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,7 +92,7 @@ def complete_cases(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Coerce the columns to double and keep the rows without a missing value."""
     types = dict(df.dtypes)
     coerced = df.withColumns({c: F.col(c).try_cast("double") for c in columns if types[c] != "double"})
-    return coerced.where(present(columns) & ~reduce(or_, (F.isnan(f"`{c}`") for c in columns)))
+    return coerced.where(present(columns) & reduce(and_, (~F.isnan(f"`{c}`") for c in columns)))
 
 
 def feature_projection(df: DataFrame, meta: Sequence[str]) -> list[str]:
