@@ -49,7 +49,7 @@ def stable(c: str | Column) -> Column:
 
 
 def floats(*names: str) -> list[Column]:
-    return [stable(n).alias(n) for n in names]
+    return [F.expr(f"cast(cast(`{n}` as float) as double) + 0.0D as `{n}`") for n in names]
 
 
 def series(spark: SparkSession, sf_dir: str, entity: str = "l_suppkey", **kwargs) -> DataFrame:
@@ -431,8 +431,8 @@ def series_features(spark, sf_dir):
 
 @query
 def series_features_split(spark, sf_dir):
-    """The same with every series of more than 200 points cut into pieces."""
-    return _all_features(points.series_features(supplier_points(spark, sf_dir), hot_rows=200))
+    """The same with every series of more than 210 points cut into pieces."""
+    return _all_features(points.series_features(supplier_points(spark, sf_dir), hot_rows=210))
 
 
 @query

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +25,7 @@ def wide_aggregates(series: DataFrame, regimes: Sequence[str], features: Sequenc
 
 
 def wide_select(regimes: Sequence[str], features: Sequence[str] = FEATURES) -> list[Column]:
-    return [F.col(f"`{r}`.{f}").alias(f"{r}_{f}") for r in regimes for f in features]
+    return [F.expr(f"`{r}`.`{f}` as `{r}_{f}`") for r in regimes for f in features]
 
 
 def to_wide(series: DataFrame, regimes: Sequence[str], features: Sequence[str] = FEATURES) -> DataFrame:
@@ -58,7 +56,7 @@ def present(columns: Sequence[str]) -> Column:
     by one, where a single condition over many columns (``dropna``) makes it try
     every combination of their aliases.
     """
-    return reduce(and_, (F.col(f"`{c}`").isNotNull() for c in columns))
+    return F.expr(" and ".join(f"`{c}` is not null" for c in columns))
 
 
 def complete_features(entities: DataFrame, regimes: Sequence[str]) -> DataFrame:
@@ -78,7 +76,8 @@ def entity_rejects(entities: DataFrame, regimes: Sequence[str]) -> DataFrame:
 
 def missing_reason(columns: Sequence[str]) -> Column:
     """Names the first missing column, NULL when the row is complete."""
-    return F.coalesce(*(F.when(F.col(f"`{c}`").isNull(), F.lit(f"missing {c}")) for c in columns))
+    # "c is null" per column as text: hundreds of Column objects are slow to build
+    return F.expr("case " + " ".join(f"when `{c}` is null then 'missing {c}'" for c in columns) + " end")
 
 
 def drop_incomplete(wide: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -92,7 +91,7 @@ def complete_cases(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Coerce the columns to double and keep the rows without a missing value."""
     types = dict(df.dtypes)
     coerced = df.withColumns({c: F.col(c).try_cast("double") for c in columns if types[c] != "double"})
-    return coerced.where(present(columns) & reduce(and_, (~F.isnan(f"`{c}`") for c in columns)))
+    return coerced.where(present(columns) & F.expr(" and ".join(f"not isnan(`{c}`)" for c in columns)))
 
 
 def feature_projection(df: DataFrame, meta: Sequence[str]) -> list[str]:
