@@ -418,3 +418,95 @@ ORACLES["correlation_matrix"] = (
     + ")"
 )
 ORACLES["factor_reconstruction"] = ORACLES["correlation_matrix"]
+
+
+# Eigenpairs by repeated squaring: a correlation matrix squared and scaled to trace 1 tends to the projector on its
+# first eigenvector; the pair is then subtracted and the next one found. The row of the projector with the largest
+# diagonal, over the root of that, is the vector whose largest component is positive.
+SQUARINGS = 18
+
+
+def eigen(name: str, columns: list[str], count: int) -> str:
+    p = len(columns)
+    outer = "list_transform(v, lambda a: list_transform(v, lambda b: a * b * l))"
+    minus = f"list_transform(list_zip(R, {outer}), lambda r: list_transform(list_zip(r[1], r[2]), lambda c: c[1] - c[2]))"
+    return f""", l_{name} AS MATERIALIZED (SELECT entity, unnest([{', '.join(columns)}]) AS v, unnest(range({p})) AS i FROM feats), c_{name} AS (
+  SELECT a.i AS i, b.i AS j, corr(a.v, b.v) AS r FROM l_{name} a JOIN l_{name} b USING (entity) GROUP BY a.i, b.i), m_{name} AS (
+  SELECT list(row_ ORDER BY i) AS R FROM (SELECT i, list(r ORDER BY j) AS row_ FROM c_{name} GROUP BY i)), pw_{name} AS (
+  SELECT 0 AS f, 0 AS it, R, R AS S, CAST(0 AS DOUBLE) AS lam, CAST([] AS DOUBLE[]) AS vec FROM m_{name}
+  UNION ALL
+  SELECT CASE WHEN it = {SQUARINGS} THEN f + 1 ELSE f END, CASE WHEN it = {SQUARINGS} THEN 0 ELSE it + 1 END,
+    CASE WHEN it = {SQUARINGS} THEN {minus} ELSE R END,
+    CASE WHEN it = {SQUARINGS} THEN {minus}
+      ELSE list_transform(S, lambda a: list_transform(S, lambda b: list_dot_product(a, b) / t)) END,
+    l, v
+  FROM (
+    SELECT f, it, R, S, t, list_transform(S[top], lambda c: c / sqrt(S[top][top])) AS v,
+      list_sum(list_transform(list_zip(R, S), lambda r: list_dot_product(r[1], r[2]))) AS l
+    FROM (
+      SELECT f, it, R, S, list_sum(list_transform(S, lambda a: list_dot_product(a, a))) AS t,
+        list_position(list_transform(range(1, {p + 1}), lambda k: S[k][k]),
+          list_max(list_transform(range(1, {p + 1}), lambda k: S[k][k]))) AS top
+      FROM pw_{name} WHERE f < {count}))), e_{name} AS MATERIALIZED (
+  SELECT CAST(f AS BIGINT) AS factor, lam, vec FROM pw_{name} WHERE it = 0 AND f > 0)"""
+
+
+def kept(name: str, cap: int) -> str:
+    return f", k_{name} AS MATERIALIZED (SELECT * FROM e_{name} WHERE factor <= {cap} AND (lam > 1 OR factor = 1))"
+
+
+def scored(name: str, columns: list[str]) -> str:
+    z = ", ".join(f"({c} - avg({c}) OVER ()) / (stddev_samp({c}) OVER () + 1e-12)" for c in columns)
+    return f""", z_{name} AS MATERIALIZED (SELECT entity, [{z}] AS z FROM feats), s_{name} AS MATERIALIZED (
+  SELECT entity, factor, list_dot_product(z, vec) / sqrt(lam) AS score, lam / {len(columns)} AS share FROM z_{name}, k_{name})"""
+
+
+RECURSIVE = FEATS.replace("WITH ", "WITH RECURSIVE ", 1)
+_COUNT = 16
+JOINT = eigen("j", COLUMNS, _COUNT) + kept("j", 10)
+NAMES = "[" + ", ".join(f"'{c}'" for c in COLUMNS) + "]"
+ORACLES["factor_eigen"] = f"""{RECURSIVE + JOINT}, u AS (
+  SELECT factor, lam AS eigenvalue, unnest({NAMES}) AS feature, unnest(vec) AS component FROM k_j)
+SELECT factor, feature, {fls('eigenvalue', 'component')} FROM u"""
+ORACLES["factor_loadings"] = f"""{RECURSIVE + JOINT}, u AS (
+  SELECT factor, lam, unnest({NAMES}) AS feature, unnest(vec) AS c FROM k_j)
+SELECT feature, factor, {fl('c * sqrt(lam)', 'loading')} FROM u"""
+ORACLES["variance_table"] = f"""{RECURSIVE + JOINT}
+SELECT factor, {fl('lam', 'eigenvalue')}, {fl(f'lam / {len(COLUMNS)}', 'variance')},
+  {fl(f'sum(lam) OVER (ORDER BY factor) / {len(COLUMNS)}', 'cumulative')} FROM k_j"""
+ORACLES["factor_scores"] = f"""{RECURSIVE + JOINT + scored('j', COLUMNS)} SELECT entity, factor, {fls('score')} FROM s_j"""
+BOTH = eigen("l", LOWER, _COUNT) + kept("l", 8) + eigen("g", HIGHER, len(HIGHER)) + kept("g", 3)
+_GROUPS = (("lower", "l", LOWER), ("higher", "g", HIGHER), ("joint", "j", COLUMNS))
+ORACLES["factor_count"] = f"{RECURSIVE + JOINT + BOTH} " + " UNION ALL ".join(
+    f"""SELECT '{group}' AS columns, (SELECT count(*) FROM e_{n} WHERE lam > 1) AS above_one,
+  (SELECT count(*) FROM k_{n}) AS kept, {fl(f'(SELECT sum(lam) FROM k_{n}) / {len(columns)}', 'explained')}"""
+    for group, n, columns in _GROUPS
+)
+FACTOR_RANK = BOTH + scored("l", LOWER) + scored("g", HIGHER) + """, t_l AS (
+  SELECT entity, sum(score * share) AS score_L FROM s_l GROUP BY entity), t_g AS (
+  SELECT entity, sum(score * share) AS score_G FROM s_g GROUP BY entity), r_factor AS MATERIALIZED (
+  SELECT *, rank_L + rank_G AS rank_sum FROM (
+    SELECT entity, score_L, score_G, rank() OVER (ORDER BY score_L) AS rank_L, rank() OVER (ORDER BY score_G DESC) AS rank_G
+    FROM t_l JOIN t_g USING (entity)))"""
+ORACLES["rank_factor"] = f"""{RECURSIVE + FACTOR_RANK}
+SELECT entity, {fls('score_L', 'score_G')}, rank_L, rank_G, rank_sum FROM r_factor"""
+CV_FACTOR_RANK = JOINT + scored("j", COLUMNS) + """, f1 AS (
+  SELECT entity, factor, (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) AS x
+  FROM s_j WINDOW w AS (PARTITION BY factor)), f2 AS (
+  SELECT entity, factor, CASE WHEN x = 0 THEN min(CASE WHEN x <> 0 THEN x END) OVER (PARTITION BY factor) ELSE x END AS x FROM f1), f3 AS MATERIALIZED (
+  SELECT entity, factor, CASE WHEN factor = 1 THEN x ELSE 1 / x END AS x FROM f2), f4 AS (
+  SELECT factor, sum(x) AS total, stddev_samp(x) / avg(x) AS cv FROM f3 GROUP BY factor), f5 AS (
+  SELECT factor, total, cv / sum(cv) OVER () AS weight FROM f4), f6 AS (
+  SELECT entity, sum(x / total * weight) AS score_cv_factor FROM f3 JOIN f5 USING (factor) GROUP BY entity), r_cvf AS MATERIALIZED (
+  SELECT entity, score_cv_factor, rank() OVER (ORDER BY score_cv_factor DESC) AS rank_cv_factor FROM f6)"""
+ORACLES["rank_cv_factor"] = f"""{RECURSIVE + CV_FACTOR_RANK} SELECT entity, {fls('score_cv_factor')}, rank_cv_factor FROM r_cvf"""
+FULL = CV_RANK.replace("WITH ", "WITH RECURSIVE ", 1) + FACTOR_RANK + CV_FACTOR_RANK + """, nom AS (
+  SELECT 0 AS o, 'factor' AS method, entity FROM (SELECT * FROM r_factor ORDER BY rank_sum, entity LIMIT 5)
+  UNION ALL SELECT 1, 'cv', entity FROM (SELECT * FROM r_cv ORDER BY rank_cv, entity LIMIT 5)
+  UNION ALL SELECT 2, 'cv-factor', entity FROM (SELECT * FROM r_cvf ORDER BY rank_cv_factor, entity LIMIT 5)), named AS (
+  SELECT entity, string_agg(method, ', ' ORDER BY o) AS source_methods FROM nom GROUP BY entity), pool AS MATERIALIZED (
+  SELECT * FROM feats JOIN named USING (entity))""" + weighted("pool", "w")
+ORACLES["final_ranking"] = f"{FULL} SELECT entity, {fls('score_final')}, rank_final, source_methods FROM w JOIN named USING (entity)"
+ORACLES["final_summary"] = f"""{FULL}
+SELECT entity, {fls('score_final')}, rank_final, source_methods, rank_sum AS rank_factor, rank_cv, rank_cv_factor
+FROM w JOIN named USING (entity) JOIN r_factor USING (entity) JOIN r_cv USING (entity) JOIN r_cvf USING (entity)"""
