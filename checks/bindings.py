@@ -52,7 +52,9 @@ def landed_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     y is the vector in millionths, rotated by 21 places per regime; x counts from
     -16; d and m follow from place and value.
     """
-    vectors = table(spark, sf_dir, "embeddings").select(
+    # Few but heavy rows: spread them, as a folder of landed files would be.
+    spread = table(spark, sf_dir, "embeddings").repartition(spark.sparkContext.defaultParallelism, "vec_id")
+    vectors = spread.select(
         F.col("vec_id"),
         F.expr("transform(embedding, v -> cast(floor(cast(v as double) * 1000000) as bigint))").alias("v"),
         F.expr("posexplode(array('200000', '500000', '1000000'))").alias("k", "regime"),

@@ -81,30 +81,34 @@ def segment_steps(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def _whole_series_aggregates(points: DataFrame) -> list[Column]:
-    """Aggregates that need no neighbour; all of them merge across pieces."""
-    bad = F.col("x").isNull() | F.col("y").isNull() | F.col("d").isNull() | F.col("m").isNull()
+def _ratio(points: DataFrame) -> Column:
+    """(-ratio, place, x) of a point; the smallest is the first largest ratio. Given ratios are passed through."""
     if "ratioMax" in points.columns:
-        ratio = F.min(F.struct((-F.col("ratioMax")).alias("nr"), F.col("ord").alias("at"), F.col("ratioMaxX").alias("x")))
-    else:
-        r = F.try_divide("y", "d")
-        ratio = F.min(F.when(r.isNotNull(), F.struct((-r).alias("nr"), F.col("ord").alias("at"), F.col("x").alias("x"))))
+        return F.struct((-F.col("ratioMax")).alias("nr"), F.col("ord").alias("at"), F.col("ratioMaxX").alias("x"))
+    r = F.try_divide("y", "d")
+    return F.when(r.isNotNull(), F.struct((-r).alias("nr"), F.col("ord").alias("at"), F.col("x").alias("x")))
+
+
+def _crossing() -> Column:
+    """(place, m) of a point right of zero; the smallest is the first crossing."""
+    return F.when(F.col("x") >= 0, F.struct(F.col("ord").alias("at"), F.col("m").alias("m")))
+
+
+def _counts() -> list[Column]:
+    bad = F.col("x").isNull() | F.col("y").isNull() | F.col("d").isNull() | F.col("m").isNull()
     return [
         F.count(F.lit(1)).alias("n_points"),
         F.count_if(bad).alias("n_bad"),
         F.count_if("before").alias("peak_pos"),
         F.count_if(~F.col("before")).alias("n_fall"),
-        F.min("peak.ny").alias("ny"),
         F.max("cost").alias("dMax"),
-        F.min(F.when(F.col("x") >= 0, F.struct(F.col("ord").alias("at"), F.col("m").alias("m")))).alias("crossing"),
-        ratio.alias("ratio"),
     ]
 
 
 def _feature_select(extra: Sequence[str] = ()) -> list[Column]:
     expressions = {
-        "ratioMax": -F.col("ratio.nr"),
-        "ratioMaxX": F.col("ratio.x"),
+        "ratioMax": -F.col("nr"),
+        "ratioMaxX": F.col("rx"),
         "yMax": -F.col("ny"),
         "yStdRate": F.col("rise_std"),
         "yMeanRate": F.col("rise_mean"),
@@ -113,7 +117,7 @@ def _feature_select(extra: Sequence[str] = ()) -> list[Column]:
         "dMax": F.col("dMax"),
         "dStdRate": F.col("cost_std"),
         "dMeanRate": F.col("cost_mean"),
-        "mAtZero": F.abs("crossing.m"),
+        "mAtZero": F.abs("cm"),
     }
     return [
         *(F.col(c) for c in SERIES),
@@ -126,13 +130,20 @@ def _feature_select(extra: Sequence[str] = ()) -> list[Column]:
 
 def _features_of_ordinary(points: DataFrame) -> DataFrame:
     whole = Window.partitionBy(*SERIES).orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    # Shuffled here and not by the window, which would send its peak struct (y and ord again) along.
-    together = points.repartition(*SERIES)
-    steps = segment_steps(mark_segments(together.withColumn("peak", _peak().over(whole))), SERIES)
+    # Shuffled and sorted here and not by the window, which would move its structs (ord again) along.
+    together = points.repartition(*SERIES).sortWithinPartitions(*SERIES, "ord")
+    placed = together.withColumns(
+        {"peak": _peak().over(whole), "ratio": F.min(_ratio(points)).over(whole), "crossing": F.min(_crossing()).over(whole)}
+    )
+    steps = segment_steps(mark_segments(placed), SERIES)
+    # Only plain numbers are aggregated, which keeps the grouping a compiled hash aggregate.
+    constants = {"ny": "peak.ny", "nr": "ratio.nr", "rx": "ratio.x", "cm": "crossing.m"}
+    steps = steps.withColumns({n: F.col(c) for n, c in constants.items()})
     moments = [
         agg(f"{s}_step").alias(f"{s}_{name}") for s in SEGMENTS for name, agg in (("mean", F.avg), ("std", F.stddev_pop))
     ]
-    return steps.groupBy(*SERIES).agg(*_whole_series_aggregates(points), *moments).select(*_feature_select())
+    firsts = [F.first(n).alias(n) for n in constants]
+    return steps.groupBy(*SERIES).agg(*_counts(), *firsts, *moments).select(*_feature_select())
 
 
 def _features_of_hot(points: DataFrame, pieces: int, broadcast_peaks: bool) -> DataFrame:
@@ -151,7 +162,12 @@ def _features_of_hot(points: DataFrame, pieces: int, broadcast_peaks: bool) -> D
             F.min_by(s, kept).alias(f"{s}_first"),
             F.max_by(s, kept).alias(f"{s}_last"),
         ]
-    summary = steps.groupBy(*SERIES, "piece").agg(*_whole_series_aggregates(points), *per_piece)
+    extremes = [
+        F.min("peak.ny").alias("ny"),
+        F.min(_ratio(points)).alias("ratio"),
+        F.min(_crossing()).alias("crossing"),
+    ]
+    summary = steps.groupBy(*SERIES, "piece").agg(*_counts(), *extremes, *per_piece)
 
     # The step that crosses a cut: first kept point here minus last kept point of any earlier piece.
     by_piece = Window.partitionBy(*SERIES).orderBy("piece")
@@ -175,8 +191,9 @@ def _features_of_hot(points: DataFrame, pieces: int, broadcast_peaks: bool) -> D
         F.sum("n_fall").alias("n_fall"),
         F.min("ny").alias("ny"),
         F.max("dMax").alias("dMax"),
-        F.min("crossing").alias("crossing"),
-        F.min("ratio").alias("ratio"),
+        F.min("crossing").getField("m").alias("cm"),
+        F.min("ratio").getField("nr").alias("nr"),
+        F.min("ratio").getField("x").alias("rx"),
     ]
     for s in SEGMENTS:
         n, avg, var, edge, mean = (F.col(f"{s}_{p}") for p in ("n", "avg", "var", "edge", "mean"))
