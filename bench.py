@@ -14,7 +14,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from checks.queries import QUERIES  # noqa: E402
-from series_rank.session import get_session  # noqa: E402
+from series_rank.session import LOCAL_SETTINGS, get_session  # noqa: E402
 
 HEADLINE = [
     "scan_series",
@@ -46,7 +46,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     runs = int(os.environ.get("BENCH_RUNS", "1"))
-    spark = get_session("bench", f"local[{cpus}]", cpus)
+    spark = get_session("bench", f"local[{cpus}]", cpus, LOCAL_SETTINGS)
     spark.sparkContext.setLogLevel("ERROR")
     QUERIES["scan_series"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     times = {}

@@ -17,7 +17,7 @@ import pandas as pd
 
 from checks.oracles import ORACLES
 from checks.queries import QUERIES
-from series_rank.session import get_session
+from series_rank.session import LOCAL_SETTINGS, get_session
 
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
@@ -58,7 +58,7 @@ def main() -> int:
     parser.add_argument("--limit", type=float, default=60.0, help="seconds for one SQL statement")
     parser.add_argument("names", nargs="*")
     args = parser.parse_args()
-    spark = get_session("compare", "local[8]", 8)
+    spark = get_session("compare", "local[8]", 8, LOCAL_SETTINGS)
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(args.sf)
     failed = 0

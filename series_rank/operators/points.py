@@ -148,9 +148,18 @@ def _features_of_ordinary(points: DataFrame) -> DataFrame:
 
 def _features_of_hot(points: DataFrame, pieces: int, broadcast_peaks: bool) -> DataFrame:
     peaks = points.groupBy(*SERIES).agg(_peak().alias("peak"))
-    marked = mark_segments(points.join(F.broadcast(peaks) if broadcast_peaks else peaks, SERIES))
-    cut = marked.repartitionByRange(pieces, *SERIES, "ord").withColumn("piece", F.spark_partition_id())
-    steps = segment_steps(cut, [*SERIES, "piece"])
+    peaks = peaks.select(F.col("entity").alias("peak_entity"), F.col("regime").alias("peak_regime"), "peak")
+    # Null-safe: a series without a regime is a series as well.
+    same = F.col("entity").eqNullSafe(F.col("peak_entity")) & F.col("regime").eqNullSafe(F.col("peak_regime"))
+    if not broadcast_peaks:
+        points = points.join(peaks, same).drop("peak_entity", "peak_regime")
+    cut = points.repartitionByRange(pieces, *SERIES, "ord").withColumn("piece", F.spark_partition_id())
+    placed = cut.repartition(*SERIES, "piece")
+    if broadcast_peaks:
+        # Joined after both exchanges, which then move the bare points only.
+        placed = placed.join(F.broadcast(peaks), same).drop("peak_entity", "peak_regime")
+    placed = placed.sortWithinPartitions(*SERIES, "piece", "ord")
+    steps = segment_steps(mark_segments(placed), [*SERIES, "piece"])
 
     per_piece = []
     for s in SEGMENTS:

@@ -4,11 +4,24 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
+# For one machine: a driver that is also the executor, no web page, no call sites kept per expression.
+LOCAL_SETTINGS = {
+    "spark.driver.memory": "8g",
+    "spark.ui.enabled": "false",
+    "spark.sql.dataFrameQueryContext.enabled": "false",
+}
 
-def get_session(app: str = "series_rank", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
+
+def get_session(
+    app: str = "series_rank",
+    master: str | None = None,
+    shuffle_partitions: int | None = None,
+    settings: Mapping[str, str] | None = None,
+) -> SparkSession:
     """A session with the settings the jobs here rely on (UTC, adaptive execution)."""
     builder = (
         SparkSession.builder.appName(app)
@@ -20,6 +33,8 @@ def get_session(app: str = "series_rank", master: str | None = None, shuffle_par
         builder = builder.master(master)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    for key, value in (settings or {}).items():
+        builder = builder.config(key, value)
     return builder.getOrCreate()
 
 

@@ -91,6 +91,15 @@ def test_many_hot_series_take_the_unbroadcast_way(spark, collection, monkeypatch
     check(series_features(points_table(spark, collection), hot_rows=10), collection)
 
 
+@pytest.mark.parametrize("limit", [10_000, 0])
+def test_series_without_a_regime_is_kept_when_cut(spark, collection, monkeypatch, limit):
+    monkeypatch.setattr("series_rank.operators.points.MAX_BROADCAST_HOT", limit)
+    bare = points_table(spark, {("long", "A"): collection[("long", "A")]}).withColumn("regime", F.lit(None).cast("string"))
+    row = series_features(bare, hot_rows=50).first()
+    want = features(*(collection[("long", "A")][k] for k in "xydm"))
+    assert row["regime"] is None and row["n_points"] == 700 and row["yStdFallRate"] == pytest.approx(want["yStdFallRate"])
+
+
 def test_arrays_equal_numpy(spark, collection):
     rows = [(e, r, *(s[k].astype(float).tolist() for k in "xydm")) for (e, r), s in collection.items()]
     df = spark.createDataFrame(
