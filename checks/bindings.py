@@ -89,8 +89,8 @@ def landed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
           if((vec_id + i) % 13 = 5, 'extra', null))
     """
     header = """
-        concat_ws('\n', 'Landed series', concat('Key,', entity, '-', regime), concat('Airfoil,', entity),
-          concat('Reynolds number,', regime), 'Ncrit,9', 'Mach,0',
+        concat_ws('\n', 'Landed series', concat('Key,', entity, '-', regime), concat('Entity,', entity),
+          concat('Regime,', regime), 'Ncrit,9', 'Mach,0',
           if(vec_id % 11 = 4, 'Other,1', concat('Max Cl/Cd,', cast(array_max(y) as string))),
           concat('Max Cl/Cd alpha,', cast(vec_id % 16 as string)), 'Url,a,b', '',
           if(vec_id % 19 = 6, 'Alpha,Cl,Cd,Cdp,Cm,Top_Xtr', 'Alpha,Cl,Cd,Cdp,Cm,Top_Xtr,Bot_Xtr'))

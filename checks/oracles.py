@@ -173,7 +173,7 @@ ORACLES["parse_series_text"] = f"""WITH {LANDED}
 SELECT entity, regime, ratioMax, ratioMaxX, pos, x, y, d, dp, m, top, bottom FROM parsed"""
 ORACLES["parse_header_map"] = f"""WITH {LANDED}, f AS (
   SELECT DISTINCT entity, vec_id, regime, CAST(CAST(best AS BIGINT) AS VARCHAR) AS best FROM line WHERE present)
-SELECT entity, regime, unnest(['Key', 'Airfoil', 'Reynolds number', 'Ncrit', 'Mach',
+SELECT entity, regime, unnest(['Key', 'Entity', 'Regime', 'Ncrit', 'Mach',
     CASE WHEN vec_id % 11 = 4 THEN 'Other' ELSE 'Max Cl/Cd' END, 'Max Cl/Cd alpha']) AS k,
   unnest([entity || '-' || regime, entity, regime, '9', '0', CASE WHEN vec_id % 11 = 4 THEN '1' ELSE best END,
     CAST(vec_id % 16 AS VARCHAR)]) AS v FROM f"""

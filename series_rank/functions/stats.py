@@ -127,15 +127,6 @@ def normalised(weights: Mapping[str, float]) -> dict[str, float]:
     return {c: w / total for c, w in weights.items()}
 
 
-def weighted_sum(terms: Mapping[str, Column], weights: Mapping[str, float]) -> Column:
-    if set(terms) != set(weights):
-        raise ValueError(f"{len(weights)} weights do not match {len(terms)} columns")
-    total = F.lit(0.0)
-    for name, term in terms.items():
-        total = total + (term if weights[name] == 1 else term * F.lit(float(weights[name])))
-    return total
-
-
 @dataclass(frozen=True)
 class ScaledModel:
     """Min-max scaling, zero replacement and inversion, with the statistics after them."""

@@ -30,7 +30,7 @@ PAGE_METRICS = {
     "attr_b": r"Max camber ([\d\.]+)% at ([\d\.]+)% chord",
 }
 LABEL_SEPARATOR = " - "
-LINK_KEY = r"airfoil=(.+)$"
+LINK_KEY = r"[?&]\w+=(.+)$"
 
 
 def to_number(c: Column) -> Column:

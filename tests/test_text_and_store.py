@@ -6,10 +6,10 @@ from series_rank.functions.arrays import array_features
 from series_rank.sources import landing, tables
 from series_rank.streaming.landing import ingest_stream
 
-FILE = """Landed polar
-Polar key,xf-a-200000
-Airfoil,a
-Reynolds number,200000
+FILE = """Landed series
+Key,xf-a-200000
+Entity,a
+Regime,200000
 Ncrit,9
 Mach,0
 Max Cl/Cd,45.5
@@ -54,7 +54,7 @@ def test_numbers(spark):
 
 def test_page_helpers(spark):
     html = (
-        "<table><a href='/skip'>skip</a></table><table><tr><td><a class=x href='/d?airfoil=ag1-il'> <b>ag1</b> - thin &amp; flat </a>"
+        "<table><a href='/skip'>skip</a></table><table><tr><td><a class=x href='/d?item=ag1-il'> <b>ag1</b> - thin &amp; flat </a>"
         "<a href=''>none</a><a href='/e'> </a></td></tr></table><script>Max camber 9% at 9% chord</script>"
         "<p>Max thickness <b>12.5%</b>\n at 30% chord</p>"
     )
