@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from series_rank.llm import byte_bpe, packing, quality
+from series_rank.llm import byte_bpe, packing, quality, substrings
 from series_rank.llm.tables import documents
 
 TOKENIZERS = "/opt/tokenizers"
@@ -34,10 +34,36 @@ def op6_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
+def op9_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select(
+        "row.doc_id", "n_words", substrings.n_removed().alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_best_fit": op6_best_fit,
+    "op9_repeated_windows": op9_repeated_windows,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_repeated_windows": r"""
+        WITH w AS (
+            SELECT doc_id, [x for x in regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> ''] AS words
+            FROM documents),
+        starts AS (
+            SELECT doc_id, i, array_to_string(words[i:i + 34], ' ') AS win
+            FROM (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS i FROM w)),
+        again AS (SELECT win FROM starts GROUP BY win HAVING count(*) > 1),
+        gone AS (
+            SELECT doc_id, list_distinct(flatten(list(range(i, i + 35)))) AS places
+            FROM starts SEMI JOIN again USING (win) GROUP BY doc_id),
+        kept AS (
+            SELECT doc_id, words, len(words) AS n_words, coalesce(len(places), 0) AS n_removed,
+                CASE WHEN places IS NULL THEN words
+                    ELSE [words[p] for p in range(1, len(words) + 1) if NOT list_contains(places, p)] END AS rest
+            FROM w LEFT JOIN gone USING (doc_id))
+        SELECT doc_id, n_words, n_removed, sha256(array_to_string(rest, ' ')) AS kept_sha256 FROM kept""",
+}
