@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from series_rank.llm import byte_bpe, packing, quality, substrings
+from series_rank.llm import byte_bpe, jaccard, packing, quality, substrings
 from series_rank.llm.tables import documents
 
 TOKENIZERS = "/opt/tokenizers"
@@ -26,6 +26,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links")
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(documents(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", _pattern())
 
@@ -43,6 +47,7 @@ def op9_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
+    "op3_near_duplicates": op3_near_duplicates,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_best_fit": op6_best_fit,
     "op9_repeated_windows": op9_repeated_windows,
