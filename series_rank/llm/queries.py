@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from series_rank.llm import byte_bpe, jaccard, packing, quality, substrings
+from series_rank.llm import byte_bpe, jaccard, maxent, packing, quality, substrings
 from series_rank.llm.tables import documents
 
 TOKENIZERS = "/opt/tokenizers"
@@ -34,6 +34,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(documents(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", _pattern())
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.scored(documents(spark, sf_dir))
+
+
 def op6_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.json")
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_lm_score": op5_lm_score,
     "op6_best_fit": op6_best_fit,
     "op9_repeated_windows": op9_repeated_windows,
 }
