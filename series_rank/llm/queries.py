@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from series_rank.llm import byte_bpe, jaccard, maxent, packing, quality, substrings
+from series_rank.llm import byte_bpe, jaccard, maxent, packing, quality, secrets, substrings
 from series_rank.llm.tables import documents
 
 TOKENIZERS = "/opt/tokenizers"
@@ -19,6 +19,16 @@ def _pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def n(kind: int):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+    return secrets.found(documents(spark, sf_dir)).select(
+        "doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"),
+        F.sha2(secrets.written(F.col("base")), 256).alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"),
+    )
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
@@ -50,6 +60,7 @@ def op9_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
     "op2_quality": op2_quality,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_byte_bpe": op4_byte_bpe,
