@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from series_rank.llm import byte_bpe, jaccard, maxent, packing, quality, secrets, substrings
-from series_rank.llm.tables import documents
+from series_rank.llm import byte_bpe, jaccard, maxent, packing, quality, secrets, substrings, token_files, topk, toxicity
+from series_rank.llm.tables import documents, table
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -52,6 +52,15 @@ def op6_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(documents(spark, sf_dir), f"{TOKENIZERS}/word_bpe_49k.json")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.scored(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.repeats(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select(
@@ -59,6 +68,10 @@ def op9_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_quality": op2_quality,
@@ -66,7 +79,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_lm_score": op5_lm_score,
     "op6_best_fit": op6_best_fit,
+    "op7_token_files": op7_token_files,
+    "op8_toxicity": op8_toxicity,
     "op9_repeated_windows": op9_repeated_windows,
+    "op10_top_k": op10_top_k,
 }
 
 ORACLES: dict[str, str] = {
@@ -87,4 +103,13 @@ ORACLES: dict[str, str] = {
                     ELSE [words[p] for p in range(1, len(words) + 1) if NOT list_contains(places, p)] END AS rest
             FROM w LEFT JOIN gone USING (doc_id))
         SELECT doc_id, n_words, n_removed, sha256(array_to_string(rest, ' ')) AS kept_sha256 FROM kept""",
+    "op10_top_k": r"""
+        WITH v AS (
+            SELECT vec_id, [floor(256 * x::DOUBLE) for x in embedding] AS x FROM embeddings
+            WHERE embedding IS NOT NULL AND len([y for y in embedding if y IS NULL OR NOT isfinite(y)]) = 0),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x)::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
 }
