@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from series_rank.llm.components import components
+from series_rank.llm.sieve import Sieve
 from series_rank.llm.words import HASHES, mix, window_hashes
 from series_rank.session import materialize
 
@@ -44,6 +45,7 @@ RECALL = 0.9999
 MOST_HASHES = 128
 TASK_MEMBERS = 512
 TASK_NGRAMS = 2_000_000
+SALTS = 16  # over which the copies of a text are dealt where texts are moved
 COLUMNS = 2048  # of a membership matrix at a time
 
 
@@ -227,6 +229,7 @@ def _gram_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
     gather.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     rows = docs.select("doc_id", "text", _key("text").alias("key"))
+    rows = rows.where(Sieve.of(wanted, "key").may_hold(F.col("key")))  # so that few texts are moved
     w = wanted.select(F.col("key").alias("_key"), F.col("id").alias("_id"))
     own = rows.join(w, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     sets = own.select("key", F.arrow_udf(gather, "binary")(F.col("text").cast("binary")).alias("grams"))
@@ -295,18 +298,27 @@ def _large(wanted: DataFrame, members: DataFrame, sets: DataFrame, threshold: fl
 
 def one_of_each(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """The rows of *docs*, all columns unchanged, with one of each class: the one with the class id
-    (of several rows with that id, the one whose text has the least key). Texts without a word stay."""
-    rows = classes(docs, n, threshold, recall)
-    heads = rows.where(F.col("root").isNotNull() & F.col("doc_id").eqNullSafe(F.col("class_id")))
-    heads = heads.groupBy("root", "key", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
-    heads = heads.groupBy("root").agg(F.min(F.struct("key", "doc_id", "copies")).alias("h")).select("h.*")
-    heads = materialize(heads, "heads").select(F.col("key").alias("_key"), F.col("doc_id").alias("_id"), "copies")
+    (of several rows with that id, the one whose text has the least key). Texts without a word stay.
+
+    Rows alone in their class pass without being moved; the others meet the heads of their classes."""
+    rows = classes(docs, n, threshold, recall).where(F.col("root").isNotNull())
+    sizes = rows.groupBy("root", "key", "doc_id", "class_id").agg(F.count(F.lit(1)).alias("copies"))
+    heads = sizes.groupBy("root").agg(
+        F.min(F.when(F.col("doc_id").eqNullSafe(F.col("class_id")), F.struct("key", "doc_id", "copies"))).alias("h"),
+        F.sum("copies").alias("size"),
+    ).where("size > 1").select("root", "h.*")
+    heads = materialize(heads, "heads")
+    shared = Sieve.of(sizes.select("root", "key").join(heads.select("root"), "root", "left_semi"), "key")
+    members = materialize(sizes.join(heads.select("root"), "root", "left_semi").select("key").distinct(), "grouped")
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    worded = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    keyed = docs.select(row, _key("text").alias("key"), F.col("doc_id").alias("id"), worded.alias("worded"))
-    blank = keyed.where(~F.col("worded")).select("row.*")
-    match = (F.col("key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("_id"))
-    held = keyed.where("worded").join(heads, match)
+    keyed = docs.select(row, _key("text").alias("key"), F.col("doc_id").alias("id"))
+    keyed = keyed.withColumn("near", shared.may_hold(F.col("key")))
+    alone = keyed.where(~F.col("near")).select("row.*")
+    near = keyed.where("near").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    spread = members.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    chance = near.join(spread, ["key", "salt"], "left_anti").select("row.*")
+    h = heads.select(F.col("key").alias("_key"), F.col("doc_id").alias("_id"), "copies")
+    held = near.join(h, (F.col("key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("_id")))
     once = held.where("copies = 1").select("row.*")
     again = held.where("copies > 1").groupBy("key", "id").agg(F.any_value("row").alias("row")).select("row.*")
-    return once.unionByName(again).unionByName(blank)
+    return alone.unionByName(chance).unionByName(once).unionByName(again)

@@ -37,8 +37,9 @@ SAMPLE_ROWS = 4_000
 GRADES = 3
 MARKED = 3.0  # least log-odds of a marked word, and the toxic rows it has to be in
 MARKED_ROWS = 10
-PENALTY = 1.0
-STEPS = 300
+LEAST_SCORE = 6.0  # standard errors by which a feature has to tell the labels apart
+PENALTY = 0.1
+STEPS = 800
 RATE = 0.05
 _EDGES = re.compile(rb"^[^A-Za-z0-9\x80-\xff]+|[^A-Za-z0-9\x80-\xff]+$")
 
@@ -78,12 +79,29 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
+def _shares(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every feature the log-odds of toxic rows having it over the others', the difference of the
+    shares of rows that have it in standard errors, and the toxic rows that have it."""
+    size = 1 << BITS
+    a, b = (np.bincount(np.concatenate([r[0] for r, x in zip(rows, toxic) if x == t]), minlength=size) for t in (1, 0))
+    n1, n0 = (toxic == 1).sum(), (toxic == 0).sum()
+    odds = np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n0 - b + 0.5))
+    p = (a + b + 0.5) / (n1 + n0 + 1)
+    return odds, (a / n1 - b / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0)), a
+
+
+def telling(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, least: float = LEAST_SCORE) -> list:
+    """The rows with only the features whose shares in the two labels differ by *least* standard errors.
+
+    Most words say nothing about the label; their small weights would add up in long texts."""
+    keep = np.abs(_shares(rows, toxic)[1]) >= least
+    return [(i[keep[i]], v[keep[i]]) for i, v in rows] if keep.any() else rows
+
+
 def graded(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, grades: int = GRADES) -> np.ndarray:
     """Severities: 0 for rows that are not toxic, else by the marked words they have."""
-    size = 1 << BITS
-    with_word = {t: np.bincount(np.concatenate([r[0] for r, x in zip(rows, toxic) if x == t]), minlength=size) for t in (0, 1)}
-    odds = [np.log((with_word[t] + 0.5) / ((toxic == t).sum() + 1)) for t in (0, 1)]
-    marked = (odds[1] - odds[0] >= MARKED) & (with_word[1] >= MARKED_ROWS)
+    odds, _, times = _shares(rows, toxic)
+    marked = (odds >= MARKED) & (times >= MARKED_ROWS)
     amount = np.array([v[marked[i]].sum() for i, v in rows])
     cuts = np.quantile(amount[toxic == 1], np.arange(1, grades) / grades)
     return np.where(toxic == 1, 1 + np.searchsorted(cuts, amount, "left"), 0)
@@ -152,7 +170,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Ordina
     rows, toxic = training_rows(docs, labels, most)
     if len(set(toxic.tolist()) & {0, 1}) < 2 or not any(len(r[0]) for r in rows):
         return None
-    return fit(rows, graded(rows, toxic))
+    return fit(telling(rows, toxic), graded(rows, toxic))
 
 
 def scored(docs: DataFrame, model: Ordinal | None) -> DataFrame:
