@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from series_rank.llm import packing, quality
+from series_rank.llm import jaccard, packing, quality, secrets, substrings
 from series_rank.llm.queries import TOKENIZERS
 from series_rank.llm.tables import documents
 from series_rank.session import materialize
@@ -15,6 +16,28 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    return jaccard.one_of_each(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the words of windows that occur more than once."""
+    return _counted(substrings.repeats(docs, keep_layout=True).select("row.*", "kept"), "kept").select(docs.columns)
+
+
+def masked_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with a mask in the place of each secret."""
+    return _counted(secrets.redacted(docs), "text").select(docs.columns)
+
+
+def _counted(rows: DataFrame, text: str) -> DataFrame:
+    """The changed text as the documents' text, with its length; null texts stay null."""
+    was_null = F.col("text").isNull()
+    rows = rows.withColumn("text", F.when(~was_null, F.col(text)))
+    return rows.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents with their places in sequences."""
     return packing.pack(docs, f"{TOKENIZERS}/byte_bpe_50k.json")
@@ -22,6 +45,9 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 STAGES = [
     ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("masked_secrets", masked_secrets),
     ("best_fit_packing", best_fit_packing),
 ]
 
