@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from series_rank.llm.caches import only
+
 CHUNK_BYTES = 1 << 20
 RANGE_BYTES = 12 << 20  # of text; about as many keys as an eighth of this
 PARTITION_CHUNKS = 32
@@ -57,6 +59,7 @@ def requests(rows: DataFrame, deal: Deal, keys_of: Callable[[pa.Table], tuple[np
     ranges = deal.ranges
 
     def ask(table: pa.Table) -> pa.Table:
+        only("words")
         keys, counts = keys_of(table)
         chunk = table["_chunk"][0].as_py()
         parts = cut_by_range(keys, ranges)
@@ -105,6 +108,7 @@ def resolved(
     def meet(table: pa.Table, replied: pa.Table) -> pa.Table:
         if not table.num_rows:
             raise ValueError("an answer without its chunk")
+        only("words")
         order = np.argsort(replied["range"].to_numpy()) if replied.num_rows else []
         totals = replied["totals"].to_pylist() if replied.num_rows else []
         return use(table, b"".join(totals[i] for i in order))

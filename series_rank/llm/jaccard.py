@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from series_rank.llm.caches import only
 from series_rank.llm.components import components
 from series_rank.llm.sieve import Sieve
 from series_rank.llm.words import HASHES, mix, window_hashes
@@ -88,6 +89,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int, text: str = "text
     seeds = _seeds(bands * rows)
 
     def sign(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        only("words")
         for batch in batches:
             sizes, hashes = [], []
             for t in batch:
@@ -224,6 +226,7 @@ def _gram_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """(key, grams) of the wanted representatives, from one row of each."""
 
     def gather(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        only("words")
         for batch in batches:
             yield pa.array([ngrams(t.as_buffer().to_pybytes() if t.is_valid else b"", n).tobytes() for t in batch], pa.binary())
 

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from series_rank.llm.caches import only
 from series_rank.llm.words import HASHES, covered, window_hashes
 from series_rank.session import materialize
 
@@ -69,6 +70,7 @@ def measure(text: bytes) -> tuple[int, ...]:
 
 
 def _measures(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    only("words")
     for batch in batches:
         rows = [measure(v.as_buffer().to_pybytes() if v.is_valid else b"") for v in batch]
         columns = list(zip(*rows)) or [[] for _ in COUNTS]
@@ -78,7 +80,8 @@ def _measures(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 def measured(docs: DataFrame, text: str = "text", into: str = "m") -> DataFrame:
     """*docs* with a struct of the counts."""
     counts = F.arrow_udf(_measures, "struct<" + ",".join(f"{c}: bigint" for c in COUNTS) + ">")
-    return docs.withColumn(into, counts(F.col(text).cast("binary")))
+    # Marked so that a filter on the counts is not pushed below them, which would count twice.
+    return docs.withColumn(into, counts.asNondeterministic()(F.col(text).cast("binary")))
 
 
 def base_failed(m: str = "m") -> Column:
@@ -170,7 +173,7 @@ def judged(
 def quality(docs: DataFrame, min_docs: int = MIN_DOCS, fence: float = FENCE) -> DataFrame:
     """(doc_id, counts, base_failed, failed, kept) of every row; texts are read once."""
     slim = materialize(measured(docs.select("doc_id", "lang", "source", "text")).drop("text"), "quality")
-    bounds = materialize(fences(sketches(slim), min_docs, fence), "fences")
+    bounds = materialize(fences(materialize(sketches(slim), "sketches"), min_docs, fence), "fences")
     return judged(slim, bounds).select("doc_id", "m.*", "verdict.*")
 
 
@@ -183,6 +186,7 @@ def keep_good(docs: DataFrame, min_docs: int = MIN_DOCS, fence: float = FENCE) -
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
     rows = docs.select(row, F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.col("text").alias("_text"))
     slim = measured(rows.drop("_row"), "_text", "_m")
-    bounds = materialize(fences(sketches(slim, "_lang", "_source", "_m"), min_docs, fence), "fences")
+    table = materialize(sketches(slim, "_lang", "_source", "_m"), "sketches")
+    bounds = materialize(fences(table, min_docs, fence), "fences")
     out = judged(measured(rows, "_text", "_m"), bounds, "_lang", "_source", "_m", "_verdict")
     return out.where("_verdict.kept").select("_row.*")

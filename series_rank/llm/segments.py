@@ -13,9 +13,11 @@ import re
 import struct
 from collections.abc import Iterable
 
+from series_rank.llm.caches import family, only
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the cores belong to Spark's tasks
 
-CACHE_SEGMENTS = 350_000  # of a generation; there are two
+CACHE_SEGMENTS = 200_000  # of a generation; there are two
 # White space other than the space and the line feed, and U+0000, the mark used below.
 _UNUSUAL = re.compile(
     r"[\x00\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]"
@@ -162,10 +164,12 @@ def tokenizer_from_ranks(ranks: dict[bytes, int], pattern: str):
 
 
 _ENCODERS: dict = {}
+family("tokens", _ENCODERS.clear)
 
 
 def encoder(path: str, pattern: str | None = None, drops_space: bool = False) -> SpacedEncoder | SeparateEncoder:
     """The encoder of a file (a rank file needs its pattern), built once in a worker."""
+    only("tokens")
     key = (path, pattern, drops_space)
     if key not in _ENCODERS:
         from tokenizers import Tokenizer

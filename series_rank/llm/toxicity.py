@@ -32,6 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from series_rank.llm.caches import family, only
+
 BITS = 18
 SAMPLE_ROWS = 4_000
 GRADES = 3
@@ -50,12 +52,13 @@ class Features(dict):
     def __missing__(self, word: bytes) -> int:
         bare = _EDGES.sub(b"", word)
         value = xxhash.xxh64_intdigest(bare) >> (64 - BITS) if bare else 0
-        if len(self) < 300_000:
+        if len(self) < 150_000:
             self[word] = value
         return value
 
 
 FEATURES = Features()
+family("features", FEATURES.clear)
 
 
 def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -148,6 +151,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -
     """Features and labels of the sample: at most *most* rows of each label."""
 
     def extract(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        only("features")
         for batch in batches:
             each = [features(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch]
             yield pa.StructArray.from_arrays([
@@ -178,6 +182,7 @@ def scored(docs: DataFrame, model: Ordinal | None) -> DataFrame:
     likelier reached than not, and whether that is 1 or more."""
 
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        only("features")
         for batch in batches:
             out = np.zeros(len(batch))
             if model is None:

@@ -9,7 +9,9 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-CACHE_WORDS = 300_000
+from series_rank.llm.caches import family
+
+CACHE_WORDS = 150_000
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, hence invertible modulo 2**64
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
@@ -28,6 +30,7 @@ class WordHashes(dict):
 
 
 HASHES = WordHashes()
+family("words", HASHES.clear)
 
 
 class _Powers:
