@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from series_rank.llm.caches import only
 from series_rank.llm.components import components
 from series_rank.llm.sieve import Sieve
-from series_rank.llm.words import HASHES, mix, window_hashes
+from series_rank.llm.words import hash_texts, mix, window_hashes
 from series_rank.session import materialize
 
 NGRAM = 5
@@ -60,12 +60,15 @@ def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int
     raise ValueError("no banding reaches the recall with so many hashes")
 
 
-def ngrams(text: bytes, n: int = NGRAM) -> np.ndarray:
-    """Sorted distinct n-gram hashes of one text."""
-    words = text.split()
-    if not words:
-        return np.empty(0, np.uint64)
-    return np.unique(window_hashes(HASHES.of(words), min(n, len(words))))
+def ngrams(texts: list[bytes], n: int = NGRAM) -> Iterator[np.ndarray]:
+    """Sorted distinct n-gram hashes of each text."""
+    for words in hash_texts(texts):
+        yield np.unique(window_hashes(words, min(n, len(words)))) if len(words) else np.empty(0, np.uint64)
+
+
+def _slices(batch: pa.Array, most: int = 256) -> Iterator[list[bytes]]:
+    for at in range(0, len(batch), most):
+        yield [t or b"" for t in batch.slice(at, most).to_pylist()]
 
 
 def band_hashes(grams: np.ndarray, seeds: np.ndarray, bands: int) -> np.ndarray:
@@ -92,8 +95,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int, text: str = "text
         only("words")
         for batch in batches:
             sizes, hashes = [], []
-            for t in batch:
-                grams = ngrams(t.as_buffer().to_pybytes() if t.is_valid else b"", n)
+            for grams in (g for some in _slices(batch) for g in ngrams(some, n)):
                 sizes.append(len(grams))
                 hashes.append(band_hashes(grams, seeds, bands).view(np.int64) if len(grams) else [])
             yield pa.StructArray.from_arrays(
@@ -228,7 +230,7 @@ def _gram_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     def gather(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         only("words")
         for batch in batches:
-            yield pa.array([ngrams(t.as_buffer().to_pybytes() if t.is_valid else b"", n).tobytes() for t in batch], pa.binary())
+            yield pa.array([g.tobytes() for some in _slices(batch) for g in ngrams(some, n)], pa.binary())
 
     gather.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     rows = docs.select("doc_id", "text", _key("text").alias("key"))

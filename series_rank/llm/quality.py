@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from series_rank.llm.caches import only
-from series_rank.llm.words import HASHES, covered, window_hashes
+from series_rank.llm.words import covered, hash_words, window_hashes
 from series_rank.session import materialize
 
 SYMBOLS = b"#*$%&|<>"
@@ -58,7 +58,7 @@ def measure(text: bytes) -> tuple[int, ...]:
             dup += line in seen
             seen.add(line)
     repeated = 0
-    windows = window_hashes(HASHES.of(words), REPEAT_WINDOW)
+    windows = window_hashes(hash_words(text), REPEAT_WINDOW) if n >= REPEAT_WINDOW else []
     if len(windows):
         _, where, times = np.unique(windows, return_inverse=True, return_counts=True)
         starts = np.flatnonzero(times[where] > 1)

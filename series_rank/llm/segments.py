@@ -17,7 +17,7 @@ from series_rank.llm.caches import family, only
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the cores belong to Spark's tasks
 
-CACHE_SEGMENTS = 200_000  # of a generation; there are two
+CACHE_SEGMENTS = 300_000  # of a generation; there are two
 # White space other than the space and the line feed, and U+0000, the mark used below.
 _UNUSUAL = re.compile(
     r"[\x00\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]"
@@ -52,6 +52,7 @@ class Known(dict):
         self.tokenizer, self.model, self.prefix = tokenizer, tokenizer.model, prefix
         self.normalize = tokenizer.normalizer.normalize_str if tokenizer.normalizer else str
         self.as_chars = {b: c for c, b in byte_alphabet().items()}
+        self.lead = prefix.translate(self.as_chars)
         self.older: dict = {}
         self.tails: dict[str, bytes] = {}
 
@@ -73,10 +74,10 @@ class Known(dict):
             return self.whole(segment)
         ids = self.get(word) or self.older.get(word)
         if ids is None:
-            plain = self.normalize(word)
+            plain = word if word.isascii() and word.islower() else self.normalize(word)
             if not plain.isalpha():
                 return self.whole(segment)
-            chars = (self.prefix + plain).encode().decode("latin-1").translate(self.as_chars)
+            chars = self.lead + (plain if plain.isascii() else plain.encode().decode("latin-1").translate(self.as_chars))
             ids = as_bytes([t.id for t in self.model.tokenize(chars)])
         if len(word) < len(segment):
             self[word] = ids
@@ -115,7 +116,7 @@ class SpacedEncoder:
 
 
 class SeparateEncoder:
-    """For tokenizers that drop white space: words between ASCII white space."""
+    """For tokenizers that drop white space and case: words between ASCII white space, ASCII letters in lower case."""
 
     def __init__(self, tokenizer) -> None:
         self.known = Known(tokenizer)
@@ -123,7 +124,7 @@ class SeparateEncoder:
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         self.known.renew()
         known = self.known.__getitem__
-        return [b"".join(map(known, t.encode().split())) if t else b"" for t in texts]
+        return [b"".join(map(known, t.encode().lower().split())) if t else b"" for t in texts]
 
 
 def byte_alphabet() -> dict[str, int]:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from series_rank.llm.exchange import answers, chunked, deal, requests, resolved
-from series_rank.llm.words import HASHES, covered, window_hashes
+from series_rank.llm.words import covered, hash_texts, window_hashes
 
 WIDTH = 35
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -50,7 +50,7 @@ def _texts(table: pa.Table, column: str) -> list[bytes]:
 
 
 def _windows(texts: list[bytes], width: int) -> list[np.ndarray]:
-    return [window_hashes(HASHES.of(t.split()), width) for t in texts]
+    return [window_hashes(h, width) for h in hash_texts(texts)]
 
 
 def repeats(docs: DataFrame, width: int = WIDTH, text: str = "text", keep_layout: bool = False) -> DataFrame:

@@ -41,7 +41,7 @@ DICTIONARY_BYTES = 64 << 10
 SHARD_BYTES = 32 << 20  # of text
 BLOCK_DOCS = 512
 BLOCK_IDS = 1 << 22
-LEVEL = 3
+LEVEL = 1
 HEADER = struct.Struct("<4sHH32sq")  # magic, version, bytes an id, dictionary hash, documents
 MAGIC, VERSION = b"TIDS", 1
 NO_ID = np.iinfo(np.int64).min

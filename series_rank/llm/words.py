@@ -6,33 +6,14 @@ characters; bytes.split() cuts exactly there.
 
 from __future__ import annotations
 
-import numpy as np
-import xxhash
+import re
 
-from series_rank.llm.caches import family
+import numpy as np
 
-CACHE_WORDS = 150_000
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, hence invertible modulo 2**64
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 
-class WordHashes(dict):
-    """64-bit hashes by word; the memory is bounded, a full table only stops growing."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh64_intdigest(word)
-        if len(self) < CACHE_WORDS:
-            self[word] = value
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-HASHES = WordHashes()
-family("words", HASHES.clear)
-
-
 class _Powers:
     """Powers of the base and of its inverse, grown on demand."""
 
@@ -75,6 +56,58 @@ def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     return mix((total[width:] - total[: n - width + 1]) * down[: n - width + 1])
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[list(b" \t\n\r\x0b\x0c")] = True
+_CUT = re.compile(rb"[ \t\n\r\x0b\x0c]")
+_CODES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+PIECE = 1 << 21
+
+
+def hash_words(text: bytes) -> np.ndarray:
+    """Hashes of the words of a text, from one running sum over its bytes."""
+    raw = np.frombuffer(text, np.uint8)
+    n = len(raw)
+    edge = np.flatnonzero(np.diff(_SPACE[raw], prepend=True, append=True))
+    starts, ends = edge[::2], edge[1::2]
+    up, down = _POWERS.upto(n + 1)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(_CODES[raw] * up[:n], dtype=np.uint64, out=total[1:])
+    return mix((total[ends] - total[starts]) * down[starts])
+
+
+def hash_texts(texts: list[bytes]) -> list[np.ndarray]:
+    """hash_words of each text: short ones together, long ones in pieces that end between words."""
+    out: list[np.ndarray] = []
+    held: list[bytes] = []
+    load = 0
+
+    def flush() -> None:
+        if held:
+            hashes = hash_words(b" ".join(held))
+            counts = np.cumsum([len(t.split()) for t in held])
+            out.extend(np.split(hashes, counts[:-1]))
+            held.clear()
+
+    for t in texts:
+        if len(t) > PIECE:
+            flush()
+            load, at, parts = 0, 0, []
+            while at < len(t):
+                cut = _CUT.search(t, min(at + PIECE, len(t)))
+                end = cut.start() if cut else len(t)
+                parts.append(hash_words(t[at:end]))
+                at = end + 1
+            out.append(np.concatenate(parts))
+            continue
+        held.append(t)
+        load += len(t)
+        if load > PIECE:
+            flush()
+            load = 0
+    flush()
+    return out
+
+
 def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
     """Which of n places lie in a window of *width* that begins at one of *starts*."""
     edge = np.zeros(n + 1, np.int64)
