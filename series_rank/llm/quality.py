@@ -15,6 +15,7 @@ repeated rows give repeated rows; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,11 +35,11 @@ MIN_DOCS = 200
 # quartiles in units of the measure (below): groups of equal values have no distance.
 FENCE = 4.0
 MEASURES = {
-    "symbols": ("1000 * n_symbols div n_words", 40),
-    "dup_lines": ("1000 * n_dup_lines div n_lines", 400),
-    "repeats": ("1000 * n_repeat_words div n_words", 200),
-    "upper": ("1000 * n_upper div word_chars", 150),
-    "word_length": ("100 * word_chars div n_words", 300),
+    "symbols": ("1000 * n_symbols div nullif(n_words, 0)", 40),
+    "dup_lines": ("1000 * n_dup_lines div nullif(n_lines, 0)", 400),
+    "repeats": ("1000 * n_repeat_words div nullif(n_words, 0)", 200),
+    "upper": ("1000 * n_upper div nullif(word_chars, 0)", 150),
+    "word_length": ("100 * word_chars div nullif(n_words, 0)", 300),
 }
 TWO_SIDED = ("word_length",)
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
@@ -89,10 +90,7 @@ def base_failed(m: str = "m") -> Column:
 
 
 def _value(name: str, m: str) -> Column:
-    text = MEASURES[name][0]
-    for c in COUNTS:
-        text = text.replace(c, f"{m}.{c}") if c in text else text
-    return F.expr(text)
+    return F.expr(re.sub("|".join(COUNTS), lambda c: f"{m}.{c[0]}", MEASURES[name][0]))
 
 
 def sketches(rows: DataFrame, lang: str = "lang", source: str = "source", m: str = "m") -> DataFrame:

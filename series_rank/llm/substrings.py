@@ -56,7 +56,7 @@ def _windows(texts: list[bytes], width: int) -> list[np.ndarray]:
 def repeats(docs: DataFrame, width: int = WIDTH, text: str = "text", keep_layout: bool = False) -> DataFrame:
     """(row, n_words, intervals, kept) of every row.
 
-    row is a struct of all columns; intervals are runs of removed words; kept is
+    row is a struct of all columns, with the text that stays in its place; intervals are runs of removed words; kept is
     the text of the words that stay, joined by one space, or with *keep_layout*
     the original text without the runs.
     """

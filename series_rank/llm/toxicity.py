@@ -39,7 +39,7 @@ SAMPLE_ROWS = 4_000
 GRADES = 3
 MARKED = 3.0  # least log-odds of a marked word, and the toxic rows it has to be in
 MARKED_ROWS = 10
-LEAST_SCORE = 6.0  # standard errors by which a feature has to tell the labels apart
+LEAST_SCORE = 4.0  # standard errors by which a feature has to tell the labels apart
 PENALTY = 0.1
 STEPS = 800
 RATE = 0.05
