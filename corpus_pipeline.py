@@ -23,18 +23,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the words of windows that occur more than once."""
-    return _counted(substrings.repeats(docs, keep_layout=True).select("row.*", "kept"), "kept").select(docs.columns)
+    return _counted(substrings.repeats(docs, keep_layout=True).select("row.*"))
 
 
 def masked_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with a mask in the place of each secret."""
-    return _counted(secrets.redacted(docs), "text").select(docs.columns)
+    return _counted(secrets.redacted(docs))
 
 
-def _counted(rows: DataFrame, text: str) -> DataFrame:
-    """The changed text as the documents' text, with its length; null texts stay null."""
-    was_null = F.col("text").isNull()
-    rows = rows.withColumn("text", F.when(~was_null, F.col(text)))
+def _counted(rows: DataFrame) -> DataFrame:
+    """The rows with the lengths of their changed texts; those of null texts stay as they are."""
     return rows.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
 
 
