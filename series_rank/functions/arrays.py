@@ -42,7 +42,7 @@ def std_around(c: Column, centre: Column) -> Column:
 def count_missing(*arrays: Column) -> Column:
     total = F.lit(0)
     for a in arrays:
-        total = total + F.size(F.filter(a, lambda v: v.isNull()))
+        total = total + F.coalesce(F.size(F.filter(a, lambda v: v.isNull())), F.lit(0))
     return total
 
 
@@ -56,7 +56,7 @@ def array_features(series: DataFrame) -> DataFrame:
     s = series.withColumns({c: clean_array(F.col(c)) for c in ("x", "y", "d", "m")})
     s = s.withColumns(
         {
-            "n_points": F.size("y").cast("long"),
+            "n_points": F.coalesce(F.size("y"), F.lit(0)).cast("long"),
             "n_bad": count_missing(F.col("x"), F.col("y"), F.col("d"), F.col("m")).cast("long"),
             "peak_pos": first_argmax(F.col("y")).cast("long"),
         }

@@ -3,32 +3,39 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_TASK = 1_000_000
-MAX_BUCKETS = 1_000
 PERCENTILE_ACCURACY = 100_000
 
 
-def _bucketed(df: DataFrame, score: str, bounds: Sequence[float]) -> DataFrame:
-    """Add ``_bucket``: even numbers are open ranges, odd ones hold exactly one bound value.
+def _splits(bounds: Sequence[float]) -> list[float]:
+    """Ends of the ranges: every finite bound has one that holds nothing else.
 
-    A value frequent enough to fill a bucket is itself a quantile, so it gets a
-    bucket of its own in which every row ties.
+    A value frequent enough to fill a bucket is itself a quantile, so all rows of
+    its bucket tie. Neighbouring doubles share an end.
     """
-    if not bounds:
+    ends = {x for b in bounds for x in (b, math.nextafter(b, math.inf)) if math.isfinite(x)}
+    return [-math.inf, *sorted(ends), math.inf] if ends else []
+
+
+def _bucketed(df: DataFrame, score: str, splits: Sequence[float]) -> DataFrame:
+    """Add ``_bucket``, the number of the range between two of *splits*."""
+    if not splits:
         return df.withColumn("_bucket", F.lit(0))
-    splits = [-math.inf]
-    for b in bounds:
-        splits += [b, math.nextafter(b, math.inf)]
-    bucketizer = Bucketizer(splits=[*splits, math.inf], inputCol=score, outputCol="_bucket")
+    bucketizer = Bucketizer(splits=list(splits), inputCol=score, outputCol="_bucket")
     return bucketizer.transform(df).withColumn("_bucket", F.col("_bucket").cast("int"))
 
 
+def _numbers(values: Iterable[int]) -> Column:
+    """A literal array, as one constant however long it is."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>")
+
+
 def global_rank(
     df: DataFrame,
     score: str,
@@ -47,25 +54,27 @@ def global_rank(
     """
     df = df.withColumn(score, F.nanvl(F.col(score).cast("double"), F.lit(None).cast("double")) + F.lit(0.0))
     found = df.agg(F.count(F.lit(1)).alias("rows"), F.count(score).alias("scored")).first()
-    buckets = min(-(-found.scored // rows_per_task), MAX_BUCKETS)
+    buckets = -(-found.scored // rows_per_task)
     bounds = []
     if buckets > 1:
         fractions = [i / buckets for i in range(1, buckets)]
         bounds = sorted(set(df.agg(F.percentile_approx(score, fractions, PERCENTILE_ACCURACY)).first()[0]))
-    scored = _bucketed(df.where(F.col(score).isNotNull()), score, bounds)
+    splits = _splits(bounds)
+    single = [math.nextafter(a, math.inf) == b for a, b in zip(splits, splits[1:])]
+    scored = _bucketed(df.where(F.col(score).isNotNull()), score, splits)
 
     offset, salt = F.lit(0), F.lit(0)
-    if bounds:
+    if splits:
         sizes = {r["_bucket"]: r["count"] for r in scored.groupBy("_bucket").count().collect()}
         order = sorted(sizes, reverse=not ascending)
-        offsets, better = [0] * (2 * len(bounds) + 1), 0
+        offsets, better = [0] * len(single), 0
         for b in order:
             offsets[b], better = better, better + sizes[b]
-        offset = F.element_at(F.array(*(F.lit(o) for o in offsets)), F.col("_bucket") + 1)
-        # All rows of an odd bucket tie at its first rank, however they are spread.
-        largest = max((n for b, n in sizes.items() if b % 2), default=0)
+        offset = F.element_at(_numbers(offsets), F.col("_bucket") + 1)
+        # All rows of a single-valued bucket tie at its first rank, however they are spread.
+        largest = max((n for b, n in sizes.items() if single[b]), default=0)
         spread = F.pmod(F.xxhash64(key), F.lit(max(1, -(-largest // rows_per_task))))
-        salt = F.when(F.col("_bucket") % 2 == 1, spread).otherwise(F.lit(0))
+        salt = F.when(F.element_at(_numbers(map(int, single)), F.col("_bucket") + 1) == 1, spread).otherwise(F.lit(0))
     scored = scored.withColumn("_salt", salt.cast("long"))
     inside = Window.partitionBy("_bucket", "_salt").orderBy(F.col(score).asc() if ascending else F.col(score).desc())
     ranked = scored.withColumn(out, (offset + F.rank().over(inside)).cast("long")).drop("_bucket", "_salt")

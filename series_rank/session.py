@@ -50,7 +50,7 @@ def scratch_dir(spark: SparkSession) -> str:
     if folder is None:
         folder = spark.sparkContext.getCheckpointDir()
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.split("[")[0] == "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         folder = tempfile.mkdtemp(prefix="series_rank-")
         spark.sparkContext.setCheckpointDir(folder)

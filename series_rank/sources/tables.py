@@ -1,14 +1,16 @@
 """Parquet tables: scans, stage outputs, the incremental series store and its ledger.
 
-The store has two tables under one root, both partitioned by batch. The series
-rows of a batch are written first and its ledger rows last; a batch without
-ledger rows is not read. Writing a batch again replaces it, so a retried batch
-leaves no duplicates. Entities without any series are in the ledger only, which
-is how they count as done.
+The store has two tables under one root, both partitioned by attempt. Every
+attempt to publish a batch writes directories of its own, the series rows first
+and the ledger rows last; an attempt without ledger rows is not read, and nothing
+published is ever replaced. What a batch has published already is left out when
+it is written again, so a retried batch leaves no duplicates. Entities without any
+series are in the ledger only, which is how they count as done.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -16,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+ATTEMPT = "~"
 LEDGER_SCHEMA = "entity string, n_series long, batch string"
 
 
@@ -46,16 +49,23 @@ def read_stage(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_batch(rows: DataFrame, worked: DataFrame, root: str, batch: str) -> None:
-    """Publish the series rows of the ``worked`` entities as one batch."""
-    rows.write.mode("overwrite").parquet(f"{root}/series/batch={batch}")
-    counts = saved_counts(rows.sparkSession.read.schema(rows.schema).parquet(f"{root}/series/batch={batch}"))
+    """Publish the series rows of the ``worked`` entities that this batch has not published yet."""
+    spark = rows.sparkSession
+    before = ledger(spark, root).where(F.substring_index("batch", ATTEMPT, 1) == batch).select("entity")
+    worked = worked.select(F.col("entity").cast("string").alias("entity")).join(before, "entity", "left_anti")
+    if worked.isEmpty():
+        return
+    fresh = rows.join(before, rows["entity"].cast("string").eqNullSafe(before["entity"]), "left_anti")
+    attempt = f"{batch}{ATTEMPT}{uuid.uuid4().hex}"
+    fresh.write.parquet(f"{root}/series/batch={attempt}")
+    counts = saved_counts(spark.read.schema(rows.schema).parquet(f"{root}/series/batch={attempt}"))
     done = (
         worked.select(F.col("entity").cast("string").alias("entity"))
         .distinct()
         .join(counts, "entity", "left")
         .select("entity", F.coalesce("n_series", F.lit(0)).cast("long").alias("n_series"))
     )
-    done.write.mode("overwrite").parquet(f"{root}/ledger/batch={batch}")
+    done.write.parquet(f"{root}/ledger/batch={attempt}")
 
 
 def saved_counts(rows: DataFrame) -> DataFrame:
@@ -72,10 +82,11 @@ def saved_series(spark: SparkSession, root: str) -> DataFrame:
     """Series rows of the published batches."""
     if not exists(spark, f"{root}/series"):
         raise FileNotFoundError(f"no saved series under {root}")
-    series = spark.read.parquet(f"{root}/series").withColumn("batch", F.col("batch").cast("string"))
-    # Directory names are inferred as numbers where they look like ones; compare them as read.
-    published = spark.read.parquet(f"{root}/ledger").select(F.col("batch").cast("string").alias("batch")).distinct()
-    return series.join(published, "batch", "left_semi").drop("batch")
+    # Names are read as text: inferred as numbers, 007 would be 7.
+    found = spark.read.parquet(f"{root}/series").schema
+    schema = T.StructType([T.StructField("batch", T.StringType()) if f.name == "batch" else f for f in found])
+    published = [r["batch"] for r in ledger(spark, root).select("batch").distinct().collect()]  # one a batch; prunes
+    return spark.read.schema(schema).parquet(f"{root}/series").where(F.col("batch").isin(published)).drop("batch")
 
 
 def resume(worklist: DataFrame, done: DataFrame) -> DataFrame:

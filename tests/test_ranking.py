@@ -168,3 +168,11 @@ def test_merged_zero_statistics(spark):
     model = stats.fit_scaled(df, ["v"], ["v"])
     terms = 1 / np.array([0.25, 0.25, 0.25, 0.5, 1.0])
     assert model.stats["v"].mean == pytest.approx(terms.mean()) and model.stats["v"].std == pytest.approx(terms.std(ddof=1))
+
+
+def test_rank_of_neighbouring_and_infinite_scores(spark):
+    near = [1.0, 1.0000000000000002, 1.0000000000000004]
+    scores = near * 10 + [float("inf")] * 10 + [float("-inf")] * 5
+    df = spark.createDataFrame([(str(i), s) for i, s in enumerate(scores)], "entity string, s double")
+    got = {r.entity: r["rank"] for r in ranking.global_rank(df, "s", "rank", rows_per_task=4).collect()}
+    assert got == {str(i): 1 + sum(t > s for t in scores) for i, s in enumerate(scores)}

@@ -128,3 +128,18 @@ def test_stream_takes_new_files_only(spark, tmp_path):
     assert set(take()) == {("a", "200000"), ("b c", "500000"), ("a", "500000")}
     assert {r.entity for r in tables.ledger(spark, root).collect()} == {"a", "b c", "z"}
     assert array_features(tables.saved_series(spark, root)).where("n_bad > 0").count() == 3
+
+
+def test_resuming_keeps_what_is_published(spark, tmp_path):
+    root = str(tmp_path / "kept")
+    work = spark.createDataFrame([("a",), ("b",), ("c",)], "entity string")
+
+    def rows_of(todo):
+        return todo.select("entity", F.lit("A").alias("regime"))
+
+    tables.ingest(rows_of, work.where("entity <> 'c'"), root, "resume", "007")
+    spark.createDataFrame([("z", "A")], "entity string, regime string").write.parquet(f"{root}/series/batch=x1")
+    for _ in range(2):  # the second time there is nothing left to do
+        tables.ingest(rows_of, work, root, "resume", "007")
+    assert sorted(r.entity for r in tables.saved_series(spark, root).collect()) == ["a", "b", "c"]
+    assert tables.ledger(spark, root).count() == 3
