@@ -1,7 +1,7 @@
 """Time the headline queries and print one JSON line.
 
 BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8), BENCH_RUNS
-(default 1 timed run after one untimed warm-up of the session).
+(default 3 timed runs of each query, of which the median counts, after one untimed warm-up of the session).
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    runs = int(os.environ.get("BENCH_RUNS", "1"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     spark = get_session("bench", f"local[{cpus}]", cpus, LOCAL_SETTINGS)
     spark.sparkContext.setLogLevel("ERROR")
     QUERIES["scan_series"](spark, sf_dir).write.format("noop").mode("overwrite").save()

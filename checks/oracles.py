@@ -5,7 +5,16 @@ Single precision on both sides (see ``stable`` in queries).
 
 from __future__ import annotations
 
-from series_rank.config import FEATURE_WEIGHTS, FEATURES, LOWER_BETTER
+# Fixed values, written out here so that a wrong name, direction or weight in the library shows.
+FEATURES = [
+    "ratioMax", "ratioMaxX", "yMax", "yStdRate", "yMeanRate", "yStdFallRate", "yMeanFallRate",
+    "dMax", "dStdRate", "dMeanRate", "mAtZero",
+]
+LOWER_BETTER = ["ratioMaxX", "yStdRate", "yStdFallRate", "yMeanFallRate", "dMax", "dStdRate", "dMeanRate", "mAtZero"]
+FEATURE_WEIGHTS = {
+    "ratioMax": 33, "ratioMaxX": 6, "yMax": 30, "yStdRate": 15, "yMeanRate": 18, "yStdFallRate": 21,
+    "yMeanFallRate": 24, "dMax": 27, "dStdRate": 9, "dMeanRate": 12, "mAtZero": 3,
+}
 
 REGIMES = ["A", "N", "R"]
 COLUMNS = [f"{r}_{f}" for r in REGIMES for f in FEATURES]

@@ -45,8 +45,7 @@ FEATURE_WEIGHTS = {
     "mAtZero": 3,
 }
 
-# Gate thresholds, factor caps and the shortlist length.
-MIN_SERIES = 3
+# Gate threshold, factor caps and the shortlist length.
 MIN_FALL_POINTS = 7
 MAX_FACTORS_LOWER = 8
 MAX_FACTORS_HIGHER = 3
@@ -86,7 +85,7 @@ class Params:
     required_attributes: Sequence[str] | None = None  # default: the bounded columns
     top_n: int = TOP_N
     weights: Mapping[str, float] | None = None  # default: default_weights(regimes)
-    min_series: int = MIN_SERIES
+    min_series: int | None = None  # default: one for each regime
     min_fall_points: int = MIN_FALL_POINTS
     max_factors_lower: int = MAX_FACTORS_LOWER
     max_factors_higher: int = MAX_FACTORS_HIGHER

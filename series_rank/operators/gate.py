@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from series_rank.config import MIN_FALL_POINTS, MIN_SERIES
+from series_rank.config import MIN_FALL_POINTS
 
 REJECT_COLUMNS = ["entity", "stage", "reason"]
 
@@ -39,8 +39,9 @@ def gate_aggregates(series: DataFrame, regimes: Sequence[str], min_fall_points:
     return [F.count(F.lit(1)).alias("n_series"), F.min(failing).alias("failing")]
 
 
-def entity_reason(min_series: int) -> Column:
-    """Too few series goes before any reason of a single one."""
+def entity_reason(regimes: Sequence[str], min_series: int | None = None) -> Column:
+    """Too few series (by default, fewer than regimes) goes before any reason of a single one."""
+    min_series = len(regimes) if min_series is None else min_series
     few = F.when(F.col("n_series") < min_series, F.lit(f"fewer than {min_series} regimes available"))
     return F.coalesce(few, F.col("failing.reason"))
 
@@ -48,7 +49,7 @@ def entity_reason(min_series: int) -> Column:
 def validate(
     series: DataFrame,
     regimes: Sequence[str],
-    min_series: int = MIN_SERIES,
+    min_series: int | None = None,
     min_fall_points: int = MIN_FALL_POINTS,
 ) -> DataFrame:
     """One row per entity: ``n_series`` and ``reason`` (NULL for a valid entity).
@@ -60,7 +61,7 @@ def validate(
         .groupBy("entity")
         .agg(*gate_aggregates(series, regimes, min_fall_points))
     )
-    return checked.select("entity", "n_series", entity_reason(min_series).alias("reason"))
+    return checked.select("entity", "n_series", entity_reason(regimes, min_series).alias("reason"))
 
 
 def rejects(validated: DataFrame) -> DataFrame:

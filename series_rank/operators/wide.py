@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from series_rank.config import FEATURES, LOWER_BETTER, MIN_FALL_POINTS, MIN_SERIES, Bounds, feature_columns
+from series_rank.config import FEATURES, LOWER_BETTER, MIN_FALL_POINTS, Bounds, feature_columns
 from series_rank.operators.gate import entity_reason, gate_aggregates, regime_order
 
 
@@ -37,7 +37,7 @@ def to_wide(series: DataFrame, regimes: Sequence[str], features: Sequence[str] =
 def entity_table(
     series: DataFrame,
     regimes: Sequence[str],
-    min_series: int = MIN_SERIES,
+    min_series: int | None = None,
     min_fall_points: int = MIN_FALL_POINTS,
 ) -> DataFrame:
     """Gate and pivot in one grouping: wide features, and in ``gate`` why the entity is invalid (or NULL)."""
@@ -46,7 +46,7 @@ def entity_table(
         .groupBy("entity")
         .agg(*gate_aggregates(series, regimes, min_fall_points), *wide_aggregates(series, regimes))
     )
-    return grouped.select("entity", entity_reason(min_series).alias("gate"), *wide_select(regimes))
+    return grouped.select("entity", entity_reason(regimes, min_series).alias("gate"), *wide_select(regimes))
 
 
 def present(columns: Sequence[str]) -> Column:
@@ -100,13 +100,9 @@ def feature_projection(df: DataFrame, meta: Sequence[str]) -> list[str]:
 
 
 def direction_split(columns: Sequence[str], lower: Sequence[str] = LOWER_BETTER) -> tuple[list[str], list[str]]:
-    """(lower-is-better, higher-is-better) columns, by feature suffix.
-
-    A suffix also matches with its underscores removed.
-    """
-    suffixes = tuple(lower) + tuple(s.replace("_", "") for s in lower)
-    low = [c for c in columns if c.endswith(suffixes)]
-    return low, [c for c in columns if c not in set(low)]
+    """(lower-is-better, higher-is-better) columns, by the feature that a column name ends in."""
+    below = {c: c.rpartition("_")[2] in lower for c in columns}
+    return [c for c in columns if below[c]], [c for c in columns if not below[c]]
 
 
 def first_per_key(df: DataFrame, key: str, columns: Sequence[str], order: Sequence[Column]) -> DataFrame:

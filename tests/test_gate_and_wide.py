@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
-from series_rank.config import FEATURES, Bounds, feature_columns
+from checks import oracles
+from series_rank.config import FEATURE_WEIGHTS, FEATURES, LOWER_BETTER, Bounds, feature_columns
 from series_rank.operators import gate, wide
 
 SCHEMA = "entity string, regime string, n_points long, n_bad long, n_fall long, " + ", ".join(f"{f} double" for f in FEATURES)
@@ -65,3 +66,17 @@ def test_range_limits_are_inclusive_and_optional(spark):
 def test_complete_cases_coerces_and_drops(spark):
     df = spark.createDataFrame([("a", "1.5", 1.0), ("b", "n/a", 1.0), ("c", "2", float("nan"))], "entity string, u string, v double")
     assert [(r.entity, r.u) for r in wide.complete_cases(df, ["u", "v"]).collect()] == [("a", 1.5)]
+
+
+def test_the_regimes_set_how_many_series_an_entity_needs(spark):
+    rows = [row("two", "A"), row("two", "B"), row("one", "A")]
+    series = spark.createDataFrame(rows, SCHEMA)
+    found = {r.entity: r.reason for r in gate.validate(series, ["A", "B"]).collect()}
+    assert found == {"two": None, "one": "fewer than 2 regimes available"}
+    assert {r.entity: r.gate for r in wide.entity_table(series, ["A", "B"]).collect()} == found
+    assert {r.reason for r in gate.validate(series, ["A", "B"], min_series=1).collect()} == {None}
+
+
+def test_statements_and_library_agree_on_fixed_values():
+    assert oracles.FEATURES == FEATURES and sorted(oracles.LOWER_BETTER) == sorted(LOWER_BETTER)
+    assert oracles.FEATURE_WEIGHTS == FEATURE_WEIGHTS
