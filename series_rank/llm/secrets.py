@@ -4,15 +4,19 @@ Candidate strings are scored by two first-order Markov models over characters, o
 of random strings and one of ordinary identifiers, by the logarithm of their
 likelihood ratio. Both are trained from labelled samples: random ones are the
 values the base patterns find and digests of row ids in the usual encodings;
-ordinary ones are the corpus's own long words and numbers outside the base spans.
-A model is a table of the alphabet's pairs of characters, so its size is fixed.
+ordinary ones are the corpus's own identifiers outside the base spans, every different
+run of LEAST_WORD characters or more once, but for long runs that mix letters and
+digits, which may be secrets themselves. A model is a table of the alphabet's pairs of
+characters, so its size is fixed; an ordinary string leaves the pairs learnt with a
+fixed probability, so that pairs not seen do not weigh more the larger the corpus is.
 
 Places come from cutting a text at a pattern: a match starts behind the pieces and
 matches before it.
 
 Defined results: a null text is an empty one; repeated rows are scanned each; an
 empty table gives an empty table; a corpus without labelled samples gives a ratio
-of 0, which finds nothing. Other columns take no part in the scan and pass
+of 0, which finds nothing; one of a few hundred words finds little beyond the base
+patterns. Other columns take no part in the scan and pass
 through the redaction unchanged.
 """
 
@@ -32,10 +36,14 @@ ASSIGN_VALUE = 6
 ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "[0-9a-f]{24,}"
 
-CANDIDATE = "[A-Za-z0-9+/_=-]{16,}"
+LEAST_LENGTH = 16
+LEAST_WORD = 4
+RUN = "[A-Za-z0-9+/_=-]"
+CANDIDATE = f"{RUN}{{{LEAST_LENGTH},}}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 STATES = len(ALPHABET) + 1  # 0: the start
 PRIOR = 0.5
+LEAVE = 0.01  # of an ordinary string, at each character
 LEAST_RATIO = 12.0  # natural logarithm
 SAMPLE_ROWS = 20_000  # bound of the rows whose digests are labelled random
 MASK = "[SECRET]"
@@ -90,30 +98,39 @@ def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
     return rows.withColumn("_candidates", outside).drop("_assign", "_access", "_hex")
 
 
-def pair_counts(scan: DataFrame, sample_rows: int = SAMPLE_ROWS, doc_id: str = "doc_id") -> DataFrame:
+def _mixed(value: Column) -> Column:
+    return value.rlike("[0-9]") & value.rlike("[A-Za-z]")
+
+
+def ordinary(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(v): the different identifiers outside the base spans."""
+    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    free = F.regexp_replace(t, F.lit(ASSIGN.replace("]+)", f"]{{{ASSIGN_VALUE},}})")), F.lit(" "))
+    words = F.regexp_extract_all(free, F.lit(f"{RUN}{{{LEAST_WORD},}}"), F.lit(0))
+    v = F.col("v")
+    long = F.length(v) >= LEAST_LENGTH
+    return docs.select(F.explode(words).alias("v")).distinct().where(~(long & (_mixed(v) | v.rlike(ACCESS) | v.rlike(HEX))))
+
+
+def pair_counts(
+    scan: DataFrame, identifiers: DataFrame, sample_rows: int = SAMPLE_ROWS, doc_id: str = "doc_id"
+) -> DataFrame:
     """(random, a, b, n): the pairs of characters in the labelled strings; a is empty at a start."""
-    mixed = F.filter("_values", lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]"))
-    plain = F.filter(
-        F.transform("_candidates", lambda c: c["value"]), lambda v: ~(v.rlike("[0-9]") & v.rlike("[A-Za-z]"))
-    )
     share = max(1, -(-scan.count() // sample_rows))
     digest = F.sha2(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), 256)
     drawn = F.pmod(F.xxhash64(doc_id), F.lit(share)) == 0
     made = F.when(drawn, F.array(digest, F.rtrim(F.base64(F.unhex(digest)), F.lit("="))))
     made = F.coalesce(made, F.array().cast("array<string>"))
-    labelled = F.concat(
-        F.transform(F.concat(mixed, made), lambda v: F.struct(F.lit(True).alias("random"), v.alias("v"))),
-        F.transform(plain, lambda v: F.struct(F.lit(False).alias("random"), v.alias("v"))),
-    )
-    rows = scan.select(F.explode(labelled).alias("s")).where(F.length("s.v") > 0)
+    random = scan.select(F.explode(F.concat(F.filter("_values", _mixed), made)).alias("v"))
+    rows = random.withColumn("random", F.lit(True)).unionByName(identifiers.withColumn("random", F.lit(False)))
     pair = F.transform(
-        F.sequence(F.lit(1), F.length("s.v")),
+        F.sequence(F.lit(1), F.length("v")),
         lambda i: F.struct(
-            F.when(i > 1, F.substr(F.col("s.v"), i - 1, F.lit(1))).otherwise("").alias("a"),
-            F.substr(F.col("s.v"), i, F.lit(1)).alias("b"),
+            F.when(i > 1, F.substr(F.col("v"), i - 1, F.lit(1))).otherwise("").alias("a"),
+            F.substr(F.col("v"), i, F.lit(1)).alias("b"),
         ),
     )
-    pairs = rows.select("s.random", F.explode(pair).alias("p"))
+    pairs = rows.where(F.length("v") > 0).select("random", F.explode(pair).alias("p"))
     return pairs.groupBy("random", "p.a", "p.b").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -124,7 +141,11 @@ def log_ratios(counts: DataFrame) -> list[float]:
     for row in counts.collect():
         if row["a"] in place and row["b"] in place:
             tables[row["random"]][place[row["a"]]][place[row["b"]]] += row["n"]
-    logs = {r: [[math.log(x / sum(line[1:])) for x in line] for line in t] for r, t in tables.items()}
+    leave = {True: 0.0, False: LEAVE}
+    logs = {
+        r: [[math.log((1 - leave[r]) * x / sum(line[1:]) + leave[r] / (STATES - 1)) for x in line] for line in t]
+        for r, t in tables.items()
+    }
     return [a - b for x, y in zip(logs[True], logs[False]) for a, b in zip(x, y)]
 
 
@@ -157,14 +178,17 @@ def written(spans: Column) -> Column:
     )
 
 
-def learn(scan: DataFrame, sample_rows: int = SAMPLE_ROWS, doc_id: str = "doc_id") -> list[float]:
-    return log_ratios(pair_counts(scan, sample_rows, doc_id))
+def learn(
+    scan: DataFrame, identifiers: DataFrame, sample_rows: int = SAMPLE_ROWS, doc_id: str = "doc_id"
+) -> list[float]:
+    return log_ratios(pair_counts(scan, identifiers, sample_rows, doc_id))
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """(doc_id, base, spans): arrays of (start, kind number, stop) of every row; texts are read once."""
+    """(doc_id, base, spans): arrays of (start, kind number, stop) of every row; texts are read twice."""
     scan = materialize(scanned(docs.select("doc_id", "text")).drop("text"), "scan")
-    return scan.select("doc_id", F.col("_base").alias("base"), all_spans(learn(scan)).alias("spans"))
+    ratios = learn(scan, ordinary(docs))
+    return scan.select("doc_id", F.col("_base").alias("base"), all_spans(ratios).alias("spans"))
 
 
 def redacted(docs: DataFrame, mask: str = MASK) -> DataFrame:
@@ -172,7 +196,7 @@ def redacted(docs: DataFrame, mask: str = MASK) -> DataFrame:
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
     rows = docs.select(row, F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("_text"))
     scan = materialize(scanned(rows.drop("_row"), "_text").drop("_text"), "scan")
-    spans = all_spans(learn(scan, doc_id="_id"))
+    spans = all_spans(learn(scan, ordinary(rows, "_text"), doc_id="_id"))
     out = scanned(rows, "_text").withColumn("_spans", spans)
     text = F.col("_text")
     masked = F.aggregate(

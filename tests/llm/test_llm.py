@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import re
+import string
 
 import numpy as np
 import public_tokenizers as P
@@ -18,7 +19,7 @@ from series_rank.llm import byte_bpe, jaccard, maxent, packing, quality, secrets
 from series_rank.llm.queries import ORACLES, QUERIES
 from series_rank.llm.segments import encoder, ranks_of
 from series_rank.llm.shipping import ship
-from tests.conftest import SMALL
+from tests.conftest import MEDIUM, SMALL
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, key string, words array<string>"
 LONG = " ".join(f"word{i % 977}x{i}" for i in range(30_000))
@@ -80,6 +81,19 @@ def test_secrets(docs):
     assert masked[6] == 'x [SECRET]" y [SECRET] é [SECRET] ' and masked[1] is None
 
 
+@pytest.mark.parametrize("folder, least", [(SMALL, 0.7), (MEDIUM, 0.9)])
+def test_planted_random_strings(spark, folder, least):
+    rng, signs = np.random.default_rng(11), list(string.ascii_letters + string.digits)
+    table = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    made = [(-1 - i, "".join(rng.choice(signs, (16, 24, 40)[i % 3]))) for i in range(150)]
+    rows = [(d, f"the value {v} of it") for d, v in made] + [(-200, "see getUserAccountById and a 2024-01-01T12-00-00Z")]
+    both = table.unionByName(spark.createDataFrame(rows, table.schema))
+    spans = {r.doc_id: r.s for r in secrets.found(both).select("doc_id", secrets.written(F.col("spans")).alias("s")).collect()}
+    whole = {n: np.mean([spans[d] == f"random:10:{10 + n}" for d, v in made if len(v) == n]) for n in (16, 24, 40)}
+    assert whole[16] >= least and whole[24] >= 0.9 and whole[40] >= 0.98
+    assert not any("random" in s for d, s in spans.items() if d not in dict(made))
+
+
 def test_quality_counts(docs):
     for r in quality.quality(docs).collect():
         text = next(t for d, t, *_ in ROWS if d == r.doc_id)
