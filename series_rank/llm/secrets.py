@@ -10,6 +10,9 @@ digits, which may be secrets themselves. A model is a table of the alphabet's pa
 characters, so its size is fixed; an ordinary string leaves the pairs learnt with a
 fixed probability, so that pairs not seen do not weigh more the larger the corpus is.
 
+A candidate is what the base spans leave of a run of LEAST_LENGTH characters or more:
+the spans are cut out of it, and each rest of that length is scored by itself.
+
 Places come from cutting a text at a pattern: a match starts behind the pieces and
 matches before it.
 
@@ -91,13 +94,37 @@ def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
     base = F.concat(*(_spans(F.col(f"_{k}"), i) for i, k in enumerate(KINDS[:3])))
     values = F.concat(*(F.transform(F.col(f"_{k}"), lambda m: m["value"]) for k in KINDS[:3]))
     rows = rows.withColumns({"_base": F.array_sort(base), "_values": values})
-    outside = F.filter(
-        "_candidates",
-        lambda c: ~F.exists("_base", lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"])),
-    )
+    outside = F.flatten(F.transform("_candidates", _rests))
     return rows.withColumn("_candidates", outside).drop("_assign", "_access", "_hex")
 
 
+def _rests(candidate: Column) -> Column:
+    """What the spans of _base, sorted by start, leave of a candidate, in pieces of the least length or more."""
+    touching = F.filter("_base", lambda b: (b["start"] < candidate["stop"]) & (candidate["start"] < b["stop"]))
+    ends = F.transform(touching, lambda b: F.struct(b["start"].alias("start"), b["stop"].alias("stop")))
+    last = F.array(F.struct(candidate["stop"].alias("start"), candidate["stop"].alias("stop")))
+    none = F.array().cast("array<struct<start: int, stop: int>>")
+    pieces = F.aggregate(
+        F.concat(ends, last),
+        F.struct(candidate["start"].alias("at"), none.alias("done")),
+        lambda s, b: F.struct(
+            F.greatest(s["at"], b["stop"]).alias("at"),
+            F.when(
+                b["start"] - s["at"] >= LEAST_LENGTH,
+                F.concat(s["done"], F.array(F.struct(s["at"].alias("start"), b["start"].alias("stop")))),
+            ).otherwise(s["done"]).alias("done"),
+        ),
+        lambda s: s["done"],
+    )
+    return F.transform(
+        pieces,
+        lambda p: F.struct(
+            p["start"].alias("start"), p["stop"].alias("stop"),
+            F.substr(candidate["value"], p["start"] - candidate["start"] + 1, p["stop"] - p["start"]).alias("value"),
+        ),
+    )
+
+
 def _mixed(value: Column) -> Column:
     return value.rlike("[0-9]") & value.rlike("[A-Za-z]")
 
