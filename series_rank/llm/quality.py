@@ -3,8 +3,11 @@
 Every text is measured; the measures of each (language, source) go into
 mergeable quantile sketches: histograms over whole numbers that keep eleven
 significant bits (a relative error of at most 1/1024), so that merging is adding
-counts, in any order, with the same result. Thresholds are the outer fences of a
-group's quartiles. A group of fewer than MIN_DOCS texts takes the fences of its
+counts, in any order, with the same result. Thresholds are outer fences: a
+group's upper tenth, and FENCE times its distance from the middle beyond it (for word
+lengths the lower tenth too). They have no fixed least; only the error of measure and
+sketch is added, and a text fails a share by more than one event, since one symbol or
+one repeated line or passage says nothing of its usual share. A group of fewer than MIN_DOCS texts takes the fences of its
 language, and a small language those of all texts: the same sketches, merged.
 The fences are joined back to the measured rows by language and source.
 
@@ -31,16 +34,20 @@ SYMBOLS = b"#*$%&|<>"
 UPPER = bytes(range(65, 91))
 REPEAT_WINDOW = 5
 MIN_DOCS = 200
-# Widths of the fences in quartile distances, and the least room beyond the
-# quartiles in units of the measure (below): groups of equal values have no distance.
+# Widths of the fences in distances from the middle to the outer tenth.
 FENCE = 4.0
 MEASURES = {
-    "symbols": ("1000 * n_symbols div nullif(n_words, 0)", 40),
-    "dup_lines": ("1000 * n_dup_lines div nullif(n_lines, 0)", 400),
-    "repeats": ("1000 * n_repeat_words div nullif(n_words, 0)", 200),
-    "upper": ("1000 * n_upper div nullif(word_chars, 0)", 150),
-    "word_length": ("100 * word_chars div nullif(n_words, 0)", 300),
+    "symbols": "1000 * n_symbols div nullif(n_words, 0)",
+    "dup_lines": "1000 * n_dup_lines div nullif(n_lines, 0)",
+    "repeats": "1000 * n_repeat_words div nullif(n_words, 0)",
+    "upper": "1000 * n_upper div nullif(word_chars, 0)",
+    "word_length": "100 * word_chars div nullif(n_words, 0)",
 }
+# What one event adds to a count: a passage said twice is two windows of words.
+EVENTS = {
+    "symbols": ("n_symbols", 1), "dup_lines": ("n_dup_lines", 1), "repeats": ("n_repeat_words", 2 * REPEAT_WINDOW),
+    "upper": ("n_upper", 1),
+}
 TWO_SIDED = ("word_length",)
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
 
@@ -90,7 +97,7 @@ def base_failed(m: str = "m") -> Column:
 
 
 def _value(name: str, m: str) -> Column:
-    return F.expr(re.sub("|".join(COUNTS), lambda c: f"{m}.{c[0]}", MEASURES[name][0]))
+    return F.expr(re.sub("|".join(COUNTS), lambda c: f"{m}.{c[0]}", MEASURES[name]))
 
 
 def sketches(rows: DataFrame, lang: str = "lang", source: str = "source", m: str = "m") -> DataFrame:
@@ -121,14 +128,17 @@ def fences(table: DataFrame, min_docs: int = MIN_DOCS, fence: float = FENCE) ->
     merged = at.groupBy(*key, "bucket").agg(F.sum("n").alias("n"))
     group = Window.partitionBy("level", "lang", "source", "name")
     cumulated = merged.withColumns({"upto": F.sum("n").over(group.orderBy("bucket")), "total": F.sum("n").over(group)})
-    quartile = {q: F.min(F.when(4 * F.col("upto") >= q * F.col("total"), F.col("bucket"))) for q in (1, 3)}
+    tenth = {q: F.min(F.when(10 * F.col("upto") >= q * F.col("total"), F.col("bucket"))) for q in (1, 5, 9)}
     q = cumulated.groupBy("level", "lang", "source", "name").agg(
-        quartile[1].alias("q1"), quartile[3].alias("q3"), F.max("total").alias("total")
+        tenth[1].alias("lower"), tenth[5].alias("middle"), tenth[9].alias("upper"), F.max("total").alias("total")
     )
-    least = F.element_at(F.create_map(*(F.lit(x) for k, (_, v) in MEASURES.items() for x in (k, float(v)))), F.col("name"))
-    room = F.greatest(fence * (F.col("q3") - F.col("q1")), least)
-    low = F.when(F.col("name").isin(*TWO_SIDED), F.col("q1") - room)
-    bounds = q.select("level", "lang", "source", "name", "total", low.alias("low"), (F.col("q3") + room).alias("high"))
+
+    def room(a: str, b: str) -> Column:
+        return F.greatest(fence * (F.col(b) - F.col(a)), 1 + F.col(b) / 1024)  # at least the errors
+
+    low = F.when(F.col("name").isin(*TWO_SIDED), F.col("lower") - room("lower", "middle"))
+    high = F.col("upper") + room("middle", "upper")
+    bounds = q.select("level", "lang", "source", "name", "total", low.alias("low"), high.alias("high"))
     groups = table.select("lang", "source", "name").distinct()
     wide = groups
     for level in (2, 1, 0):
@@ -158,6 +168,9 @@ def judged(
     for k in MEASURES:
         v = _value(k, m)
         out = v > F.element_at("_bounds.high", k)
+        if k in EVENTS:
+            count, event = EVENTS[k]
+            out = out & (F.col(f"{m}.{count}") > event)
         if k in TWO_SIDED:
             out = out | (v < F.element_at("_bounds.low", k))
         outside.append(F.when(out, F.lit(k)))

@@ -123,6 +123,32 @@ def test_quality_counts(docs):
         assert not (r.base_failed and r.kept)
 
 
+def test_quality_fences_follow_the_group(spark):
+    """The same odd texts in a group of even texts and in one where such texts are usual."""
+    rng = np.random.default_rng(2)
+
+    def text(symbols=0, dup=0, passage=0, upper=0, letters=5):
+        w = ["".join(rng.choice(list("abcdefghij"), letters)) for _ in range(200)]
+        w[150:150 + passage] = w[20:20 + passage]
+        w[:symbols] = [x + "#" for x in w[:symbols]]
+        w[100:100 + upper] = [x.upper() for x in w[100:100 + upper]]
+        lines = [" ".join(w[i : i + 10]) for i in range(0, 200, 10)]
+        return "\n".join(lines + ["same line"] * (dup + 1 if dup else 0))
+
+    usual = [(1000 + i, "en", "even", text(int(i % 20 == 0))) for i in range(300)]
+    for i in range(300):
+        x = int(rng.integers(0, 4))
+        usual.append((2000 + i, "en", "wide", text(2 * x, x, 5 + 2 * x, 3 * x, 4 + x % 3)))
+    odd = {"symbols": dict(symbols=6), "dup_lines": dict(dup=4), "repeats": dict(passage=14), "upper": dict(upper=8),
+           "word_length": dict(letters=6)}
+    planted = [(i + 10 * far, "en", far and "wide" or "even", text(**x)) for far in (0, 1) for i, x in enumerate(odd.values())]
+    table = spark.createDataFrame(usual + planted + [(30, "en", "even", text(1))], "doc_id long, lang string, source string, text string")
+    got = {r.doc_id: r for r in quality.quality(table).collect()}
+    assert all(name in got[i].failed and not got[i].base_failed for i, name in enumerate(odd))
+    assert all(got[10 + i].kept for i in range(len(odd))) and got[30].kept
+    assert np.mean([got[d].kept for d, *_ in usual]) > 0.98
+
+
 @pytest.mark.parametrize("limits", [{}, {"task_members": 2}, {"task_members": 3, "task_ngrams": 500}])
 def test_near_duplicates_equal_brute_force(spark, docs, limits):
     table = spark.read.parquet(f"{SMALL}/documents.parquet")
