@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from series_rank.llm import byte_bpe, jaccard, maxent, packing, quality, secrets, substrings, token_files, topk, toxicity
+from series_rank.llm import (
+    byte_bpe,
+    jaccard,
+    lexical,
+    maxent,
+    packing,
+    quality,
+    secrets,
+    substrings,
+    token_files,
+    topk,
+    toxicity,
+    variants,
+    warc,
+)
 from series_rank.llm.tables import documents, table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -72,6 +86,18 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.grouped(documents(spark, sf_dir))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_quality": op2_quality,
@@ -83,6 +109,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_repeated_windows": op9_repeated_windows,
     "op10_top_k": op10_top_k,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_warc": op12_warc,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 ORACLES: dict[str, str] = {
