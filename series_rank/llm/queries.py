@@ -141,4 +141,74 @@ ORACLES: dict[str, str] = {
             FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    # crc32 bit by bit: a byte joins before the first of its eight steps. Words share a key where one letter is left out.
+    "op11_spelling_variants": r"""
+        WITH RECURSIVE r AS (
+            SELECT doc_id, w, count(*) AS n FROM (
+                SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                    'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS w FROM documents)
+            WHERE length(w) >= 6 GROUP BY ALL),
+        b AS (
+            SELECT w, n, hex(encode(doc_id::VARCHAR || ':' || w)) AS x FROM r),
+        h AS (
+            SELECT w, n, xor(4294967295, list_reduce(
+                flatten([[('0x' || substr(x, 2 * i + 1, 2))::BIGINT, 0, 0, 0, 0, 0, 0, 0] for i in range(len(x) // 2)]),
+                lambda c, y: xor(xor(c, y) >> 1, 3988292384 * (xor(c, y) & 1)), 4294967295)) AS h FROM b),
+        v AS (
+            SELECT word, sum(n)::BIGINT AS n FROM (
+                SELECT n, CASE WHEN h % 199 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word
+                FROM h)
+            WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+        k AS (
+            SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS key
+            FROM (SELECT word, unnest(range(length(word))) AS i FROM v)),
+        near AS (
+            SELECT x.word AS a, y.word AS b FROM k x JOIN k y USING (key, i) WHERE x.word <> y.word
+            UNION SELECT k.word, v.word FROM k JOIN v ON k.key = v.word
+            UNION SELECT v.word, k.word FROM k JOIN v ON k.key = v.word),
+        best AS (
+            SELECT a, b, m, count(*) OVER (PARTITION BY a) AS n_near, row_number() OVER (PARTITION BY a ORDER BY m DESC, b) AS place
+            FROM (SELECT a, b, v.n AS m FROM near JOIN v ON b = v.word)),
+        f AS (
+            SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN m >= 5 * n THEN b END AS form,
+                CASE WHEN m >= 5 * n THEN m END AS form_n
+            FROM v LEFT JOIN best ON a = word AND place = 1),
+        path AS (
+            SELECT word, word AS at FROM f
+            UNION ALL SELECT path.word, f.form FROM path JOIN f ON f.word = path.at WHERE f.form IS NOT NULL)
+        SELECT f.word, f.form, path.at AS root, f.n, f.n_near, f.form_n
+        FROM f JOIN path USING (word) JOIN f AS e ON e.word = path.at AND e.form IS NULL""",
+    # base32: five hexadecimal digits are four of its digits.
+    "op12_warc": r"""
+        WITH x AS (
+            SELECT page_id, encode(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages),
+        y AS (SELECT page_id, last, octet_length(h)::BIGINT AS payload_bytes, sha1(h) AS s FROM x)
+        SELECT page_id, payload_bytes, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                1 + (('0x' || substr(s, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) % 32, 1) for i in range(32)], '') AS payload_digest,
+            CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id <> last THEN last END AS refers_to
+        FROM y""",
+    "op13_lexical_search": r"""
+        WITH d AS (
+            SELECT doc_id, row_number() OVER () AS r, [x for x in regexp_split_to_array(translate(coalesce(text, ''),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') if x <> ''] AS words
+            FROM documents),
+        s AS (SELECT count(*) AS nd, sum(len(words))::BIGINT AS l FROM d WHERE len(words) > 0),
+        q AS (
+            SELECT DISTINCT item_id, unnest([x for x in regexp_split_to_array(translate(coalesce(text, ''),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') if x <> '']) AS t
+            FROM benchmark),
+        tf AS (
+            SELECT doc_id, r, n, t, count(*) AS tf FROM (SELECT doc_id, r, len(words) AS n, unnest(words) AS t FROM d)
+            WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+        w AS (
+            SELECT t, floor(1000 * ln((2 * nd + 2) / (2 * df + 1)))::BIGINT AS w
+            FROM (SELECT t, count(*) AS df FROM tf GROUP BY t), s),
+        c AS (
+            SELECT item_id, doc_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nd) // l))))::BIGINT AS score
+            FROM tf JOIN w USING (t) JOIN q USING (t), s GROUP BY ALL)
+        SELECT item_id, rank, doc_id, score FROM (
+            SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank
+            FROM c WHERE score > 0)
+        WHERE rank <= 10""",
 }

@@ -1,25 +1,27 @@
 """Spelling variants: words one edit apart, found through pivotal grams.
 
 A word is a longest run of Latin letters, A-Z in lower case. Runs whose checksum
-with the document's id is a multiple of DAMAGE lose one character (a fixed way to
-plant variants); the results of at least LEAST_LENGTH characters that occur
+with the document's id is a multiple of DAMAGE lose one letter (a fixed way to
+plant variants); the results of at least LEAST_LENGTH letters that occur
 LEAST_COUNT times form the vocabulary.
 
-Bigrams are ranked by the number of vocabulary words with them, rare ones first;
+Bigrams are ranked by how often the vocabulary's words hold them, rare ones first;
 there are at most 90 x 90. The *prefix* of a word are its bigrams up to its third
 in rank, all places of that bigram included; from it a dynamic program over places
 takes the two disjoint ones of least total frequency, the *pivots*. One edit
 leaves one of two disjoint bigrams whole. So of two words one edit apart, that
-whose prefix ends at the rarer bigram has a pivot in the prefix of the other, and
-the letters on the far side of the edit are equal too: up to the first pivot, if
-the edit lies behind it, else from the second pivot on. Pivots are therefore joined with
-prefixes on the bigram with its place from that end, the letters up to that end,
-and the length, which may differ by one. Candidates are verified on the words.
-
-Where very many words share such a key, its words meet on the key and one of
-their forms with a letter left out instead, which two words one edit apart share
-and few others do. Which keys are treated so is told by a bitmap of fixed size;
-both ways find the same pairs, so a key held there in error costs time only.
+whose prefix ends at the rarer bigram has a pivot in the prefix of the other; and
+as no more than one place differs, the words agree from one end up to that pivot:
+from the front to the first pivot if the edit lies behind it, else from the second
+pivot to the end. Pivots and prefixes are therefore joined on the place from that
+end, the letters from there on, and the length of the indexed word, which may
+differ by one. Candidates are verified in the join.
+
+Where many words share a key, the letters between are halved: one half must agree
+as well, so both sides go on with two longer keys each, again and again while keys
+are shared by many. Which keys go on is told by a bitmap of fixed size, and either way is
+exact, so a key held there in error costs time only. Words longer than LONG start from
+halves of the whole word in place of pivots.
 
 Defined results: a null text has no words; repeated rows count again; a null id
 is written as no character; ties among forms go to the smallest word by code
@@ -32,6 +34,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +42,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from series_rank.llm.sieve import BITS, PAGE
-from series_rank.llm.words import BASE, mix
 from series_rank.session import materialize
 
 DAMAGE = 199
 LEAST_LENGTH, LEAST_COUNT, RATIO = 6, 5, 5
+LONG = 64
 WORDS_HELD = 300_000  # distinct runs of a task before their counts are sent on
-MANY_PAIRS = 250_000  # pairs that one key may compare directly
+RUNS_HELD = 1_000_000  # runs of some documents that are numbered together
+MANY_PAIRS = 1_000  # pairs that one key may compare
 # Shorter runs are not words, and a damaged run is shorter still.
 _RUN = re.compile("[a-z\u00c0-\u00ff]{%d,}" % LEAST_LENGTH)
 
@@ -57,74 +61,96 @@ def runs(text: str | None) -> list[str]:
 
 
 class _Codes(dict):
-    """Numbers of runs in order of appearance, with their checksums and lengths."""
+    """Numbers of runs in order of appearance, with their checksums and octets."""
 
     def __init__(self) -> None:
         super().__init__()
+        self.runs: list[str] = []
         self.crc: list[int] = []
         self.octets: list[int] = []
 
     def __missing__(self, run: str) -> int:
         raw = run.encode()
-        self[run] = code = len(self)
+        self[run] = code = len(self.runs)
+        self.runs.append(run)
         self.crc.append(zlib.crc32(raw))
         self.octets.append(len(raw))
         return code
 
 
-def _shifted(crc: int, octets: int) -> int:
-    """What *crc* adds to the checksum of that many octets behind it; the checksum is linear."""
-    zeros = bytes(octets)
-    return zlib.crc32(zeros, crc) ^ zlib.crc32(zeros)
+# What one octet of zero makes of a checksum's low byte.
+_STEP = np.array([zlib.crc32(bytes([b]), 0xFFFFFFFF) ^ 0xFFFFFFFF for b in range(256)], np.int64)
+_TABLE = 128  # octets
+
+
+def checksums(ids: list, doc: np.ndarray, crc: np.ndarray, octets: np.ndarray) -> np.ndarray:
+    """The crc32 of ``<id>:<run>`` for runs of these checksums and octets, each in the document of number *doc*.
 
+    The checksum is linear: that of the id, moved on by the octets of the run, is added to that of the run.
+    """
+    moved = np.array([zlib.crc32(f"{'' if i is None else i}:".encode()) for i in ids], np.int64)
+    steps = np.empty((_TABLE, len(ids)), np.int64)
+    first = moved
+    for n in range(_TABLE):
+        steps[n] = moved
+        moved = _STEP[moved & 255] ^ (moved >> 8)
+    out = crc ^ steps[np.minimum(octets, _TABLE - 1), doc]
+    for k in np.flatnonzero(octets >= _TABLE).tolist():
+        zeros = bytes(int(octets[k]))
+        out[k] = crc[k] ^ zlib.crc32(zeros, int(first[doc[k]])) ^ zlib.crc32(zeros)
+    return out
 
-def checksums(doc_id: int | None, crc: np.ndarray, octets: np.ndarray) -> np.ndarray:
-    """The crc32 of ``<doc_id>:<run>`` for runs of these checksums and lengths."""
-    before = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode())
-    kinds, place = np.unique(octets, return_inverse=True)
-    return crc ^ np.array([_shifted(before, int(k)) for k in kinds], np.int64)[place]
+
+class _Counts:
+    """Counts of words over the documents of a task."""
+
+    def __init__(self) -> None:
+        self.codes, self.others, self.counts = _Codes(), {}, np.zeros(0, np.int64)
+
+    def add(self, ids: list, found: list[list[str]]) -> None:
+        sizes = [len(f) for f in found]
+        code = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(found)), np.int64, sum(sizes))
+        doc = np.repeat(np.arange(len(ids)), sizes)
+        h = checksums(ids, doc, np.array(self.codes.crc, np.int64)[code], np.array(self.codes.octets, np.int64)[code])
+        hit = h % DAMAGE == 0
+        counts = np.bincount(code[~hit], minlength=len(self.codes))
+        counts[: len(self.counts)] += self.counts
+        self.counts = counts
+        for c, at in zip(code[hit].tolist(), h[hit].tolist()):
+            run = self.codes.runs[c]
+            at %= len(run)
+            word = run[:at] + run[at + 1 :]
+            if len(word) >= LEAST_LENGTH:
+                self.others[word] = self.others.get(word, 0) + 1
+
+    def batch(self) -> pa.RecordBatch:
+        held = np.flatnonzero(self.counts)
+        words = [self.codes.runs[c] for c in held.tolist()] + list(self.others)
+        n = np.concatenate([self.counts[held], np.fromiter(self.others.values(), np.int64, len(self.others))])
+        return pa.RecordBatch.from_pydict({"word": pa.array(words, pa.string()), "n": pa.array(n, pa.int64())})
 
 
 def counted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(word, n): how often each word of the least length occurs, damaged runs as what is left of them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, counts, others = _Codes(), np.zeros(0, np.int64), {}
-
-        def send() -> pa.RecordBatch:
-            nonlocal codes, counts, others
-            for run, n in zip(codes, counts.tolist()):
-                if n:
-                    others[run] = others.get(run, 0) + n
-            out = pa.RecordBatch.from_pydict({"word": pa.array(list(others), pa.string()), "n": pa.array(list(others.values()), pa.int64())})
-            codes, counts, others = _Codes(), np.zeros(0, np.int64), {}
-            return out
-
+        counts, ids, found, held = _Counts(), [], [], 0
         for batch in batches:
             for key, value in zip(batch.column("doc_id"), batch.column("text")):
-                found = runs(value.as_py())
-                if not found:
-                    continue
-                own = np.fromiter(map(codes.__getitem__, found), np.int64, len(found))
-                distinct, n = np.unique(own, return_counts=True)
-                crc = np.array([codes.crc[c] for c in distinct.tolist()], np.int64)
-                octets = np.array([codes.octets[c] for c in distinct.tolist()], np.int64)
-                h = checksums(key.as_py(), crc, octets)
-                hit = h % DAMAGE == 0
-                if len(counts) < len(codes):
-                    counts = np.concatenate([counts, np.zeros(len(codes) + len(counts), np.int64)])
-                counts[distinct[~hit]] += n[~hit]
-                if hit.any():
-                    name = {int(c): r for c, r in zip(own.tolist(), found)}
-                    for c, times, at in zip(distinct[hit].tolist(), n[hit].tolist(), h[hit].tolist()):
-                        run = name[c]
-                        at %= len(run)
-                        word = run[:at] + run[at + 1 :]
-                        if len(word) >= LEAST_LENGTH:
-                            others[word] = others.get(word, 0) + times
-                if len(codes) > WORDS_HELD:
-                    yield send()
-        yield send()
+                own = runs(value.as_py())
+                if own:
+                    ids.append(key.as_py())
+                    found.append(own)
+                    held += len(own)
+                if held > RUNS_HELD:
+                    counts.add(ids, found)
+                    ids, found, held = [], [], 0
+                    if len(counts.codes) + len(counts.others) > WORDS_HELD:
+                        yield counts.batch()
+                        counts = _Counts()
+        if found:
+            counts.add(ids, found)
+        yield counts.batch()
 
     read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return read.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -155,116 +181,106 @@ def pivots(places: list[int], costs: list[int]) -> tuple[int, int]:
 
 
 class Grams:
-    """Prefixes, pivots and keys of words, by the frequency of bigrams."""
+    """Prefixes and pivots of words, by the frequency of bigrams."""
 
     def __init__(self, counts: dict[str, int]) -> None:
         order = sorted(counts, key=lambda g: (counts[g], g))
         self.rank = {g: i for i, g in enumerate(order)}
-        self.counts = counts
+        self.cost = [counts[g] for g in order]
 
-    def prefix(self, word: str) -> tuple[list[int], int]:
-        """(places of the prefix in ascending order, rank of its last bigram)."""
-        ranks = [self.rank[word[i : i + 2]] for i in range(len(word) - 1)]
+    def prefix(self, word: str) -> tuple[list[int], list[int], int]:
+        """(places of the prefix in ascending order, their bigrams' ranks, the rank of its last bigram)."""
+        rank = self.rank
+        ranks = [rank[word[i : i + 2]] for i in range(len(word) - 1)]
         end = sorted(ranks)[2]
-        return [i for i, r in enumerate(ranks) if r <= end], end
+        places = [i for i, r in enumerate(ranks) if r <= end]
+        return places, [ranks[i] for i in places], end
+
+    def pivots(self, places: list[int], ranks: list[int]) -> tuple[int, int]:
+        return pivots(places, [self.cost[r] for r in ranks])
+
+
+def asking(grams: Grams, word: str) -> list[tuple[int, int, int, int]]:
+    """(left, right, indexed length, end): the letters from both ends on which a word asks for words of that length."""
+    n, out = len(word), []
+    if n - 1 <= LONG:
+        places, ranks, end = grams.prefix(word)
+        first, second = grams.pivots(places, ranks)
+        out = [s for m in (n - 1, n, n + 1) if m <= LONG for s in ((first + 2, 0, m, end), (0, n - second, m, end))]
+    return out + [s for m in (n - 1, n, n + 1) if m > LONG for s in halves(0, 0, m, -1)]
+
+
+def asked(grams: Grams, word: str) -> list[tuple[int, int, int, int]]:
+    """The same of an indexed word."""
+    n = len(word)
+    if n > LONG:
+        return halves(0, 0, n, 0)
+    places, _, end = grams.prefix(word)
+    return [s for p in places for s in ((p + 2, 0, n, end), (0, n - p, n, end))]
+
+
+def halves(left: int, right: int, length: int, end: int) -> list[tuple[int, int, int, int]]:
+    """What is left between the ends of the indexed word, halved: one edit leaves one half of it whole."""
+    rest = length - left - right
+    return [(left + rest // 2, right, length, end), (left, right + rest - rest // 2, length, end)]
 
-    def pivots(self, word: str, places: list[int]) -> tuple[int, int]:
-        return pivots(places, [self.counts[word[i : i + 2]] for i in places])
 
+def _with_keys(states: Iterator[tuple[str, list[tuple]]]) -> list[tuple]:
+    """Rows of STATES: a key stands for the letters at both ends and all numbers but the last."""
+    from xxhash import xxh64_intdigest
 
-def _sums(letters: np.ndarray) -> np.ndarray:
-    """Hash of the first k letters at place k."""
-    out = np.zeros(len(letters) + 1, np.uint64)
-    np.cumsum(mix(letters) * _powers(len(letters)), dtype=np.uint64, out=out[1:])
+    out = []
+    for word, own in states:
+        n = len(word)
+        for left, right, length, end in own:
+            ends = f"{left},{right},{length},{word[:left]},{word[n - right :]}"
+            out.append((xxh64_intdigest(ends) - 0x8000000000000000, word, left, right, length, end))
     return out
 
 
-def _powers(n: int) -> np.ndarray:
-    steps = np.full(n, BASE, np.uint64)
-    steps[:1] = 1
-    return np.cumprod(steps, dtype=np.uint64)
+STATES = "key long, word string, left int, right int, length int, end int"
 
 
-def keys_of(grams: Grams, word: str, among: bool) -> tuple[np.ndarray, int]:
-    """(keys of a word, rank of its prefix's end): as one *among* the indexed prefixes, or through its pivots.
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
+    columns = zip(*rows) if rows else [[]] * 6
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, k) for c, k in zip(columns, kinds)], ["key", "word", "left", "right", "length", "end"]
+    )
 
-    A key mixes the side, the place from that side with the bigram and all letters
-    up to that end, and the length of the indexed word.
-    """
-    n = len(word)
-    letters = np.frombuffer(word.encode("utf-32-le"), np.uint32).astype(np.uint64)
-    places, end = grams.prefix(word)
-    ahead, back = _sums(letters), _sums(letters[::-1])
-    if among:
-        at = np.array(places)
-        left, right, lengths = at, at, np.array([n])
-    else:
-        first, second = grams.pivots(word, places)
-        left, right, lengths = np.array([first]), np.array([second]), np.array([n - 1, n, n + 1])
-    held = np.concatenate([
-        mix(ahead[left + 2] + left.astype(np.uint64) * np.uint64(2)),
-        mix(back[n - right] + (n - right).astype(np.uint64) * np.uint64(2) + np.uint64(1)),
-    ])
-    return mix(held[:, None] + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).ravel(), end
-
-
-def shortened(word: str) -> np.ndarray:
-    """Hashes of the word and of the word without each of its letters, from running sums."""
-    letters = mix(np.frombuffer(word.encode("utf-32-le"), np.uint32).astype(np.uint64))
-    power = _powers(len(letters))
-    whole = np.zeros(len(letters) + 1, np.uint64)
-    np.cumsum(letters * power, dtype=np.uint64, out=whole[1:])
-    # Letters behind the one left out move down by one place.
-    moved = np.zeros(len(letters) + 1, np.uint64)
-    np.cumsum(letters[1:] * power[:-1], dtype=np.uint64, out=moved[2:])
-    without = whole[:-1] + (moved[-1] - moved[1:])
-    return np.unique(mix(np.append(without, whole[-1])))
-
-
-def _keys(vocabulary: DataFrame, counts: dict[str, int], among: bool, hot: bytes | None = None) -> DataFrame:
-    """(key, id, end) of every word; keys in the bitmap are replaced by those of the shortened forms."""
 
+def _first_keys(vocabulary: DataFrame, counts: dict[str, int], states) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams(counts)
-        bits = None if hot is None else np.frombuffer(hot, np.uint8)
         for batch in batches:
-            held: list[tuple[np.ndarray, int, int]] = []
-            for i, word in zip(batch.column("id").to_pylist(), batch.column("word").to_pylist()):
-                found, end = keys_of(grams, word, among)
-                if bits is not None:
-                    place = (found % np.uint64(BITS)).astype(np.int64)
-                    many = bits[place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1
-                    if many.any():
-                        found = np.append(found[~many], mix(found[many][:, None] + shortened(word)))
-                held.append((found, i, end))
-                if sum(len(f) for f, _, _ in held[-8:]) > 1_000_000:
-                    yield _batch(held)
-                    held = []
-            if held:
-                yield _batch(held)
-
-    return vocabulary.select("id", "word").mapInArrow(make, "key long, id long, end int")
-
-
-def _batch(held: list[tuple[np.ndarray, int, int]]) -> pa.RecordBatch:
-    keys, ids, ends = zip(*held)
-    sizes = [len(k) for k in keys]
-    return pa.RecordBatch.from_pydict({
-        "key": np.concatenate(keys).view(np.int64),
-        "id": np.repeat(np.array(ids, np.int64), sizes),
-        "end": np.repeat(np.array(ends, np.int32), sizes),
-    })
-
-
-def _bitmap(asking: DataFrame, asked: DataFrame) -> bytes | None:
-    """The keys that would compare too many pairs directly, in a bitmap of fixed size; None where there are none."""
-    sides = asking.select("key", F.lit(0).alias("among")).unionByName(asked.select("key", F.lit(1).alias("among")))
+            yield _batch(_with_keys((w, states(grams, w)) for w in batch.column("word").to_pylist()))
+
+    return vocabulary.select("word").mapInArrow(make, STATES)
+
+
+def _longer_keys(rows: DataFrame) -> DataFrame:
+    """Every row of a key that many share, with two longer keys. Nothing longer is left when one letter is between."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            states = zip(*(batch.column(c).to_pylist() for c in ("word", "left", "right", "length", "end")))
+            yield _batch(_with_keys((w, halves(*state)) for w, *state in states))
+
+    return rows.mapInArrow(make, STATES)
+
+
+def _shared(asking: DataFrame, asked: DataFrame) -> bytes | None:
+    """The keys that would compare too many pairs, in a bitmap of fixed size; None where there are none."""
+    growing = F.col("length") - F.col("left") - F.col("right") > 1
+    sides = asking.where(growing).select("key", F.lit(0).alias("among")).unionByName(
+        asked.where(growing).select("key", F.lit(1).alias("among"))
+    )
     sizes = sides.groupBy("key").agg(F.sum("among").alias("a"), F.count(F.lit(1)).alias("n"))
     many = sizes.where(F.col("a") * (F.col("n") - F.col("a")) > MANY_PAIRS)
     place = F.pmod("key", F.lit(BITS))
     pages = many.select(F.floor(place / PAGE).alias("page"), (place % PAGE).alias("bit")).groupBy("page").agg(
         F.bitmap_construct_agg("bit").alias("bits")
-    )
+    )
     rows = pages.collect()  # at most BITS / PAGE pages
     out = bytearray(BITS // 8)
     for r in rows:
@@ -272,20 +288,44 @@ def _bitmap(asking: DataFrame, asked: DataFrame) -> bytes | None:
     return bytes(out) if rows else None
 
 
+def _flagged(rows: DataFrame, bits: bytes) -> DataFrame:
+    """``many``: whether a key is in the bitmap and can grow."""
+
+    def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(bits, np.uint8)
+        for batch in batches:
+            key, left, right, length = (batch.column(c).to_numpy() for c in ("key", "left", "right", "length"))
+            place = key % BITS
+            many = (table[place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1) & (length - left - right > 1)
+            yield batch.append_column("many", pa.array(many))
+
+    return rows.mapInArrow(flag, STATES + ", many boolean")
+
+
 def near_pairs(vocabulary: DataFrame) -> DataFrame:
-    """(a, b): ids of words exactly one inserted, deleted or replaced character apart, each pair once.
+    """(a, b): words exactly one inserted, deleted or replaced letter apart, each pair once, a before b.
 
-    *vocabulary* has (id, word), distinct words of at least LEAST_LENGTH characters.
+    *vocabulary* has ``word``, distinct words of at least LEAST_LENGTH letters.
     """
     counts = gram_counts(vocabulary)
-    hot = _bitmap(_keys(vocabulary, counts, False), _keys(vocabulary, counts, True))
-    asking = _keys(vocabulary, counts, False, hot).toDF("key", "x", "xe")
-    asked = _keys(vocabulary, counts, True, hot).toDF("key", "y", "ye")
-    met = asking.join(asked, "key").where((F.col("xe") <= F.col("ye")) & (F.col("x") != F.col("y")))
-    found = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    word = vocabulary.select("id", "word")
-    both = found.join(word.toDF("a", "aw"), "a").join(word.toDF("b", "bw"), "b")
-    return both.where(F.levenshtein("aw", "bw", 1) == 1).select("a", "b")
+    x, y = _first_keys(vocabulary, counts, asking), _first_keys(vocabulary, counts, asked)
+    found = []
+    while True:
+        bits = _shared(x, y)
+        if bits is not None:
+            x, y = _flagged(x, bits), _flagged(y, bits)
+        few = [r.where(~F.col("many")) if bits is not None else r for r in (x, y)]
+        left = few[0].select("key", F.col("word").alias("p"), F.col("end").alias("pe"))
+        right = few[1].select("key", F.col("word").alias("q"), F.col("end").alias("qe"))
+        met = left.join(right, "key").where((F.col("pe") <= F.col("qe")) & (F.levenshtein("p", "q", 1) == 1))
+        found.append(met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")))
+        if bits is None:
+            break
+        x, y = (materialize(_longer_keys(r.where("many").drop("many")), "longer-keys") for r in (x, y))
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.unionByName(more)
+    return pairs.distinct()
 
 
 def roots(forms: DataFrame) -> DataFrame:
@@ -304,19 +344,16 @@ def roots(forms: DataFrame) -> DataFrame:
 
 def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(word, form, root, n, n_near, form_n) of every word of the vocabulary."""
-    words = counted(docs, doc_id, text).where(F.col("n") >= LEAST_COUNT)
-    # Numbered once, as saved; the numbers stand for words of any length.
-    vocabulary = materialize(words.withColumn("id", F.monotonically_increasing_id()), "vocabulary")
+    vocabulary = materialize(counted(docs, doc_id, text).where(F.col("n") >= LEAST_COUNT), "vocabulary")
     pairs = materialize(near_pairs(vocabulary), "near-words")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    other = vocabulary.select(F.col("id").alias("b"), F.struct((-F.col("n")).alias("less"), "word").alias("other"))
-    near = both.join(other, "b").groupBy(F.col("a").alias("id")).agg(
+    other = vocabulary.select(F.col("word").alias("b"), F.struct((-F.col("n")).alias("less"), "word").alias("other"))
+    near = both.join(other, "b").groupBy(F.col("a").alias("word")).agg(
         F.count(F.lit(1)).alias("n_near"), F.min("other").alias("best")
     )
-    joined = vocabulary.join(near, "id", "left")
     has_form = -F.col("best.less") >= RATIO * F.col("n")
     named = materialize(
-        joined.select(
+        vocabulary.join(near, "word", "left").select(
             "word",
             F.when(has_form, F.col("best.word")).alias("form"),
             "n",
