@@ -251,13 +251,8 @@ def restart_from_stage(spark, sf_dir):
 def stage_metrics(spark, sf_dir):
     root = scratch_path(spark, "run")
     params = Params(regimes=REGIMES, bounds=BOUNDS, required_attributes=["attr_a"])
-    result = pipeline.run(
-        spark, root, params, series(spark, sf_dir), supplier_attributes(spark, sf_dir), pipeline.STAGES[:1]
-    )
-    kept, failed = wide.filter_attributes(
-        wide.complete_features(result.entities, REGIMES), supplier_attributes(spark, sf_dir), ["attr_a"], BOUNDS
-    )
-    return pipeline.stage_metrics(result.entities, wide.entity_rejects(result.entities, REGIMES).unionByName(failed))
+    pipeline.run(spark, root, params, series(spark, sf_dir), supplier_attributes(spark, sf_dir), pipeline.STAGES[:2])
+    return pipeline.stage_metrics(spark, root)
 
 
 @query
@@ -350,10 +345,10 @@ def missing_attr_report(spark, sf_dir):
 
 @query
 def filter_attributes(spark, sf_dir):
-    kept, failed = wide.filter_attributes(
+    tagged = wide.tag_attributes(
         wide.complete_features(entities(spark, sf_dir), REGIMES), supplier_attributes(spark, sf_dir), ["attr_a"], BOUNDS
     )
-    return kept.select("entity", F.lit("kept").alias("stage"), F.lit("").alias("reason")).unionByName(failed)
+    return tagged.select("entity", F.coalesce("stage", F.lit("kept")).alias("stage"), F.coalesce("reason", F.lit("")).alias("reason"))
 
 
 # ---- validation ----------------------------------------------------------------

@@ -5,9 +5,10 @@ row (a few numbers per column) comes back to the driver and is put into the
 following projection as literals, the way an estimator fits a model. Fit on a
 materialised table when the input is expensive.
 
-The aggregations run over (column number, value) pairs: one grouping with a few
-aggregates compiles to small code for any number of columns, where one
-aggregate per column and statistic would outgrow what the JVM can compile.
+The columns are summarised as one vector, in one pass whose state is a few
+vectors and whose rows stay as many as they are; one aggregate per column and
+statistic would outgrow what the JVM can compile. Columns with missing values,
+which vectors cannot leave out, go as (column number, value) pairs instead.
 """
 
 from __future__ import annotations
@@ -17,7 +18,10 @@ import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import PySparkException
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 EPSILON = 1e-12  # fixed value: guard in the denominator of the factor z-score
@@ -61,8 +65,32 @@ def linear(columns: Sequence[str], centres: Sequence[float], factors: Sequence[f
     return F.expr(" + ".join(f"({name(c)} - {number(m)}) * {number(w)}" for c, m, w in zip(columns, centres, factors)))
 
 
+def vector_summary(df: DataFrame, expressions: Sequence[str], metrics: Sequence[str]) -> Row | None:
+    """Vector statistics of SQL expressions, NaN where a value is missing; None for a table without rows."""
+    cells = ", ".join(f"coalesce(cast({e} as double), double('NaN'))" for e in expressions)
+    vectors = df.select(array_to_vector(F.expr(f"array({cells})")).alias("v"))
+    try:
+        return vectors.select(Summarizer.metrics(*metrics).summary(F.col("v")).alias("s")).first()["s"]
+    except PySparkException:
+        if df.isEmpty():  # which a summary does not take
+            return None
+        raise
+
+
 def column_stats(df: DataFrame, columns: Sequence[str]) -> dict[str, ColumnStats]:
     """Count, mean, sample std, min, max and sum of each column in one pass."""
+    s = vector_summary(df, [name(c) for c in columns], ("count", "mean", "std", "min", "max", "sum"))
+    if s is None:
+        return {c: ColumnStats(0, None, None, None, None, None) for c in columns}
+    n = s["count"]
+    numbers = zip(columns, *(s[m].toArray().tolist() for m in ("mean", "std", "min", "max", "sum")))
+    found = {c: ColumnStats(n, mean, std if n > 1 else None, *rest) for c, mean, std, *rest in numbers}
+    # Missing or infinite values show in the sums.
+    odd = [c for c, f in found.items() if not math.isfinite(f.total) or (f.std is not None and not math.isfinite(f.std))]
+    return found | (_stats_of_present(df, odd) if odd else {})
+
+
+def _stats_of_present(df: DataFrame, columns: Sequence[str]) -> dict[str, ColumnStats]:
     functions = (F.count, F.avg, F.stddev_samp, F.min, F.max, F.sum)
     rows = long_values(df, columns).groupBy("i").agg(*(f("v").alias(f"s{n}") for n, f in enumerate(functions))).collect()
     found = {r.i: ColumnStats(*(r[f"s{n}"] for n in range(len(functions)))) for r in rows}
@@ -158,39 +186,36 @@ class ScaledModel:
 
 
 def fit_scaled(
-    df: DataFrame, columns: Sequence[str], lower: Sequence[str], on_constant: str = "error"
+    df: DataFrame,
+    columns: Sequence[str],
+    lower: Sequence[str],
+    on_constant: str = "error",
+    ranges: Mapping[str, ColumnStats] | None = None,
 ) -> ScaledModel:
-    """Two passes: the ranges, then everything after them.
+    """Two passes: the ranges, unless they are given, then everything after them.
 
     The zeros of a scaled column are its minima. Their replacement is only known
-    after the second pass, so that pass summarises the other rows and the zeros
-    are merged in as that many copies of one value.
+    after the second pass, so that pass summarises the other rows, which count as
+    nothing in its sums, and the zeros are merged in as that many copies of one
+    value. *df* has no missing values in the columns.
     """
-    ranges = column_stats(df, columns)
+    ranges = {c: ranges[c] for c in columns} if ranges is not None else column_stats(df, columns)
     kept = usable_columns(ranges, on_constant)
+    ranges = {c: ranges[c] for c in kept}
     inverted = frozenset(lower) & set(kept)
-    at = F.col("i") + 1
-    lows = literal_array([ranges[c].low for c in kept])
-    factors = literal_array([1.0 / (ranges[c].high - ranges[c].low) for c in kept])
-    flags = literal_array([c in inverted for c in kept])  # 1.0 where inverted
-    scaled = long_values(df, kept).select(
-        "i",
-        ((F.col("v") - F.element_at(lows, at)) * F.element_at(factors, at)).alias("v"),
-        (F.element_at(flags, at) == 1.0).alias("inverted"),
-    )
-    rest = scaled.where(F.col("v") != 0)
-    value = F.when(F.col("inverted"), F.lit(1.0) / F.col("v")).otherwise(F.col("v"))
-    rows = rest.groupBy("i").agg(
-        F.min("v").alias("small"), F.count(value).alias("n"), F.avg(value).alias("mean"), F.var_pop(value).alias("var")
-    )
+    above = {c: f"({name(c)} - {number(r.low)}) * {number(1.0 / (r.high - r.low))}" for c, r in ranges.items()}
+    inverse = [f"coalesce(try_divide(1.0D, {a}), 0.0D)" for a in above.values()]
+    values = [i if c in inverted else a for (c, a), i in zip(above.items(), inverse)]
+    s = vector_summary(df, [*values, *inverse], ("numNonZeros", "sum", "normL2", "max"))
+    p = len(kept)
+    present, sums, roots, most = (s[m].toArray().tolist() for m in ("numNonZeros", "sum", "normL2", "max"))
     replacement, stats = {}, {}
-    for r in rows.collect():  # one row per column
-        c = kept[r.i]
-        replacement[c] = r.small
-        at_zero = 1.0 / r.small if c in inverted else r.small
-        n = ranges[c].n
-        zeros = n - r.n
-        mean = (r.n * r.mean + zeros * at_zero) / n
-        squares = r.n * r["var"] + r.n * zeros / n * (r.mean - at_zero) ** 2
-        stats[c] = ColumnStats(n, mean, math.sqrt(squares / (n - 1)), None, None, mean * n)
-    return ScaledModel(ranges, replacement, inverted, {c: stats[c] for c in kept})
+    for i, c in enumerate(kept):
+        n, others = ranges[c].n, present[i]
+        replacement[c] = small = 1.0 / most[p + i]
+        at_zero = 1.0 / small if c in inverted else small
+        zeros = n - others
+        total = sums[i] + zeros * at_zero
+        squares = roots[i] ** 2 + zeros * at_zero**2 - total**2 / n
+        stats[c] = ColumnStats(n, total / n, math.sqrt(max(squares, 0.0) / (n - 1)), None, None, total)
+    return ScaledModel(ranges, replacement, inverted, stats)

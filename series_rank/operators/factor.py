@@ -1,8 +1,9 @@
 """Factor analysis of a wide table.
 
 The rows are read by two aggregations (column statistics, then the p x p
-covariance inside MLlib's PCA); only p x p numbers reach the driver. Scores and
-composites are linear expressions of the columns.
+correlation inside MLlib); only p x p numbers reach the driver. Fits to a part of
+the columns take their block of the same matrix, so any number of fits to one
+table costs these two passes. Scores and composites are linear expressions of the columns.
 """
 
 from __future__ import annotations
@@ -12,12 +13,21 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from series_rank.functions.stats import EPSILON, ColumnStats, column_stats, linear, name, number, usable_columns
+from series_rank.functions.stats import (
+    EPSILON,
+    ColumnStats,
+    column_stats,
+    constant_columns,
+    linear,
+    name,
+    number,
+    usable_columns,
+)
 
 NEAR = 1e-8  # distances below this make factor counts or orders unreliable
 
@@ -88,16 +98,40 @@ def factor_count(eigenvalues: np.ndarray, cap: int) -> int:
     return int(min(max(1, int(np.sum(eigenvalues > 1.0))), cap, len(eigenvalues)))
 
 
-def fit_factors(df: DataFrame, columns: Sequence[str], cap: int, on_constant: str = "error") -> FactorModel:
+@dataclass(frozen=True)
+class Moments:
+    """What every fit to a table needs to know of it."""
+
+    stats: Mapping[str, ColumnStats]
+    varying: Sequence[str]
+    correlation: np.ndarray  # of the varying columns
+
+    def block(self, columns: Sequence[str]) -> np.ndarray:
+        at = [self.varying.index(c) for c in columns]
+        return self.correlation[np.ix_(at, at)]
+
+
+def moments(df: DataFrame, columns: Sequence[str]) -> Moments:
+    """Two passes: statistics, then the correlation of the columns that vary, centred first so that nothing cancels."""
+    stats = column_stats(df, columns)
+    constant = set(constant_columns(stats))
+    varying = [c for c in columns if c not in constant]
+    z = {c: f"({name(c)} - {number(stats[c].mean)}) * {number(1.0 / stats[c].std)}" for c in varying}
+    matrix = np.asarray(Correlation.corr(_vectors(df, z), "_v").head()[0].toArray()) if varying else np.empty((0, 0))
+    return Moments(stats, varying, matrix)
+
+
+def fit_factors(
+    df: DataFrame, columns: Sequence[str], cap: int, on_constant: str = "error", known: Moments | None = None
+) -> FactorModel:
+    """Factors of the columns; with the moments of a table that has them, without reading it."""
     if not columns:
         raise ValueError("no columns to factor")
-    stats = column_stats(df, columns)
+    known = known or moments(df, columns)
+    stats = {c: known.stats[c] for c in columns}
     kept_columns = usable_columns(stats, on_constant)
-    z = {c: f"({name(c)} - {number(stats[c].mean)}) * {number(1.0 / stats[c].std)}" for c in kept_columns}
-    model = PCA(k=len(kept_columns), inputCol="_v", outputCol="_pc").fit(_vectors(df, z))
-    p = len(kept_columns)
-    eigenvalues = np.asarray(model.explainedVariance.toArray()) * p
-    vectors = canonical_sign(np.asarray(model.pc.toArray()))
+    eigenvalues, vectors = np.linalg.eigh(known.block(kept_columns))
+    eigenvalues, vectors = eigenvalues[::-1], canonical_sign(vectors[:, ::-1])
     kept = factor_count(eigenvalues, cap)
     gaps = -np.diff(eigenvalues[: kept + 1])
     if len(gaps) and gaps.min() < NEAR:

@@ -5,9 +5,10 @@ value, total within a series), ``x``, ``y``, ``d``, ``m`` and optionally the
 given ``ratioMax``/``ratioMaxX`` of the series.
 
 An ordinary series is sorted and summarised inside one task. A series above
-``hot_rows`` points is cut into range-partitioned pieces; each piece is
+``hot_rows`` points is cut into pieces at values of its own order; each piece is
 summarised on its own and the summaries are merged, with the one step that
-crosses a cut added back, so that no task ever holds the whole series.
+crosses a cut added back, so that no task ever holds the whole series. The cuts
+are a small saved table, so every pass and every repeated task cuts alike.
 """
 
 from __future__ import annotations
@@ -18,10 +19,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from series_rank.config import FEATURES
+from series_rank.session import materialize
 
 SERIES = ["entity", "regime"]
 HOT_ROWS = 4_000_000
-MAX_BROADCAST_HOT = 10_000
+MAX_PIECES = 500_000  # of all hot series; beyond it pieces grow, so that the broadcast table of cuts does not
+SAMPLE_PER_CUT = 16  # values a cut is chosen from
 SEGMENTS = ("rise", "fall", "cost")
 STATS = ["n_points", "n_bad", "peak_pos", "n_fall"]
 
@@ -146,18 +149,60 @@ def _features_of_ordinary(points: DataFrame) -> DataFrame:
     return steps.groupBy(*SERIES).agg(*_counts(), *firsts, *moments).select(*_feature_select())
 
 
-def _features_of_hot(points: DataFrame, pieces: int, broadcast_peaks: bool) -> DataFrame:
-    peaks = points.groupBy(*SERIES).agg(_peak().alias("peak"))
-    peaks = peaks.select(F.col("entity").alias("peak_entity"), F.col("regime").alias("peak_regime"), "peak")
+def _same_series(suffix: str = "hot") -> Column:
     # Null-safe: a series without a regime is a series as well.
-    same = F.col("entity").eqNullSafe(F.col("peak_entity")) & F.col("regime").eqNullSafe(F.col("peak_regime"))
-    if not broadcast_peaks:
-        points = points.join(peaks, same).drop("peak_entity", "peak_regime")
-    cut = points.repartitionByRange(pieces, *SERIES, "ord").withColumn("piece", F.spark_partition_id())
-    placed = cut.repartition(*SERIES, "piece")
-    if broadcast_peaks:
-        # Joined after both exchanges, which then move the bare points only.
-        placed = placed.join(F.broadcast(peaks), same).drop("peak_entity", "peak_regime")
+    return (F.col("entity") == F.col(f"{suffix}_entity")) & F.col("regime").eqNullSafe(F.col(f"{suffix}_regime"))
+
+
+def _hot_series(points: DataFrame, hot_rows: int) -> tuple[DataFrame, int] | None:
+    """(hot_entity, hot_regime, n) of the series to cut, at most MAX_PIECES / 2, and the most points of a piece."""
+    sizes = points.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows)
+    hot = materialize(sizes.toDF("hot_entity", "hot_regime", "n"), "hot-series")
+    total = hot.agg(F.sum("n")).first()[0]
+    if total is None:
+        return None
+    most = max(hot_rows, -(-2 * total // MAX_PIECES))
+    return hot.where(F.col("n") > most), most
+
+
+def cut_points(points: DataFrame, hot: DataFrame, most: int) -> DataFrame:
+    """(hot_entity, hot_regime, pieces, coarse, fine, peak) of every hot series, from one pass over their points.
+
+    The cuts are quantiles of values drawn by a hash. They are held in two levels:
+    ``fine`` has them in groups of equal size and ``coarse`` the first of each
+    group, so that a point is placed by comparing it with the root of their number, twice.
+    """
+    here = points.join(F.broadcast(hot), _same_series())
+    pieces = F.ceil(F.col("n") * 2 / F.lit(most)).cast("int")
+    one_in = F.greatest(F.lit(1), F.floor(F.col("n") / (pieces * SAMPLE_PER_CUT)).cast("long"))
+    drawn = F.when(F.pmod(F.xxhash64("ord"), one_in) == 0, F.col("ord"))
+    grouped = here.groupBy("hot_entity", "hot_regime", "n").agg(
+        _peak().alias("peak"), F.array_sort(F.collect_list(drawn)).alias("drawn")
+    )
+    grouped = grouped.withColumn("pieces", pieces).withColumn("width", F.ceil(F.sqrt("pieces")).cast("int"))
+    cuts = """array_distinct(transform(filter(sequence(1, pieces), j -> j < pieces and size(drawn) > 0),
+        j -> drawn[cast(floor(cast(size(drawn) as bigint) * j / pieces) as int)]))"""
+    grouped = grouped.withColumn("cuts", F.expr(cuts))
+    groups = "filter(transform(sequence(0, width), g -> slice(cuts, g * width + 1, width)), g -> size(g) > 0)"
+    return grouped.withColumn("fine", F.expr(groups)).select(
+        "hot_entity", "hot_regime", "pieces", "width", F.expr("transform(fine, g -> g[0])").alias("coarse"), "fine", "peak"
+    )
+
+
+def _piece() -> Column:
+    """Number of cuts up to the point: all of the groups before its own, and those inside it."""
+    group = "size(filter(coarse, c -> c <= ord))"
+    return F.expr(f"if({group} = 0, 0, ({group} - 1) * width + size(filter(fine[{group} - 1], c -> c <= ord)))")
+
+
+def _features_of_hot(points: DataFrame, hot: DataFrame, most: int) -> DataFrame:
+    cuts = materialize(cut_points(points, hot, most), "series-cuts")
+    bare = points.columns
+    cut = points.join(F.broadcast(cuts.drop("peak", "pieces")), _same_series()).select(*bare, _piece().alias("piece"))
+    pieces = cuts.agg(F.sum("pieces")).first()[0] or 1
+    placed = cut.repartition(int(min(pieces, MAX_PIECES)), *SERIES, "piece")
+    # Joined after the exchange, which then moves the bare points only.
+    placed = placed.join(F.broadcast(cuts.select("hot_entity", "hot_regime", "peak")), _same_series()).drop("hot_entity", "hot_regime")
     placed = placed.sortWithinPartitions(*SERIES, "piece", "ord")
     steps = segment_steps(mark_segments(placed), [*SERIES, "piece"])
 
@@ -225,20 +270,9 @@ def series_features(points: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataF
     """
     if hot_rows is None:
         return _features_of_ordinary(points)
-    spark = points.sparkSession
-    large = points.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows)
-    # At most rows / hot_rows series can be large; one more than the broadcast bound tells which case it is.
-    found = large.limit(MAX_BROADCAST_HOT + 1).collect()
-    if not found:
+    found = _hot_series(points, hot_rows)
+    if found is None:
         return _features_of_ordinary(points)
-    if len(found) > MAX_BROADCAST_HOT:
-        total = points.agg(F.count(F.lit(1))).first()[0]
-        return _features_of_hot(points, max(2, -(-2 * total // hot_rows)), broadcast_peaks=False)
-    keys = F.broadcast(spark.createDataFrame([(r.entity, r.regime) for r in found], points.select(*SERIES).schema))
-    # Null-safe, so that a series without a regime is found on exactly one side.
-    here = points.alias("p")
-    same = F.col("p.entity").eqNullSafe(keys["entity"]) & F.col("p.regime").eqNullSafe(keys["regime"])
-    ordinary = here.join(keys, same, "left_anti")
-    hot = here.join(keys, same, "left_semi")
-    pieces = max(2, -(-2 * sum(r.n for r in found) // hot_rows))
-    return _features_of_ordinary(ordinary).unionByName(_features_of_hot(hot, pieces, broadcast_peaks=True))
+    hot, most = found
+    ordinary = points.join(F.broadcast(hot), _same_series(), "left_anti")
+    return _features_of_ordinary(ordinary).unionByName(_features_of_hot(points, hot, most))

@@ -3,34 +3,47 @@
 A method takes ``(features, params)`` and returns a table with ``entity``, its
 scores and one rank column (1 = best). Methods pass over the table more than
 once: give them a materialised one. They write the scores once and rank from
-that narrow table.
+that narrow table. What the built-in methods need to know of the table (column
+statistics, the correlation matrix) is found once a run and shared.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from series_rank.config import Params
-from series_rank.functions.stats import fit_scaled
-from series_rank.operators.factor import fit_factors
+from series_rank.functions.stats import ColumnStats, fit_scaled
+from series_rank.operators.factor import Moments, fit_factors, moments
 from series_rank.operators.ranking import global_rank
 from series_rank.operators.wide import complete_cases, direction_split
 from series_rank.session import materialize
 
 
-def rank_factor(features: DataFrame, params: Params) -> DataFrame:
+class Fits:
+    """Complete cases of a table and their moments, found when first asked for."""
+
+    def __init__(self, features: DataFrame, params: Params) -> None:
+        self.columns = params.columns
+        self.cases = complete_cases(features.select("entity", *self.columns), self.columns)
+
+    @cached_property
+    def moments(self) -> Moments:
+        return moments(self.cases, self.columns)
+
+
+def rank_factor(features: DataFrame, params: Params, fits: Fits | None = None) -> DataFrame:
     """Factor composites of both directions; the ranks of the two are added up."""
-    columns = params.columns
-    cases = complete_cases(features.select("entity", *columns), columns)
-    lower, higher = direction_split(columns)
-    low = fit_factors(cases, lower, params.max_factors_lower, params.on_constant)
-    high = fit_factors(cases, higher, params.max_factors_higher, params.on_constant)
+    fits = fits or Fits(features, params)
+    lower, higher = direction_split(fits.columns)
+    low = fit_factors(fits.cases, lower, params.max_factors_lower, params.on_constant, fits.moments)
+    high = fit_factors(fits.cases, higher, params.max_factors_higher, params.on_constant, fits.moments)
     scored = materialize(
-        cases.select("entity", low.composite().alias("score_L"), high.composite().alias("score_G")), "factor-scores"
+        fits.cases.select("entity", low.composite().alias("score_L"), high.composite().alias("score_G")), "factor-scores"
     )
     ranked = global_rank(scored, "score_L", "rank_L", ascending=True)
     ranked = global_rank(ranked, "score_G", "rank_G", ascending=False)
@@ -38,29 +51,35 @@ def rank_factor(features: DataFrame, params: Params) -> DataFrame:
 
 
 def rank_by_variation(
-    df: DataFrame, columns: Sequence[str], lower: Sequence[str], score: str, rank: str, on_constant: str = "error"
+    df: DataFrame,
+    columns: Sequence[str],
+    lower: Sequence[str],
+    score: str,
+    rank: str,
+    on_constant: str = "error",
+    ranges: Mapping[str, ColumnStats] | None = None,
 ) -> DataFrame:
     """Column shares after scaling and inversion, weighted by coefficient of variation."""
-    model = fit_scaled(df, columns, lower, on_constant)
+    model = fit_scaled(df, columns, lower, on_constant, ranges)
     scored = materialize(df.select("entity", model.score().alias(score)), score)
     return global_rank(scored, score, rank, ascending=False)
 
 
-def rank_cv(features: DataFrame, params: Params) -> DataFrame:
-    columns = params.columns
-    cases = complete_cases(features.select("entity", *columns), columns)
-    lower, _ = direction_split(columns)
-    return rank_by_variation(cases, columns, lower, "score_cv", "rank_cv", params.on_constant)
+def rank_cv(features: DataFrame, params: Params, fits: Fits | None = None) -> DataFrame:
+    fits = fits or Fits(features, params)
+    lower, _ = direction_split(fits.columns)
+    # Of the moments only the statistics are needed here, so alone this method asks for no more.
+    known = fits.moments.stats if "moments" in fits.__dict__ else None
+    return rank_by_variation(fits.cases, fits.columns, lower, "score_cv", "rank_cv", params.on_constant, known)
 
 
-def rank_cv_factor(features: DataFrame, params: Params) -> DataFrame:
+def rank_cv_factor(features: DataFrame, params: Params, fits: Fits | None = None) -> DataFrame:
     """Variation weighting of joint factor scores: first factor higher-better, the others lower-better."""
-    columns = params.columns
-    cases = complete_cases(features.select("entity", *columns), columns)
-    model = fit_factors(cases, columns, params.max_factors_joint, params.on_constant)
+    fits = fits or Fits(features, params)
+    model = fit_factors(fits.cases, fits.columns, params.max_factors_joint, params.on_constant, fits.moments)
     scores = model.scores()
     # A few columns in place of many: the passes that follow read this narrower table.
-    factors = materialize(cases.select("entity", *(c.alias(n) for n, c in scores.items())), "joint-factors")
+    factors = materialize(fits.cases.select("entity", *(c.alias(n) for n, c in scores.items())), "joint-factors")
     names = list(scores)
     return rank_by_variation(factors, names, names[1:], "score_cv_factor", "rank_cv_factor", params.on_constant)
 
@@ -70,9 +89,13 @@ class Method:
     """A ranking method: its label in reports, the function and its rank column."""
 
     label: str
-    ranker: Callable[[DataFrame, Params], DataFrame]
+    ranker: Callable[..., DataFrame]
     rank: str
     summary_column: str
+    shares: bool = False  # takes the fits of the run as well
+
+    def apply(self, features: DataFrame, params: Params, fits: Fits | None = None) -> DataFrame:
+        return self.ranker(features, params, fits) if self.shares else self.ranker(features, params)
 
 
 _METHODS: dict[str, Method] = {}
@@ -84,9 +107,10 @@ def register(
     rank: str,
     label: str | None = None,
     summary_column: str | None = None,
+    shares: bool = False,
 ) -> None:
-    """Make a method available by name in ``Params.methods``."""
-    _METHODS[name] = Method(label or name, ranker, rank, summary_column or rank)
+    """Make a method available by name in ``Params.methods``; one that ``shares`` is given the run's ``Fits`` as well."""
+    _METHODS[name] = Method(label or name, ranker, rank, summary_column or rank, shares)
 
 
 def method(name: str) -> Method:
@@ -95,6 +119,6 @@ def method(name: str) -> Method:
     return _METHODS[name]
 
 
-register("factor", rank_factor, "rank_sum", summary_column="rank_factor")
-register("cv", rank_cv, "rank_cv")
-register("cv_factor", rank_cv_factor, "rank_cv_factor", label="cv-factor")
+register("factor", rank_factor, "rank_sum", summary_column="rank_factor", shares=True)
+register("cv", rank_cv, "rank_cv", shares=True)
+register("cv_factor", rank_cv_factor, "rank_cv_factor", label="cv-factor", shares=True)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from series_rank.config import FEATURES, LOWER_BETTER, MIN_FALL_POINTS, Bounds, feature_columns
 from series_rank.operators.gate import entity_reason, gate_aggregates, regime_order
+from series_rank.session import materialize
 
 
 def wide_aggregates(series: DataFrame, regimes: Sequence[str], features: Sequence[str] = FEATURES) -> list[Column]:
@@ -142,22 +143,44 @@ def range_filter(df: DataFrame, bounds: Sequence[Bounds]) -> DataFrame:
     return df
 
 
+def _tagged(joined: DataFrame, earlier: Sequence[tuple[str, Column]], required: Sequence[str], bounds: Sequence[Bounds]) -> DataFrame:
+    """Add the first (stage, reason) for which a row is rejected, and whether it is kept."""
+    absent = [F.when(F.col(c).isNull(), F.lit(f"missing {c}")) for c in required]
+    checks = [*earlier, ("attributes", F.coalesce(F.lit(None).cast("string"), *absent)), ("range", range_reason(bounds))]
+    failed = F.coalesce(*(F.when(r.isNotNull(), F.struct(F.lit(s).alias("stage"), r.alias("reason"))) for s, r in checks))
+    columns = joined.columns
+    found = joined.withColumn("_failed", failed)
+    return found.select(*columns, F.col("_failed.stage"), F.col("_failed.reason"), F.col("_failed").isNull().alias("kept"))
+
+
+def tag_entities(
+    entities: DataFrame, regimes: Sequence[str], attributes: DataFrame | None, required: Sequence[str], bounds: Sequence[Bounds]
+) -> DataFrame:
+    """Every entity with its features and attributes, and why it is rejected: ``stage``, ``reason``, ``kept``.
+
+    One join and one pass for the kept and the rejected; without attributes only the gate and the features decide.
+    """
+    checks = [("validation", F.col("gate")), ("features", missing_reason(feature_columns(regimes)))]
+    joined = entities if attributes is None else attach_attributes(entities, attributes)
+    return _tagged(joined, checks, *((required, bounds) if attributes is not None else ((), ()))).drop("gate")
+
+
+def split_tagged(tagged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(kept rows, rejects) of a tagged table. Save it first: each side reads it again."""
+    kept = tagged.where("kept").drop("stage", "reason", "kept")
+    return kept, tagged.where("not kept").select("entity", "stage", "reason")
+
+
+def tag_attributes(features: DataFrame, attributes: DataFrame, required: Sequence[str], bounds: Sequence[Bounds]) -> DataFrame:
+    """Features with attributes, and why the attributes reject a row: ``stage``, ``reason``, ``kept``."""
+    return _tagged(attach_attributes(features, attributes), (), required, bounds)
+
+
 def filter_attributes(
     features: DataFrame, attributes: DataFrame, required: Sequence[str], bounds: Sequence[Bounds]
 ) -> tuple[DataFrame, DataFrame]:
-    """(kept features with attributes, rejects of the stages attributes and range)."""
-    joined = attach_attributes(features, attributes)
-    absent = F.coalesce(
-        F.lit(None).cast("string"), *(F.when(F.col(c).isNull(), F.lit(f"missing {c}")) for c in required)
-    )
-    outside = range_reason(bounds)
-    kept = range_filter(joined.dropna(subset=list(required)) if required else joined, bounds)
-    failed = joined.select(
-        "entity",
-        F.when(absent.isNotNull(), "attributes").otherwise("range").alias("stage"),
-        F.coalesce(absent, outside).alias("reason"),
-    ).where(F.col("reason").isNotNull())
-    return kept, failed
+    """(kept features with attributes, rejects of the stages attributes and range), joined once and saved."""
+    return split_tagged(materialize(tag_attributes(features, attributes, required, bounds), "tagged"))
 
 
 def missing_attribute_report(joined: DataFrame, column: str, sample: int = 10) -> DataFrame:

@@ -13,16 +13,28 @@ from series_rank.functions.text import page_metrics, page_text, split_label
 FILE_NAME = r"xf-(.+)-([0-9]+)\.csv$"
 
 
-def landed_files(spark: SparkSession, folder: str, name_pattern: str = FILE_NAME, stream: bool = False) -> DataFrame:
-    """(entity, regime, raw) of every file in a folder; each file is one value."""
+def _named(path: Column, name_pattern: str) -> list[Column]:
+    return [
+        F.nullif(F.regexp_extract(path, name_pattern, n), F.lit("")).alias(c) for n, c in ((1, "entity"), (2, "regime"))
+    ]
+
+
+def landed_files(
+    spark: SparkSession, folder: str | Sequence[str], name_pattern: str = FILE_NAME, stream: bool = False
+) -> DataFrame:
+    """(entity, regime, raw) of every file in a folder, or of the listed files; each file is one value."""
     reader = spark.readStream if stream else spark.read
     files = reader.format("text").option("wholetext", "true").load(folder)
-    path = F.url_decode(F.col("_metadata.file_path"))
-    return files.select(
-        F.nullif(F.regexp_extract(path, name_pattern, 1), F.lit("")).alias("entity"),
-        F.nullif(F.regexp_extract(path, name_pattern, 2), F.lit("")).alias("regime"),
-        F.col("value").alias("raw"),
-    ).where(F.col("entity").isNotNull())
+    named = _named(F.url_decode(F.col("_metadata.file_path")), name_pattern)
+    return files.select(*named, F.col("value").alias("raw")).where(F.col("entity").isNotNull())
+
+
+def file_index(spark: SparkSession, folder: str, name_pattern: str = FILE_NAME) -> DataFrame:
+    """(entity, regime, path, size, modified) of the files below a folder, from its listing; no file is opened."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    named = _named(F.url_decode("path"), name_pattern)
+    columns = [F.col("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified")]
+    return listed.select(*named, *columns).where(F.col("entity").isNotNull())
 
 
 def worklist(links: DataFrame, key: Column) -> DataFrame:

@@ -1,8 +1,10 @@
 """Incremental ingest of landed series files with Structured Streaming.
 
 The stream's checkpoint remembers which files were taken; every micro-batch is
-parsed and published to the series store under its own batch name, so a batch
-that is replayed after a failure replaces itself.
+parsed and published to the series store under its own batch name, so of a batch
+that is replayed after a failure only what is missing is published. A file that
+lands again under another name or folder comes with a later batch, and its
+series takes the place of the one before when the store is read.
 """
 
 from __future__ import annotations
