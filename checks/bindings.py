@@ -76,7 +76,7 @@ def landed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every series above written out as a landed file, with damage of each kind.
 
     Some lines get an extra cell, some lose their last two, some cells read n/a,
-    some are quoted; some files miss a header key or a required column; some
+    some are quoted, some of them with a comma inside; some files miss a header key or a required column; some
     files, and all files of some vectors, are absent.
     """
     s = landed_series(spark, sf_dir)
@@ -85,12 +85,12 @@ def landed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
           if(i % 9 = 4, concat('"', cast(u as string), '"'), cast(u as string)),
           if(vec_id % 5 = 2 and (vec_id * 7 + i) % 29 = 11, 'n/a', cast(d[i] as string)),
           cast(i as string), cast(m[i] as string),
-          if((vec_id + i) % 17 = 3, null, '0.5'), if((vec_id + i) % 17 = 3, null, '1.'),
+          if((vec_id + i) % 17 = 3, null, if((vec_id + i) % 19 = 6, '"0,5"', '0.5')), if((vec_id + i) % 17 = 3, null, '1.'),
           if((vec_id + i) % 13 = 5, 'extra', null))
     """
     header = """
         concat_ws('\n', 'Landed series', concat('Key,', entity, '-', regime), concat('Entity,', entity),
-          concat('Regime,', regime), 'Ncrit,9', 'Mach,0',
+          concat('Regime,', regime), 'Ncrit,9', 'Mach,"0,0"',
           if(vec_id % 11 = 4, 'Other,1', concat('Max Cl/Cd,', cast(array_max(y) as string))),
           concat('Max Cl/Cd alpha,', cast(vec_id % 16 as string)), 'Url,a,b', '',
           if(vec_id % 19 = 6, 'Alpha,Cl,Cd,Cdp,Cm,Top_Xtr', 'Alpha,Cl,Cd,Cdp,Cm,Top_Xtr,Bot_Xtr'))
@@ -104,6 +104,43 @@ def landed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(texts, "landed-texts")
 
 
+FILE_IN_FOLDER = r"/name=xf-([^/]+)-([0-9]+)\.csv/[^/]+$"
+PAGE_BOUNDS = [Bounds("attr_a_value", 2.0, 20.0), Bounds("attr_b_value", 1.0, None)]
+
+
+def landed_folder(spark: SparkSession, texts: DataFrame, folder: str, mode: str = "error") -> str:
+    """The texts as files, each in a folder of its name, as Spark can write them."""
+    name = F.concat(F.lit("xf-"), "entity", F.lit("-"), "regime", F.lit(".csv"))
+    texts.select("raw", name.alias("name")).write.partitionBy("name").mode(mode).text(folder)
+    return folder
+
+
+def landed_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page, html): the vectors listed fifty a page in the second table, some twice and some not at all."""
+    listed = table(spark, sf_dir, "embeddings").where("vec_id % 29 <> 3")
+    row = F.concat(
+        F.lit("<tr><td><a href='/d?item="), "vec_id", F.lit("'> "), "vec_id", F.lit(" - label <b>"), "label",
+        F.lit("</b> &amp; more</a></td><td><a href=''>none</a></td></tr>"),
+    )
+    pages = F.when(F.col("vec_id") % 41 == 7, F.array((F.col("vec_id") / 50).cast("long"), F.lit(1_000_000).cast("long")))
+    placed = listed.select(F.explode(F.coalesce(pages, F.array((F.col("vec_id") / 50).cast("long")))).alias("page"), "vec_id", row.alias("row"))
+    grouped = placed.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("vec_id", "row"))).alias("rows"))
+    rows = F.array_join(F.transform("rows", lambda r: r["row"]), "")
+    menu = "<html><table><tr><td><a href='/d?item=menu'>menu - none</a></td></tr></table><table>"
+    return grouped.select("page", F.concat(F.lit(menu), rows, F.lit("</table></html>")).alias("html"))
+
+
+def landed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(entity, html): a page of measures for every vector; some lack one of them."""
+    html = F.concat(
+        F.lit("<p>Max thickness <b>"), (F.col("vec_id") % 23).cast("string"), F.lit(".5%</b> at 30% chord</p>"),
+        F.when(F.col("vec_id") % 37 == 5, F.lit("")).otherwise(
+            F.concat(F.lit("<p>Max camber "), (F.col("vec_id") % 13).cast("string"), F.lit("% at 40.5% chord</p>"))
+        ),
+    )
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("entity"), html.alias("html"))
+
+
 def landed_work(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The work list: every vector, described by its label."""
     return table(spark, sf_dir, "embeddings").select(

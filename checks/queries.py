@@ -8,15 +8,21 @@ depend on the order of addition, do not decide a comparison.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.bindings import (
     BOUNDS,
+    FILE_IN_FOLDER,
     LANDED_REGIMES,
     LAYOUT,
+    PAGE_BOUNDS,
     REGIMES,
+    landed_folder,
+    landed_listing,
+    landed_pages,
     landed_series,
     landed_texts,
     landed_work,
@@ -27,9 +33,12 @@ from checks.bindings import (
 from series_rank.config import FEATURES, Params, default_weights, feature_columns
 from series_rank.functions import arrays, stats, text
 from series_rank.operators import factor, gate, points, pool, rankers, ranking, wide
+from series_rank.operators.wide import split_tagged
 from series_rank.plans import pipeline
+from series_rank.plans.ingest import Landed
 from series_rank.session import materialize, scratch_path
 from series_rank.sources import landing, tables
+from series_rank.sources.stages import Stages
 from series_rank.streaming.landing import ingest_stream
 
 COLUMNS = feature_columns(REGIMES)
@@ -257,15 +266,48 @@ def stage_metrics(spark, sf_dir):
 
 @query
 def stream_ingest(spark, sf_dir):
-    """Landed texts taken up by a stream, published to the store, read back as features."""
+    """Landed texts taken up by a stream, some spoiled at first and landed again: the last one counts."""
     landed_at, root = scratch_path(spark, "landed"), scratch_path(spark, "stream-store")
     texts = landed_texts(spark, sf_dir)
-    texts.write.parquet(landed_at)
-    ingest_stream(spark.readStream.schema(texts.schema).parquet(landed_at), root, LAYOUT).awaitTermination()
+    hit = F.pmod(F.xxhash64("entity"), F.lit(3)) == 0
+    spoiled = texts.withColumn("raw", F.when(hit, F.expr("concat(raw, '99,1e9,1,1,1,1,1\n98,n/a,1,1,1,1,1\n')")).otherwise(F.col("raw")))
+    for landing_of in (spoiled, texts.where(hit)):
+        landing_of.write.mode("append").parquet(landed_at)
+        ingest_stream(spark.readStream.schema(texts.schema).parquet(landed_at), root, LAYOUT).awaitTermination()
     saved = tables.saved_series(spark, root)
     return arrays.array_features(saved).select("entity", "regime", "n_points", "n_bad", "peak_pos")
 
 
+LANDED_PARAMS = Params(regimes=LANDED_REGIMES, bounds=PAGE_BOUNDS)
+
+
+def _landed_run(spark, sf_dir) -> str:
+    """Listing pages and files on disk through every stage, the first time with a part of the listing only."""
+    folder, root = scratch_path(spark, "landed"), scratch_path(spark, "run")
+    landed_folder(spark, landed_texts(spark, sf_dir), folder)
+    listing = landed_listing(spark, sf_dir)
+    whole = Landed(listing, folder, landed_pages(spark, sf_dir), occurrence=2, name_pattern=FILE_IN_FOLDER, layout=LAYOUT)
+    pipeline.run(spark, root, LANDED_PARAMS, stages=("ingest",), landed=replace(whole, listing=listing.where("page < 4")))
+    pipeline.run(spark, root, LANDED_PARAMS, landed=whole)  # goes on where the first stopped
+    return root
+
+
+@query
+def landed_to_summary(spark, sf_dir):
+    root = _landed_run(spark, sf_dir)
+    # The store is complete now: its rows are taken as they are, and nothing more is ingested.
+    summary = pipeline.run(spark, root, LANDED_PARAMS, stages=pipeline.STAGES[3:]).summary
+    return summary.select(
+        "entity", *floats("score_final"), "rank_final", "source_methods", "rank_factor", "rank_cv", "rank_cv_factor"
+    )
+
+
+@query
+def landed_rejects(spark, sf_dir):
+    """Why entities of the landed run were rejected, the attributes of their pages included."""
+    return split_tagged(Stages(spark, _landed_run(spark, sf_dir)).read("tagged"))[1]
+
+
 # ---- projections, filters, strings -------------------------------------------
 
 

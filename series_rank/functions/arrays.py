@@ -58,18 +58,21 @@ def array_features(series: DataFrame) -> DataFrame:
         {
             "n_points": F.coalesce(F.size("y"), F.lit(0)).cast("long"),
             "n_bad": count_missing(F.col("x"), F.col("y"), F.col("d"), F.col("m")).cast("long"),
-            "peak_pos": first_argmax(F.col("y")).cast("long"),
+            "_peak": first_argmax(F.col("y")).cast("int"),
         }
     )
-    # Intermediate arrays are columns of their own, so that each is computed once per row.
-    peak = F.coalesce(F.col("peak_pos"), F.lit(0)).cast("int")
+    # Intermediate arrays are columns of their own, so that each is computed once per row. Missing cells
+    # have no place in a segment, and a series without any y has no segments.
+    peak = F.coalesce(F.col("_peak"), F.lit(0))
     s = s.withColumns(
         {
-            "n_fall": F.col("n_points") - F.col("peak_pos"),
+            "peak_pos": peak.cast("long"),
+            "n_fall": F.when(F.col("_peak").isNull(), F.lit(0)).otherwise(F.col("n_points") - F.col("_peak")).cast("long"),
             "_rise_y": F.filter(F.slice("y", F.lit(1), peak), lambda v: v > 0),
-            "_fall_y": F.slice("y", peak + 1, F.greatest(F.size("y") - peak, F.lit(0))),
+            "_fall_y": F.filter(F.slice("y", peak + 1, F.greatest(F.size("y") - peak, F.lit(0))), lambda v: v.isNotNull()),
             "_cost_d": F.transform(
-                F.filter(F.slice(F.arrays_zip("x", "d"), F.lit(1), peak), lambda p: p["x"] >= 0), lambda p: p["d"]
+                F.filter(F.slice(F.arrays_zip("x", "d"), F.lit(1), peak), lambda p: (p["x"] >= 0) & p["d"].isNotNull()),
+                lambda p: p["d"],
             ),
             "_crossing": F.get(F.filter(F.arrays_zip("x", "m"), lambda p: p["x"] >= 0), F.lit(0)),
         }

@@ -39,11 +39,13 @@ def to_number(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^[\s\"]+|[\s\"]+$", "")
+    return F.when(c.rlike(r"[\s\"]"), F.regexp_replace(c, r"^[\s\"]+|[\s\"]+$", "")).otherwise(c)
 
 
 def stripped_number(t: Column) -> Column:
-    return F.when(t.rlike(NUMBER) | t.rlike(INFINITE), t.try_cast("double"))
+    # Only what holds a letter can be a form that casts but is no number here (1d, NaN).
+    cast = t.try_cast("double")
+    return F.when(cast.isNotNull() & (~t.rlike("[A-Za-z]") | t.rlike(NUMBER) | t.rlike(INFINITE)), cast)
 
 
 def split_label(label: Column, separator: str = LABEL_SEPARATOR) -> tuple[Column, Column]:
@@ -105,14 +107,29 @@ def lines(raw: Column) -> Column:
     return F.split(raw, "\r\n|\n|\r")
 
 
+def cells(line: Column) -> Column:
+    """Comma-separated cells; a cell that begins with a quote goes on to the closing one, commas included.
+
+    A quote that is not closed in its line is an ordinary character.
+    """
+    # The comma put before the line makes every match begin with one.
+    quoted = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',(\s*"(?:[^"]|"")*"[^,]*|[^,]*)'), 1)
+    return F.when(F.contains(line, F.lit('"')), quoted).otherwise(F.split(line, ","))
+
+
+def n_cells(line: Column) -> Column:
+    plain = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(","), F.lit(""))) + 1
+    return F.when(F.contains(line, F.lit('"')), F.size(cells(line))).otherwise(plain)
+
+
 def fields(line: Column) -> Column:
-    """Comma-separated cells without surrounding blanks and quotes."""
-    return F.transform(F.split(line, ","), strip)
+    """Cells without surrounding blanks and quotes."""
+    return F.transform(cells(line), strip)
 
 
 def well_formed(body: Column, columns: Column) -> Column:
     """Lines with at most that many cells; blank lines and longer ones are dropped."""
-    return F.filter(body, lambda v: (F.length(F.trim(v)) > 0) & (F.size(F.split(v, ",")) <= columns))
+    return F.filter(body, lambda v: (F.length(F.trim(v)) > 0) & (n_cells(v) <= columns))
 
 
 def header_map(raw: Column, header_lines: int = HEADER_LINES) -> Column:
@@ -151,13 +168,15 @@ def parse_series(landed: DataFrame, raw: str = "raw", layout: SeriesFormat | Non
     required = F.array(*(F.lit(c) for c in layout.columns.values()))
     parsed = parsed.where(F.size(F.array_except(required, "_names")) == 0)
     body = F.slice("_data", F.lit(2), F.greatest(F.size("_data") - 1, F.lit(0)))
-    # The number of cells comes from a plain split: inside the lambda it is evaluated line by line.
-    width = F.size(F.split(F.get("_data", F.lit(0)), ","))
-    parsed = parsed.withColumn("_rows", F.transform(well_formed(body, width), fields))
+    width = n_cells(F.get("_data", F.lit(0)))
+    # Found once a file: where each column stands, and the cells of its lines.
+    places = F.transform(required, lambda c: (F.array_position("_names", c) - 1).cast("int"))
+    parsed = parsed.withColumns({"_width": width, "_at": places})
+    parsed = parsed.withColumn("_rows", F.transform(well_formed(body, F.col("_width")), fields))
+    place = {label: n for n, label in enumerate(layout.columns.values())}
 
     def column(label: str) -> Column:
-        place = (F.array_position("_names", F.lit(label)) - 1).cast("int")
-        return F.transform("_rows", lambda r: stripped_number(F.get(r, place)))
+        return F.transform("_rows", lambda r: stripped_number(F.get(r, F.col("_at")[place[label]])))
 
     return parsed.select(
         *kept,

@@ -189,22 +189,26 @@ def cut_points(points: DataFrame, hot: DataFrame, most: int) -> DataFrame:
     )
 
 
-def _piece() -> Column:
-    """Number of cuts up to the point: all of the groups before its own, and those inside it."""
-    group = "size(filter(coarse, c -> c <= ord))"
-    return F.expr(f"if({group} = 0, 0, ({group} - 1) * width + size(filter(fine[{group} - 1], c -> c <= ord)))")
+def with_piece(points: DataFrame) -> DataFrame:
+    """Add ``piece``, the number of cuts up to the point: all of the groups before its own, and those inside it."""
+    grouped = points.withColumn("_group", F.expr("size(filter(coarse, c -> c <= ord)) - 1"))
+    inside = F.expr("if(_group < 0, 0, _group * width + size(filter(fine[_group], c -> c <= ord)))")
+    return grouped.withColumn("piece", inside).drop("_group")
 
 
 def _features_of_hot(points: DataFrame, hot: DataFrame, most: int) -> DataFrame:
+    spark = points.sparkSession
     cuts = materialize(cut_points(points, hot, most), "series-cuts")
-    bare = points.columns
-    cut = points.join(F.broadcast(cuts.drop("peak", "pieces")), _same_series()).select(*bare, _piece().alias("piece"))
-    pieces = cuts.agg(F.sum("pieces")).first()[0] or 1
-    placed = cut.repartition(int(min(pieces, MAX_PIECES)), *SERIES, "piece")
+    cut = with_piece(points.join(F.broadcast(cuts.drop("peak", "pieces")), _same_series()))
+    keys = [*SERIES, "piece"]
+    # Small pieces share partitions of the usual number; large ones have as many as they need.
+    rows = hot.agg(F.sum("n")).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * rows // max(most, HOT_ROWS)))
+    placed = cut.select(*points.columns, "piece").repartition(parts, *keys)
     # Joined after the exchange, which then moves the bare points only.
     placed = placed.join(F.broadcast(cuts.select("hot_entity", "hot_regime", "peak")), _same_series()).drop("hot_entity", "hot_regime")
-    placed = placed.sortWithinPartitions(*SERIES, "piece", "ord")
-    steps = segment_steps(mark_segments(placed), [*SERIES, "piece"])
+    placed = placed.sortWithinPartitions(*keys, "ord")
+    steps = segment_steps(mark_segments(placed), keys)
 
     per_piece = []
     for s in SEGMENTS:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterable, Sequence
 
@@ -36,6 +37,20 @@ def _numbers(values: Iterable[int]) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>")
 
 
+def _sizes(scored: DataFrame) -> dict[int, int]:
+    return {r["_bucket"]: r["count"] for r in scored.groupBy("_bucket").count().collect()}
+
+
+def _quantiles_inside(scored: DataFrame, score: str, large: dict[int, int], rows_per_task: int) -> set[float]:
+    """Quantiles of the rows of the buckets that hold too many."""
+    parts = max(-(-n // rows_per_task) for n in large.values())
+    fractions = [i / parts for i in range(1, parts)]
+    rows = scored.where(F.col("_bucket").isin(list(large))).groupBy("_bucket").agg(
+        F.percentile_approx(score, fractions, PERCENTILE_ACCURACY).alias("q")
+    )
+    return {x for r in rows.collect() for x in r["q"]}
+
+
 def global_rank(
     df: DataFrame,
     score: str,
@@ -47,42 +62,61 @@ def global_rank(
     """Rank of every row over the whole table; ties share the smallest rank.
 
     Quantiles of the score cut the table into value ranges; a row's rank is the
-    number of rows in better ranges plus its rank inside its own. The cut points
+    number of rows in better ranges plus its rank inside its own. Ranges that turn
+    out too large are cut again by quantiles of their own rows. Every range is a
+    partition of its own, and rows that tie over more than one are spread over as
+    many as they need, so no task has more than about twice ``rows_per_task``,
+    whatever the number of shuffle partitions is set to. The cut points
     are literals, so every pass and every recomputed task sees the same ranges.
-    Rows without a score get no rank. The table is passed over up to four times;
-    materialise the scores first when they are expensive.
+    Rows without a score get no rank. The table is passed over up to four times, once
+    more for ranges cut again; materialise the scores first when they are expensive.
     """
     df = df.withColumn(score, F.nanvl(F.col(score).cast("double"), F.lit(None).cast("double")) + F.lit(0.0))
     found = df.agg(F.count(F.lit(1)).alias("rows"), F.count(score).alias("scored")).first()
+    present = df.where(F.col(score).isNotNull())
     buckets = -(-found.scored // rows_per_task)
-    bounds = []
     if buckets > 1:
         fractions = [i / buckets for i in range(1, buckets)]
-        bounds = sorted(set(df.agg(F.percentile_approx(score, fractions, PERCENTILE_ACCURACY)).first()[0]))
-    splits = _splits(bounds)
-    single = [math.nextafter(a, math.inf) == b for a, b in zip(splits, splits[1:])]
-    scored = _bucketed(df.where(F.col(score).isNotNull()), score, splits)
-
-    offset, salt = F.lit(0), F.lit(0)
-    if splits:
-        sizes = {r["_bucket"]: r["count"] for r in scored.groupBy("_bucket").count().collect()}
-        order = sorted(sizes, reverse=not ascending)
-        offsets, better = [0] * len(single), 0
-        for b in order:
-            offsets[b], better = better, better + sizes[b]
-        offset = F.element_at(_numbers(offsets), F.col("_bucket") + 1)
-        # All rows of a single-valued bucket tie at its first rank, however they are spread.
-        largest = max((n for b, n in sizes.items() if single[b]), default=0)
-        spread = F.pmod(F.xxhash64(key), F.lit(max(1, -(-largest // rows_per_task))))
-        salt = F.when(F.element_at(_numbers(map(int, single)), F.col("_bucket") + 1) == 1, spread).otherwise(F.lit(0))
-    scored = scored.withColumn("_salt", salt.cast("long"))
-    inside = Window.partitionBy("_bucket", "_salt").orderBy(F.col(score).asc() if ascending else F.col(score).desc())
-    ranked = scored.withColumn(out, (offset + F.rank().over(inside)).cast("long")).drop("_bucket", "_salt")
+        bounds = set(df.agg(F.percentile_approx(score, fractions, PERCENTILE_ACCURACY)).first()[0])
+        while True:
+            splits = _splits(sorted(bounds))
+            single = [math.nextafter(a, math.inf) == b for a, b in zip(splits, splits[1:])]
+            scored = _bucketed(present, score, splits)
+            sizes = _sizes(scored) if splits else {}
+            large = {b: n for b, n in sizes.items() if not single[b] and n > 2 * rows_per_task}
+            more = _quantiles_inside(scored, score, large, rows_per_task) if large else set()
+            if more <= bounds:
+                break
+            bounds |= more
+        ranked = _ranked_by_range(scored, score, out, ascending, key, rows_per_task, sizes, single)
+    else:
+        order = Window.orderBy(F.col(score).asc() if ascending else F.col(score).desc())  # rows of one task
+        ranked = present.withColumn(out, F.rank().over(order).cast("long"))
     if found.rows == found.scored:
         return ranked
     return ranked.unionByName(df.where(F.col(score).isNull()).withColumn(out, F.lit(None).cast("long")))
 
 
+def _ranked_by_range(
+    scored: DataFrame, score: str, out: str, ascending: bool, key: str, rows_per_task: int, sizes: dict[int, int], single: Sequence[bool]
+) -> DataFrame:
+    n = max(len(single), 1)
+    offsets, better = [0] * n, 0
+    for b in sorted(sizes, reverse=not ascending):
+        offsets[b], better = better, better + sizes[b]
+    # All rows of a single-valued range tie at its first rank, however they are spread.
+    shares = [-(-sizes.get(b, 0) // rows_per_task) if b < len(single) and single[b] else 1 for b in range(n)]
+    shares = [max(1, s) for s in shares]
+    firsts = [sum_ - s for sum_, s in zip(itertools.accumulate(shares), shares)]
+    bucket = F.col("_bucket") + 1
+    spread = F.pmod(F.xxhash64(key), F.element_at(_numbers(shares), bucket))
+    placed = scored.withColumn("_task", (F.element_at(_numbers(firsts), bucket) + spread).cast("int"))
+    placed = placed.repartitionById(sum(shares), F.col("_task"))
+    inside = Window.partitionBy("_task").orderBy(F.col(score).asc() if ascending else F.col(score).desc())
+    rank = F.element_at(_numbers(offsets), bucket) + F.rank().over(inside)
+    return placed.withColumn(out, rank.cast("long")).drop("_bucket", "_task")
+
+
 def topk(df: DataFrame, rank: str, k: int, key: str = "entity") -> DataFrame:
     """The k best rows; ties at the cut go by key."""
     return df.where(F.col(rank).isNotNull()).orderBy(rank, key).limit(k)

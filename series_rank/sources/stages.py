@@ -33,7 +33,7 @@ def saved_lines(spark: SparkSession, path: str) -> list[dict]:
 
 
 def add_line(spark: SparkSession, path: str, line: Mapping) -> None:
-    spark.createDataFrame([(json.dumps(line, default=str),)], "value string").coalesce(1).write.mode("append").text(path)
+    spark.range(0, 1, 1, 1).select(F.lit(json.dumps(line, default=str)).alias("value")).write.mode("append").text(path)
 
 
 @dataclass(frozen=True)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from series_rank.config import FEATURES
 from series_rank.functions.arrays import array_features
+from series_rank.operators import points
 from series_rank.operators.points import as_points, series_features
 from tests.reference_numpy import features
 
@@ -86,14 +87,26 @@ def test_row_order_and_partitions_do_not_matter(spark, collection):
     check(series_features(points_table(spark, collection, seed=3).repartition(7), hot_rows=30), collection)
 
 
-def test_many_hot_series_take_the_unbroadcast_way(spark, collection, monkeypatch):
-    monkeypatch.setattr("series_rank.operators.points.MAX_BROADCAST_HOT", 2)
-    check(series_features(points_table(spark, collection), hot_rows=10), collection)
+@pytest.mark.parametrize("most", [2, 30])
+def test_pieces_grow_where_there_would_be_too_many(spark, collection, monkeypatch, most):
+    monkeypatch.setattr("series_rank.operators.points.MAX_PIECES", most)
+    table = points_table(spark, collection)
+    hot, least = points._hot_series(table, 10)
+    assert least > 10 and (points.cut_points(table, hot, least).agg({"pieces": "sum"}).first()[0] or 0) <= 2 * most
+    check(series_features(table, hot_rows=10), collection)
 
 
-@pytest.mark.parametrize("limit", [10_000, 0])
-def test_series_without_a_regime_is_kept_when_cut(spark, collection, monkeypatch, limit):
-    monkeypatch.setattr("series_rank.operators.points.MAX_BROADCAST_HOT", limit)
+def test_pieces_are_even_and_follow_the_order(spark, collection):
+    table = points_table(spark, {("long", "A"): collection[("long", "A")]})
+    cuts = points.cut_points(table, *points._hot_series(table, 50))
+    placed = points.with_piece(table.join(cuts.drop("peak"), points._same_series()))
+    found = placed.groupBy("piece").agg(F.count("ord").alias("n"), F.min("ord").alias("low"), F.max("ord").alias("high"))
+    rows = found.orderBy("piece").collect()
+    assert len(rows) == 28 and max(r.n for r in rows) <= 50 and sum(r.n for r in rows) == 700
+    assert all(a.high < b.low for a, b in zip(rows, rows[1:]))
+
+
+def test_series_without_a_regime_is_kept_when_cut(spark, collection):
     bare = points_table(spark, {("long", "A"): collection[("long", "A")]}).withColumn("regime", F.lit(None).cast("string"))
     row = series_features(bare, hot_rows=50).first()
     want = features(*(collection[("long", "A")][k] for k in "xydm"))
