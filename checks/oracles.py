@@ -515,6 +515,10 @@ FULL = CV_RANK.replace("WITH ", "WITH RECURSIVE ", 1) + FACTOR_RANK + CV_FACTOR_
   UNION ALL SELECT 2, 'cv-factor', entity FROM (SELECT * FROM r_cvf ORDER BY rank_cv_factor, entity LIMIT 5)), named AS (
   SELECT entity, string_agg(method, ', ' ORDER BY o) AS source_methods FROM nom GROUP BY entity), pool AS MATERIALIZED (
   SELECT * FROM feats JOIN named USING (entity))""" + weighted("pool", "w")
+ORACLES["saved_models"] = ORACLES["factor_count"]
+ORACLES["saved_scores"] = f"""{CV_RANK.replace("WITH ", "WITH RECURSIVE ", 1) + FACTOR_RANK + CV_FACTOR_RANK}
+SELECT entity, {fls('score_L', 'score_G', 'score_cv', 'score_cv_factor')}
+FROM r_factor JOIN r_cv USING (entity) JOIN r_cvf USING (entity)"""
 LANDED_SERIES = (
     f"""WITH pts AS MATERIALIZED (
   WITH {LANDED} SELECT entity, CASE regime WHEN '200000' THEN 'A' WHEN '500000' THEN 'N' ELSE 'R' END AS regime, pos, x, y, d, m,

@@ -32,7 +32,7 @@ from checks.bindings import (
 )
 from series_rank.config import FEATURES, Params, default_weights, feature_columns
 from series_rank.functions import arrays, stats, text
-from series_rank.operators import factor, gate, points, pool, rankers, ranking, wide
+from series_rank.operators import factor, gate, models, points, pool, rankers, ranking, wide
 from series_rank.operators.wide import split_tagged
 from series_rank.plans import pipeline
 from series_rank.plans.ingest import Landed
@@ -756,6 +756,28 @@ def final_summary(spark, sf_dir):
     )
 
 
+def _ranked_run(spark, sf_dir) -> str:
+    root = scratch_path(spark, "run")
+    pipeline.run(spark, root, PARAMS, series(spark, sf_dir), stages=pipeline.STAGES[:3])
+    return root
+
+
+@query
+def saved_models(spark, sf_dir):
+    """What the factors of a run explain, from the models it saved."""
+    found = models.explained(Stages(spark, _ranked_run(spark, sf_dir)).read("factor_models"))
+    return found.select(F.col("fit").alias("columns"), "above_one", "kept", *floats("explained"))
+
+
+@query
+def saved_scores(spark, sf_dir):
+    """Rows scored by the models that a run saved, which is how new rows get scores comparable with the old."""
+    root = _ranked_run(spark, sf_dir)
+    rows = split_tagged(Stages(spark, root).read("tagged"))[0]
+    found = pipeline.saved_scores(spark, root, rows)
+    return found.select("entity", *floats("score_L", "score_G", "score_cv", "score_cv_factor"))
+
+
 @query
 def topn_report(spark, sf_dir):
     _, nominators = _simple_rankings(spark, sf_dir)

@@ -11,14 +11,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from series_rank.config import Params
-from series_rank.functions.stats import ColumnStats, fit_scaled
-from series_rank.operators.factor import Moments, fit_factors, moments
+from series_rank.functions.stats import ColumnStats, ScaledModel, fit_scaled
+from series_rank.operators.factor import FactorModel, Moments, fit_factors, moments
 from series_rank.operators.ranking import global_rank
 from series_rank.operators.wide import complete_cases, direction_split
 from series_rank.session import materialize
@@ -29,6 +29,8 @@ class Fits:
 
     def __init__(self, features: DataFrame, params: Params) -> None:
         self.columns = params.columns
+        self.factors: dict[str, FactorModel] = {}  # what was fitted, by name
+        self.scaled: dict[str, ScaledModel] = {}
         self.cases = complete_cases(features.select("entity", *self.columns), self.columns)
 
     @cached_property
@@ -42,6 +44,7 @@ def rank_factor(features: DataFrame, params: Params, fits: Fits | None = None) -
     lower, higher = direction_split(fits.columns)
     low = fit_factors(fits.cases, lower, params.max_factors_lower, params.on_constant, fits.moments)
     high = fit_factors(fits.cases, higher, params.max_factors_higher, params.on_constant, fits.moments)
+    fits.factors |= {"lower": low, "higher": high}
     scored = materialize(
         fits.cases.select("entity", low.composite().alias("score_L"), high.composite().alias("score_G")), "factor-scores"
     )
@@ -58,9 +61,12 @@ def rank_by_variation(
     rank: str,
     on_constant: str = "error",
     ranges: Mapping[str, ColumnStats] | None = None,
+    keep: Callable[[ScaledModel], None] | None = None,
 ) -> DataFrame:
-    """Column shares after scaling and inversion, weighted by coefficient of variation."""
+    """Column shares after scaling and inversion, weighted by coefficient of variation. *keep* is given the model."""
     model = fit_scaled(df, columns, lower, on_constant, ranges)
+    if keep:
+        keep(model)
     scored = materialize(df.select("entity", model.score().alias(score)), score)
     return global_rank(scored, score, rank, ascending=False)
 
@@ -70,18 +76,21 @@ def rank_cv(features: DataFrame, params: Params, fits: Fits | None = None) -> Da
     lower, _ = direction_split(fits.columns)
     # Of the moments only the statistics are needed here, so alone this method asks for no more.
     known = fits.moments.stats if "moments" in fits.__dict__ else None
-    return rank_by_variation(fits.cases, fits.columns, lower, "score_cv", "rank_cv", params.on_constant, known)
+    keep = partial(fits.scaled.__setitem__, "cv")
+    return rank_by_variation(fits.cases, fits.columns, lower, "score_cv", "rank_cv", params.on_constant, known, keep)
 
 
 def rank_cv_factor(features: DataFrame, params: Params, fits: Fits | None = None) -> DataFrame:
     """Variation weighting of joint factor scores: first factor higher-better, the others lower-better."""
     fits = fits or Fits(features, params)
     model = fit_factors(fits.cases, fits.columns, params.max_factors_joint, params.on_constant, fits.moments)
+    fits.factors["joint"] = model
     scores = model.scores()
     # A few columns in place of many: the passes that follow read this narrower table.
     factors = materialize(fits.cases.select("entity", *(c.alias(n) for n, c in scores.items())), "joint-factors")
     names = list(scores)
-    return rank_by_variation(factors, names, names[1:], "score_cv_factor", "rank_cv_factor", params.on_constant)
+    keep = partial(fits.scaled.__setitem__, "cv_factor")
+    return rank_by_variation(factors, names, names[1:], "score_cv_factor", "rank_cv_factor", params.on_constant, keep=keep)
 
 
 @dataclass(frozen=True)

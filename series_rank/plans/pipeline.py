@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from series_rank.config import Params
+from series_rank.operators.models import factor_models, factor_table, scaled_models, scaled_table, score_rows
 from series_rank.operators.pool import candidate_pool, final_ranking, final_summary
 from series_rank.operators.ranking import sorted_by_rank
 from series_rank.operators.rankers import Fits, method
@@ -129,6 +130,10 @@ def run(
         elif "final" in stages:
             result.rankings[name] = earlier(f"rank_{name}", "rank")
     if "rank" in stages:
+        if fits.factors:
+            saved.write("factor_models", factor_table(spark, fits.factors))
+        if fits.scaled:
+            saved.write("scaled_models", scaled_table(spark, fits.scaled))
         saved.commit("rank", needs["rank"], ["tagged"])
 
     if "final" in stages:
@@ -148,6 +153,14 @@ def report(final: DataFrame) -> DataFrame:
     return sorted_by_rank(final.select("rank_final", "entity", "score_final", "source_methods"), "rank_final")
 
 
+def saved_scores(spark: SparkSession, root: str, features: DataFrame) -> DataFrame:
+    """Scores of any wide rows by the models that the run under *root* fitted."""
+    saved = Stages(spark, root)
+    factors = factor_models(saved.read("factor_models")) if saved.has("factor_models") else {}
+    scaled = scaled_models(saved.read("scaled_models")) if saved.has("scaled_models") else {}
+    return score_rows(features, factors, scaled)
+
+
 def stage_metrics(spark: SparkSession, root: str) -> DataFrame:
     """(stage, rows_in, kept, dropped) of the gate, completeness, attribute and range steps.
 

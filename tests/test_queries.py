@@ -7,7 +7,8 @@ from tests.conftest import MEDIUM, SMALL
 
 # These need more entities than features, which the smallest tables do not have.
 FACTORED = {"correlation_matrix", "factor_eigen", "factor_reconstruction", "factor_count", "factor_loadings",
-            "variance_table", "factor_scores", "rank_factor", "rank_cv_factor", "final_ranking", "final_summary"}
+            "variance_table", "factor_scores", "rank_factor", "rank_cv_factor", "final_ranking", "final_summary",
+            "saved_models", "saved_scores", "landed_to_summary"}
 
 
 @pytest.fixture(scope="module")
