@@ -2,7 +2,7 @@
 
 A tokenizer treats the pieces its pre-tokenizer cuts one by one, so a text may be
 cut at any place where it always cuts, and every distinct segment be encoded
-once: the misses of a batch go to the library together, the rest are look-ups.
+once, at its first request; the rest are look-ups.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from series_rank.llm.caches import family, only
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the cores belong to Spark's tasks
 
 CACHE_SEGMENTS = 300_000  # of a generation; there are two
+SEPARATE_SEGMENTS = 500_000  # the same where an encoder has one cache in place of two
 # White space other than the space and the line feed, and U+0000, the mark used below.
 _UNUSUAL = re.compile(
     r"[\x00\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]"
@@ -46,8 +47,9 @@ class Known(dict):
     anything else takes the tokenizer's whole way.
     """
 
-    def __init__(self, tokenizer, prefix: str = "") -> None:
+    def __init__(self, tokenizer, prefix: str = "", most: int = CACHE_SEGMENTS) -> None:
         super().__init__()
+        self.most = most
         tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.tokenizer, self.model, self.prefix = tokenizer, tokenizer.model, prefix
         self.normalize = tokenizer.normalizer.normalize_str if tokenizer.normalizer else str
@@ -57,7 +59,7 @@ class Known(dict):
         self.tails: dict[str, bytes] = {}
 
     def renew(self) -> None:
-        if len(self) > CACHE_SEGMENTS:
+        if len(self) > self.most:
             self.older, self.tails = dict(self), {}
             self.clear()
 
@@ -119,7 +121,7 @@ class SeparateEncoder:
     """For tokenizers that drop white space and case: words between ASCII white space, ASCII letters in lower case."""
 
     def __init__(self, tokenizer) -> None:
-        self.known = Known(tokenizer)
+        self.known = Known(tokenizer, most=SEPARATE_SEGMENTS)
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         self.known.renew()

@@ -10,7 +10,9 @@ documents skip the other blocks. The header names the dictionary by its hash; th
 dictionary lies beside the blocks.
 
 The dictionary is trained on the ids of at most SAMPLE_DOCS documents, the ones
-with the least hashes of their ids, and at most SAMPLE_IDS ids of each.
+with the least hashes of their ids, and at most SAMPLE_IDS ids of each, in runs
+spread evenly over a longer one. Where that is too little to train on, a warning
+says so and the documents are compressed without a dictionary.
 
 Defined results: a null text is an empty document with its end id alone; rows
 without a doc_id come first; rows with the same doc_id are kept each, by their
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import warnings
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -60,13 +63,22 @@ class Dictionary:
 
 
 def train(samples: list[bytes], size: int = DICTIONARY_BYTES) -> Dictionary:
-    """A dictionary of serialized id arrays; too few samples for one give the empty dictionary."""
+    """A dictionary of serialized id arrays; too few samples for one give the empty dictionary, and a warning."""
     try:
         return Dictionary(zstandard.train_dictionary(size, samples).as_bytes())
-    except zstandard.ZstdError:
+    except zstandard.ZstdError as error:
+        warnings.warn(f"no dictionary could be trained on {len(samples)} documents: {error}", stacklevel=2)
         return Dictionary(b"")
 
 
+def spread(ids: np.ndarray, most: int = SAMPLE_IDS, runs: int = 16) -> np.ndarray:
+    """At most that many ids, from runs at even distances."""
+    if len(ids) <= most:
+        return ids
+    starts = np.linspace(0, len(ids) - most // runs, runs).astype(np.int64)
+    return np.concatenate([ids[s : s + most // runs] for s in starts])
+
+
 @lru_cache(maxsize=2)
 def _codec(content: bytes) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
     shared = Dictionary(content).zstd()
@@ -116,7 +128,7 @@ def sample(docs: DataFrame, tokenizer: str, end_id: int, width: int, most: int =
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             made = _encode(batch.to_pylist(), tokenizer, end_id)
-            yield pa.array([a[:SAMPLE_IDS].astype(f"<u{width}").tobytes() for a in made], pa.binary())
+            yield pa.array([spread(a).astype(f"<u{width}").tobytes() for a in made], pa.binary())
 
     ids.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     texts = docs.select("doc_id", "text").join(F.broadcast(drawn.distinct()), "doc_id", "left_semi")  # at most *most* ids
