@@ -39,11 +39,12 @@ def std_around(c: Column, centre: Column) -> Column:
     return F.sqrt(F.try_divide(squares, F.size(c).cast("double")))
 
 
-def count_missing(*arrays: Column) -> Column:
-    total = F.lit(0)
-    for a in arrays:
-        total = total + F.coalesce(F.size(F.filter(a, lambda v: v.isNull())), F.lit(0))
-    return total
+def count_missing(*arrays: str) -> Column:
+    """Number of places at which a cell of any of the array columns is missing; arrays that are NULL have no places."""
+    somewhere = " or ".join(f"p.`{a}` is null" for a in arrays)
+    zipped = F.expr(f"transform(arrays_zip({', '.join(f'`{a}`' for a in arrays)}), p -> {somewhere})")
+    longest = F.expr(f"greatest({', '.join(f'coalesce(size(`{a}`), 0)' for a in arrays)}, 0)")
+    return F.when(zipped.isNull(), longest).otherwise(F.size(F.filter(zipped, lambda v: v)))
 
 
 def array_features(series: DataFrame) -> DataFrame:
@@ -57,7 +58,7 @@ def array_features(series: DataFrame) -> DataFrame:
     s = s.withColumns(
         {
             "n_points": F.coalesce(F.size("y"), F.lit(0)).cast("long"),
-            "n_bad": count_missing(F.col("x"), F.col("y"), F.col("d"), F.col("m")).cast("long"),
+            "n_bad": count_missing("x", "y", "d", "m").cast("long"),
             "_peak": first_argmax(F.col("y")).cast("int"),
         }
     )

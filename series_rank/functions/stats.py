@@ -18,7 +18,6 @@ import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.errors import PySparkException
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Row
@@ -69,12 +68,9 @@ def vector_summary(df: DataFrame, expressions: Sequence[str], metrics: Sequence[
     """Vector statistics of SQL expressions, NaN where a value is missing; None for a table without rows."""
     cells = ", ".join(f"coalesce(cast({e} as double), double('NaN'))" for e in expressions)
     vectors = df.select(array_to_vector(F.expr(f"array({cells})")).alias("v"))
-    try:
-        return vectors.select(Summarizer.metrics(*metrics).summary(F.col("v")).alias("s")).first()["s"]
-    except PySparkException:
-        if df.isEmpty():  # which a summary does not take
-            return None
-        raise
+    # Grouped by a constant, so that a table without rows, which a summary does not take, gives no group.
+    row = vectors.groupBy(F.lit(1)).agg(Summarizer.metrics(*metrics).summary(F.col("v")).alias("s")).first()
+    return row["s"] if row else None
 
 
 def column_stats(df: DataFrame, columns: Sequence[str]) -> dict[str, ColumnStats]:
