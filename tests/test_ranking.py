@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from series_rank.config import Params, named_weights
 from series_rank.functions import stats
@@ -31,8 +32,9 @@ def test_hot_value_is_spread_over_tasks(spark):
     df = spark.range(4000).selectExpr("id as entity", "if(id % 3 = 0, 1.0D, id * 0.001D) as score")
     ranked = ranking.global_rank(df, "score", "rank", rows_per_task=100)
     assert ranked.where("score = 1.0").select("rank").distinct().count() == 1
-    plan = ranked._jdf.queryExecution().optimizedPlan().toString()
-    assert "_salt" in plan
+    # 1,334 rows tie; no task has more than about twice as many rows as asked for.
+    sizes = ranked.where("score = 1.0").groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) > 10 and max(r["count"] for r in sizes) <= 200
 
 
 def test_topk_breaks_ties_by_entity(spark):
