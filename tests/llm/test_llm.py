@@ -297,3 +297,25 @@ def test_pipeline_runs_on_odd_rows(spark, docs, empty):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, name):
     assert difference(QUERIES[name](spark, SMALL).toPandas(), connect(SMALL).execute(ORACLES[name]).fetchdf()) is None
+
+
+def test_dictionary_samples_are_spread_and_failures_are_told():
+    ids = np.arange(100_000, dtype="<u4")
+    drawn = token_files.spread(ids)
+    assert len(drawn) == token_files.SAMPLE_IDS and drawn[0] == 0 and drawn[-1] == ids[-1]
+    assert len(np.unique(drawn // 10_000)) == 10 and token_files.spread(ids[:5]) is not None
+    with pytest.warns(UserWarning, match="no dictionary"):
+        assert token_files.train([b"ab"]).content == b""
+
+
+def test_more_words_than_the_cache_holds():
+    path = P.path("word_bpe_49k.json")
+    whole = Tokenizer.from_file(path)
+    small = encoder(path, drops_space=True)
+    small.known.most = 50
+    rng = np.random.default_rng(8)
+    texts = [" ".join("".join(rng.choice(list("abéL1."), 5)) for _ in range(120)) for _ in range(6)]
+    for _ in range(2):
+        for text in texts:
+            assert np.frombuffer(small.encode([text])[0], "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+    small.known.most = 500_000
