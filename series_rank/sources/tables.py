@@ -96,11 +96,12 @@ def append_batch(rows: DataFrame, worked: DataFrame, root: str, batch: str, into
     spark = rows.sparkSession
     into = generation(spark, root) if into is None else into
     attempts = _all_attempts(spark, root)
-    last = attempts.agg(F.max("seq")).first()[0] or 0
-    before = attempts.where((F.col("generation") == into) & (_batch_name() == batch))
+    own = (F.col("generation") == into) & (_batch_name() == batch)
+    before = attempts.where(own)
+    found = attempts.agg(F.max("seq").alias("last"), F.count_if(own).alias("own")).first()
+    last, retried = found["last"] or 0, found["own"] > 0
     worked = worked.select(F.col("entity").cast("string").alias("entity")).distinct()
     rows = rows.drop("seq")
-    retried = not before.isEmpty()
     if retried:
         rows = _not_published(rows, before)
     elif worked.isEmpty():
