@@ -9,40 +9,38 @@ reads UTF-8, so that characters split over tokens come back.
 
 Defined results: a null text is an empty one; repeated rows give repeated rows;
 other columns pass through, except those named like the new ones, which the new
-ones replace. Decoding unknown ids raises.
+ones replace. Ids without bytes, null ones included, raise; a null list decodes to no bytes.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from series_rank.llm.segments import encoder, ranks_of, slices
+from series_rank.llm.segments import encoder, ranks_of
+
+
+SLICE_CHARS = 1 << 22  # of texts whose tokens are placed together; a longer text is placed by itself
 
 
 @lru_cache(maxsize=4)
-def byte_table(path: str) -> list[bytes]:
-    """The bytes of every id."""
+def byte_table(path: str) -> pa.Array:
+    """The bytes of every id, null where there is none."""
     ranks = ranks_of(path)
-    table = [b""] * (max(ranks.values()) + 1)
+    table: list[bytes | None] = [None] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         table[rank] = token
-    return table
+    return pa.array(table, pa.binary())
 
 
 @lru_cache(maxsize=4)
-def decimal_table(path: str) -> list[str]:
-    return [str(i) for i in range(len(byte_table(path)))]
-
-
-def decode_bytes(ids: list[int], path: str) -> bytes:
-    return b"".join(map(byte_table(path).__getitem__, ids))
+def byte_lengths(path: str) -> np.ndarray:
+    return np.array([len(t or b"") for t in byte_table(path).to_pylist()], np.int64)
 
 
 def offsets(text: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,60 +53,80 @@ def offsets(text: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return chars[starts] - inside, chars[ends]
 
 
+def token_lists(texts: list[str | None], model, lengths: np.ndarray | None) -> dict[str, pa.Array]:
+    """Ids of the texts, one list each, and with *lengths* the starts and ends of the tokens in characters."""
+    raw = model.encode(texts)
+    ids = np.frombuffer(b"".join(raw), "<u4")
+    bounds = np.cumsum([0, *(len(r) // 4 for r in raw)])
+    made = {"ids": ids}
+    if lengths is not None:
+        starts, ends = offsets("".join(t or "" for t in texts).encode(), lengths[ids])
+        begun = np.repeat(np.cumsum([0, *(len(t or "") for t in texts)])[:-1], np.diff(bounds))
+        made |= {"starts": starts - begun, "ends": ends - begun}
+    cuts = pa.array(bounds, pa.int32())
+    return {n: pa.ListArray.from_arrays(cuts, pa.array(x.astype(np.int32))) for n, x in made.items()}
+
+
+def runs(texts: list[str | None], most: int = SLICE_CHARS) -> Iterator[list[str | None]]:
+    """Neighbouring texts, up to *most* characters at a time."""
+    some, size = [], 0
+    for text in texts:
+        if some and size + len(text or "") > most:
+            yield some
+            some, size = [], 0
+        some.append(text)
+        size += len(text or "")
+    if some:
+        yield some
+
+
 def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text", with_offsets: bool = False) -> DataFrame:
     """*docs* with ids (array of int) and, if asked for, the starts and ends of the tokens in characters."""
+    names = ["ids", "starts", "ends"] if with_offsets else ["ids"]
+    kind = pa.struct([(n, pa.list_(pa.int32())) for n in names])
 
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = encoder(path, pattern)
-        sizes = np.array([len(t) for t in byte_table(path)], np.int64)
+        lengths = byte_lengths(path) if with_offsets else None
         for batch in batches:
-            out = []
-            for some in slices(batch.to_pylist()):
-                for t, raw in zip(some, model.encode(some)):
-                    ids = np.frombuffer(raw, "<u4")
-                    row = {"ids": ids}
-                    if with_offsets:
-                        row["starts"], row["ends"] = offsets((t or "").encode(), sizes[ids])
-                    out.append(row)
-            yield pa.array(out, kind)
+            made = [token_lists(some, model, lengths) for some in runs(batch.to_pylist())]
+            yield pa.concat_arrays(
+                [pa.StructArray.from_arrays([m[n] for n in names], names) for m in made] or [pa.array([], kind)]
+            )
 
-    names = ["ids", "starts", "ends"] if with_offsets else ["ids"]
-    kind = pa.struct([(n, pa.list_(pa.int32())) for n in names])
     made = F.arrow_udf(_typed(encode), "struct<" + ",".join(f"{n}: array<int>" for n in names) + ">")
-    rows = docs.withColumn("_tokens", made(F.col(text).cast("string")))
-    return rows.withColumns({n: F.col(f"_tokens.{n}") for n in names}).drop("_tokens")
+    return _with_fields(docs, made(F.col(text).cast("string")), names)
 
 
 def decoded(rows: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """*rows* with the bytes of their ids; cast them to string for the text."""
 
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        table = byte_table(path)
         for batch in batches:
-            yield pa.array([decode_bytes(i or [], path) for i in batch.to_pylist()], pa.binary())
+            yield decoded_lists(batch, table)
 
     return rows.withColumn(into, F.arrow_udf(_typed(decode), "binary")(F.col(ids)))
 
 
-def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encodes, decodes the ids, keeps no ids."""
-
-    def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model, words = encoder(path, pattern), decimal_table(path)
-        for batch in batches:
-            out = []
-            for some in slices(batch.to_pylist()):
-                for raw in model.encode(some):
-                    ids = np.frombuffer(raw, "<u4").tolist()
-                    named = hashlib.sha256(" ".join(map(words.__getitem__, ids)).encode()).hexdigest()
-                    out.append((len(ids), named, hashlib.sha256(decode_bytes(ids, path)).hexdigest()))
-            n, named, back = zip(*out) if out else ((), (), ())
-            yield pa.StructArray.from_arrays(
-                [pa.array(n, pa.int64()), pa.array(named, pa.string()), pa.array(back, pa.string())], names
-            )
-
-    names = ["n_tokens", "ids_sha256", "decoded_sha256"]
-    made = F.arrow_udf(_typed(digest), "struct<n_tokens: bigint, ids_sha256: string, decoded_sha256: string>")
-    return docs.select("doc_id", made(F.col("text").cast("string")).alias("d")).select("doc_id", "d.*")
+def decoded_lists(lists: pa.ListArray, table: pa.Array) -> pa.Array:
+    """The joined bytes of each list's ids, which lie behind one another once all tokens are taken."""
+    counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    tokens = table.take(lists.flatten())
+    if tokens.null_count:
+        raise ValueError("an id without bytes")
+    if not len(tokens):
+        return pa.array([b""] * len(lists), pa.binary())
+    places = np.frombuffer(tokens.buffers()[1], np.int32)[tokens.offset : tokens.offset + len(tokens) + 1]
+    bounds = places[np.concatenate(([0], np.cumsum(counts)))]
+    return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(bounds), tokens.buffers()[2]])
+
+
+def _with_fields(docs: DataFrame, made: Column, names: list[str]) -> DataFrame:
+    """*docs* and the fields of a struct, in place of columns of their names."""
+    old = [c for c in docs.columns if c.lower() not in names]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in old)).alias("row"), made.alias("made"))
+    return rows.select(*(F.col(f"row.`{c}`") for c in old), *(F.col(f"made.{n}") for n in names))
 
 
 def _typed(f):

@@ -55,7 +55,17 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return byte_bpe.digests(documents(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", _pattern())
+    """The digests of the contract, and from the offsets the characters covered and the tokens that start inside one."""
+    path = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    rows = byte_bpe.decoded(byte_bpe.encoded(docs, path, _pattern(), with_offsets=True), path)
+    shared = F.filter(F.zip_with("starts", F.concat(F.array(F.lit(0)), "ends"), lambda a, end: a < end), lambda x: x)
+    return rows.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.coalesce(F.array_max("ends"), F.lit(0)).cast("long").alias("n_covered"),
+        F.size(shared).cast("long").alias("n_inside"),
+    )
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
