@@ -11,12 +11,15 @@ characters, so its size is fixed; an ordinary string leaves the pairs learnt wit
 fixed probability, so that pairs not seen do not weigh more the larger the corpus is.
 
 A candidate is what the base spans leave of a run of LEAST_LENGTH characters or more:
-the spans are cut out of it, and each rest of that length is scored by itself.
+the spans are blanked out, and each run of that length in what is left is scored by itself.
 
 Places come from cutting a text at a pattern: a match starts behind the pieces and
-matches before it.
+matches before it. Sums over what is before are built in blocks, strings are cut into
+characters once, and pieces of a text are taken from chunks of it, so that the work on a
+text grows with its length and its number of spans, not with their squares.
 
-Defined results: a null text is an empty one; repeated rows are scanned each; an
+Defined results: a null text is an empty one; a text of any length is scanned whole, a run
+of any length scored whole; repeated rows are scanned each; an
 empty table gives an empty table; a corpus without labelled samples gives a ratio
 of 0, which finds nothing; one of a few hundred words finds little beyond the base
 patterns. Other columns take no part in the scan and pass
@@ -26,6 +29,7 @@ through the redaction unchanged.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,31 +55,91 @@ LEAST_RATIO = 12.0  # natural logarithm
 SAMPLE_ROWS = 20_000  # bound of the rows whose digests are labelled random
 MASK = "[SECRET]"
 
+BLOCK = 64  # numbers summed up one by one; blocks of them are summed up as wholes
+CHUNK = 4096  # characters
+
 SPAN = "struct<start: int, kind: int, stop: int>"
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """*body* of a value that is computed once, also where the body uses it for each element of an array."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _before(numbers: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """For each number the join of those before it (0 for the first), in blocks; joins are sums or maxima."""
+
+    def by_one(some: Column) -> Column:
+        none = F.array().cast("array<int>")
+        return F.aggregate(
+            some,
+            F.struct(F.lit(0).alias("at"), none.alias("done")),
+            lambda s, x: F.struct(join(s["at"], x).alias("at"), F.concat(s["done"], F.array(s["at"])).alias("done")),
+            lambda s: s["done"],
+        )
+
+    def by_block(all_: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(all_) - 1, F.lit(BLOCK))
+        return _bound(F.transform(at, lambda i: F.slice(all_, i + 1, F.lit(BLOCK))), joined)
+
+    def joined(blocks: Column) -> Column:
+        leads = by_one(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), join)))
+        return F.flatten(F.zip_with(blocks, leads, lambda b, lead: F.transform(by_one(b), lambda x: join(x, lead))))
+
+    return _bound(numbers, lambda n: F.when(F.size(n) <= BLOCK, by_one(n)).otherwise(by_block(n)))
+
+
+def _sum(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def _later(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
 def _matches(text: Column, pattern: str, group: int = 0) -> Column:
     """(start, stop, value) of the matches, in code points; value is the group."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.transform(F.split(text, pattern, -1), F.length)
-    lengths = F.transform(whole, F.length)
     values = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    step = F.zip_with(F.slice(pieces, 1, F.size(lengths)), lengths, lambda p, n: F.struct(p.alias("p"), n.alias("n")))
-    empty = F.array().cast("array<struct<start: int, stop: int>>")
-    spans = F.aggregate(
-        step,
-        F.struct(F.lit(0).alias("at"), empty.alias("done")),
-        lambda s, x: F.struct(
-            (s["at"] + x["p"] + x["n"]).alias("at"),
-            F.concat(
-                s["done"], F.array(F.struct((s["at"] + x["p"]).alias("start"), (s["at"] + x["p"] + x["n"]).alias("stop")))
-            ).alias("done"),
-        ),
-        lambda s: s["done"],
+    lengths = F.transform(whole, F.length)
+    steps = F.zip_with(
+        F.slice(pieces, 1, F.size(lengths)), lengths, lambda p, n: F.struct(p.alias("p"), n.alias("n"))
     )
-    found = F.zip_with(spans, values, lambda s, v: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), v.alias("value")))
+
+    def placed(steps: Column) -> Column:
+        spans = F.zip_with(
+            _before(F.transform(steps, lambda s: s["p"] + s["n"]), _sum), steps,
+            lambda at, s: F.struct((at + s["p"]).alias("start"), (at + s["p"] + s["n"]).alias("stop")),
+        )
+        return F.zip_with(
+            spans, values, lambda s, v: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), v.alias("value"))
+        )
+
     none = F.array().cast("array<struct<start: int, stop: int, value: string>>")
-    return F.when(text.rlike(pattern), found).otherwise(none)
+    return F.when(text.rlike(pattern), _bound(steps, placed)).otherwise(none)
+
+
+def _without(text: Column, spans: Column, filled: Callable[[Column, Column, Column], Column]) -> Column:
+    """The text with *filled* in the place of each span; it gets start, stop and where the spans before have ended."""
+    chunks = F.when(F.length(text) <= CHUNK, F.array(text)).otherwise(
+        F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    )
+
+    def piece(chunks: Column, start: Column, stop: Column) -> Column:
+        first = F.floor(start / CHUNK).cast("int")
+        touched = F.array_join(F.slice(chunks, first + 1, F.floor((stop - 1) / CHUNK).cast("int") - first + 1), "")
+        return F.when(stop > start, F.substr(touched, start - first * CHUNK + 1, stop - start)).otherwise("")
+
+    def joined(chunks: Column) -> Column:
+        ends = _before(F.transform(spans, lambda x: x["stop"]), _later)
+        kept = F.zip_with(
+            spans, ends, lambda x, end: F.concat(piece(chunks, end, x["start"]), filled(x["start"], x["stop"], end))
+        )
+        last = F.array_max(F.transform(spans, lambda x: x["stop"]))
+        return F.concat(F.array_join(kept, ""), piece(chunks, last, F.length(text)))
+
+    return F.when(F.size(spans) == 0, text).otherwise(_bound(chunks, joined))
 
 
 def _spans(found: Column, kind: int) -> Column:
@@ -89,40 +153,13 @@ def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
         "_assign": F.filter(_matches(t, ASSIGN, 2), lambda m: F.length(m["value"]) >= ASSIGN_VALUE),
         "_access": _matches(t, ACCESS),
         "_hex": _matches(t, HEX),
-        "_candidates": _matches(t, CANDIDATE),
     })
     base = F.concat(*(_spans(F.col(f"_{k}"), i) for i, k in enumerate(KINDS[:3])))
     values = F.concat(*(F.transform(F.col(f"_{k}"), lambda m: m["value"]) for k in KINDS[:3]))
     rows = rows.withColumns({"_base": F.array_sort(base), "_values": values})
-    outside = F.flatten(F.transform("_candidates", _rests))
-    return rows.withColumn("_candidates", outside).drop("_assign", "_access", "_hex")
-
-
-def _rests(candidate: Column) -> Column:
-    """What the spans of _base, sorted by start, leave of a candidate, in pieces of the least length or more."""
-    touching = F.filter("_base", lambda b: (b["start"] < candidate["stop"]) & (candidate["start"] < b["stop"]))
-    ends = F.transform(touching, lambda b: F.struct(b["start"].alias("start"), b["stop"].alias("stop")))
-    last = F.array(F.struct(candidate["stop"].alias("start"), candidate["stop"].alias("stop")))
-    none = F.array().cast("array<struct<start: int, stop: int>>")
-    pieces = F.aggregate(
-        F.concat(ends, last),
-        F.struct(candidate["start"].alias("at"), none.alias("done")),
-        lambda s, b: F.struct(
-            F.greatest(s["at"], b["stop"]).alias("at"),
-            F.when(
-                b["start"] - s["at"] >= LEAST_LENGTH,
-                F.concat(s["done"], F.array(F.struct(s["at"].alias("start"), b["start"].alias("stop")))),
-            ).otherwise(s["done"]).alias("done"),
-        ),
-        lambda s: s["done"],
-    )
-    return F.transform(
-        pieces,
-        lambda p: F.struct(
-            p["start"].alias("start"), p["stop"].alias("stop"),
-            F.substr(candidate["value"], p["start"] - candidate["start"] + 1, p["stop"] - p["start"]).alias("value"),
-        ),
-    )
+    blank = _without(t, F.col("_base"), lambda a, b, end: F.repeat(F.lit(" "), F.greatest(b - F.greatest(a, end), F.lit(0))))
+    rows = rows.withColumn("_blank", blank)
+    return rows.withColumn("_candidates", _matches(F.col("_blank"), CANDIDATE)).drop("_assign", "_access", "_hex", "_blank")
 
 
 def _mixed(value: Column) -> Column:
@@ -150,11 +187,10 @@ def pair_counts(
     made = F.coalesce(made, F.array().cast("array<string>"))
     random = scan.select(F.explode(F.concat(F.filter("_values", _mixed), made)).alias("v"))
     rows = random.withColumn("random", F.lit(True)).unionByName(identifiers.withColumn("random", F.lit(False)))
-    pair = F.transform(
-        F.sequence(F.lit(1), F.length("v")),
-        lambda i: F.struct(
-            F.when(i > 1, F.substr(F.col("v"), i - 1, F.lit(1))).otherwise("").alias("a"),
-            F.substr(F.col("v"), i, F.lit(1)).alias("b"),
+    pair = _bound(
+        F.split("v", ""),
+        lambda v: F.zip_with(
+            F.slice(F.concat(F.array(F.lit("")), v), 1, F.size(v)), v, lambda a, b: F.struct(a.alias("a"), b.alias("b"))
         ),
     )
     pairs = rows.where(F.length("v") > 0).select("random", F.explode(pair).alias("p"))
@@ -179,16 +215,13 @@ def log_ratios(counts: DataFrame) -> list[float]:
 def ratio(value: Column, ratios: list[float]) -> Column:
     """Log-likelihood ratio of a string being random."""
     table = F.split(F.lit(",".join(f"{x:.6f}" for x in ratios)), ",").cast("array<double>")
-    led = F.concat(F.lit("~"), value)  # outside the alphabet: the start
+    start = F.array(F.lit(0))
 
-    def state(i: Column) -> Column:
-        return F.instr(F.lit(ALPHABET), F.substr(led, i, F.lit(1)))
+    def summed(states: Column) -> Column:
+        steps = F.zip_with(F.slice(F.concat(start, states), 1, F.size(states)), states, lambda a, b: a * STATES + b + 1)
+        return F.aggregate(steps, F.lit(0.0), lambda s, i: s + F.element_at(table, i))
 
-    return F.aggregate(
-        F.sequence(F.lit(1), F.length(value)),
-        F.lit(0.0),
-        lambda s, i: s + F.element_at(table, state(i) * STATES + state(i + 1) + 1),
-    )
+    return _bound(F.transform(F.split(value, ""), lambda c: F.instr(F.lit(ALPHABET), c)), summed)
 
 
 def all_spans(ratios: list[float], least: float = LEAST_RATIO) -> Column:
@@ -225,20 +258,7 @@ def redacted(docs: DataFrame, mask: str = MASK) -> DataFrame:
     scan = materialize(scanned(rows.drop("_row"), "_text").drop("_text"), "scan")
     spans = all_spans(learn(scan, ordinary(rows, "_text"), doc_id="_id"))
     out = scanned(rows, "_text").withColumn("_spans", spans)
-    text = F.col("_text")
-    masked = F.aggregate(
-        "_spans",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda s, x: F.struct(
-            F.greatest(s["at"], x["stop"]).alias("at"),
-            F.when(
-                x["start"] >= s["at"],
-                F.concat(s["out"], F.substr(text, s["at"] + 1, x["start"] - s["at"]), F.lit(mask)),
-            ).otherwise(s["out"]).alias("out"),
-        ),
-        lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1)),
-    )
-    clean = F.when(F.size("_spans") > 0, masked).otherwise(text)
+    clean = _without(F.col("_text"), F.col("_spans"), lambda a, b, end: F.when(a >= end, F.lit(mask)).otherwise(""))
     return out.select(*(
         clean.alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns
     ))
