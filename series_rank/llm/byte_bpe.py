@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from series_rank.llm.segments import encoder, ranks_of
 
 
-SLICE_CHARS = 1 << 22  # of texts whose tokens are placed together; a longer text is placed by itself
+SLICE_CHARS = 1 << 20  # of texts whose tokens are placed together; a longer text is placed by itself
 
 
 @lru_cache(maxsize=4)
@@ -80,21 +80,31 @@ def runs(texts: list[str | None], most: int = SLICE_CHARS) -> Iterator[list[str
         yield some
 
 
-def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text", with_offsets: bool = False) -> DataFrame:
-    """*docs* with ids (array of int) and, if asked for, the starts and ends of the tokens in characters."""
-    names = ["ids", "starts", "ends"] if with_offsets else ["ids"]
-    kind = pa.struct([(n, pa.list_(pa.int32())) for n in names])
+def encoded(
+    docs: DataFrame, path: str, pattern: str, text: str = "text", with_offsets: bool = False, with_decoded: bool = False
+) -> DataFrame:
+    """*docs* with ids (array of int) and, if asked for, the starts and ends of the tokens in
+    characters and the bytes that the ids decode to, made in the same Python worker."""
+    kinds = {"ids": "array<int>"}
+    if with_offsets:
+        kinds |= {"starts": "array<int>", "ends": "array<int>"}
+    if with_decoded:
+        kinds["decoded"] = "binary"
+    names = list(kinds)
 
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = encoder(path, pattern)
+        model, table = encoder(path, pattern), byte_table(path)
         lengths = byte_lengths(path) if with_offsets else None
         for batch in batches:
-            made = [token_lists(some, model, lengths) for some in runs(batch.to_pylist())]
-            yield pa.concat_arrays(
-                [pa.StructArray.from_arrays([m[n] for n in names], names) for m in made] or [pa.array([], kind)]
-            )
-
-    made = F.arrow_udf(_typed(encode), "struct<" + ",".join(f"{n}: array<int>" for n in names) + ">")
+            made = []
+            for some in runs(batch.to_pylist() or [None]):
+                lists = token_lists(some, model, lengths)
+                if with_decoded:
+                    lists["decoded"] = decoded_lists(lists["ids"], table)
+                made.append(pa.StructArray.from_arrays([lists[n] for n in names], names))
+            yield pa.concat_arrays(made)[: len(batch)]
+
+    made = F.arrow_udf(_typed(encode), "struct<" + ",".join(f"{n}: {k}" for n, k in kinds.items()) + ">")
     return _with_fields(docs, made(F.col(text).cast("string")), names)
 
 

@@ -58,7 +58,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The digests of the contract, and from the offsets the characters covered and the tokens that start inside one."""
     path = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    rows = byte_bpe.decoded(byte_bpe.encoded(docs, path, _pattern(), with_offsets=True), path)
+    rows = byte_bpe.encoded(docs, path, _pattern(), with_offsets=True, with_decoded=True)
     shared = F.filter(F.zip_with("starts", F.concat(F.array(F.lit(0)), "ends"), lambda a, end: a < end), lambda x: x)
     return rows.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
