@@ -96,13 +96,11 @@ def encoded(
         model, table = encoder(path, pattern), byte_table(path)
         lengths = byte_lengths(path) if with_offsets else None
         for batch in batches:
-            made = []
-            for some in runs(batch.to_pylist() or [None]):
+            for some in runs(batch.to_pylist()):
                 lists = token_lists(some, model, lengths)
                 if with_decoded:
                     lists["decoded"] = decoded_lists(lists["ids"], table)
-                made.append(pa.StructArray.from_arrays([lists[n] for n in names], names))
-            yield pa.concat_arrays(made)[: len(batch)]
+                yield pa.StructArray.from_arrays([lists[n] for n in names], names)
 
     made = F.arrow_udf(_typed(encode), "struct<" + ",".join(f"{n}: {k}" for n, k in kinds.items()) + ">")
     return _with_fields(docs, made(F.col(text).cast("string")), names)
