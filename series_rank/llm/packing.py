@@ -17,7 +17,7 @@ shorter than the capacity.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,44 +36,59 @@ Pattern = tuple[list[int], int]
 
 
 class Sums:
-    """Available lengths with indexes of the sums of one, two and three of them.
+    """Available lengths with indexes of the combinations of two and three by their sums.
 
-    The pair index holds sums that were possible at the start; availability is
-    checked when a sum is looked up. Sums of three are a length and a pair.
+    pairs[s] lists the longer lengths of the pairs that add up to s, triples[s] the
+    longest lengths of the triples, each ascending; the rest of a triple is a pair.
+    There are at most about capacity**2 / 4 pairs and 0.7 * capacity**2 entries of
+    triples. What is used up never comes back, so used-up entries leave at the end
+    where they are looked up, once each.
     """
 
     def __init__(self, counts: dict[int, int], capacity: int) -> None:
-        self.left = np.zeros(capacity + 1, np.int64)
+        self.left = [0] * (capacity + 1)
         for length, n in counts.items():
             self.left[length] = n
-        have = np.flatnonzero(self.left)
-        self.pairs = np.zeros(capacity + 1, bool)
+        have = [x for x in range(1, capacity + 1) if self.left[x]]
+        self.pairs: list[list[int]] = [[] for _ in range(capacity + 1)]
         for a in have:
-            self.pairs[(a + have)[a + have <= capacity]] = True
-
-    def single(self, gap: int) -> list[int] | None:
-        return [gap] if self.left[gap] else None
-
-    def pair(self, gap: int) -> list[int] | None:
-        if gap < 2 or not self.pairs[gap]:
-            return None
-        a = np.arange(gap // 2, gap)  # the longer one; the shorter is gap - a
-        a = a[a >= gap - a]
-        ok = (self.left[a] > 0) & (self.left[gap - a] > 0) & ((a != gap - a) | (self.left[a] > 1))
-        return [int(x := a[ok][-1]), gap - int(x)] if ok.any() else None
-
-    def triple(self, gap: int) -> list[int] | None:
-        for a in np.flatnonzero(self.left[: max(0, gap - 1)])[::-1]:
-            a = int(a)
-            self.left[a] -= 1
-            rest = self.pair(gap - a)
-            self.left[a] += 1
-            if rest:
+            for b in have[: bisect_right(have, min(a, capacity - a))]:
+                self.pairs[a + b].append(a)
+        self.triples: list[list[int]] = [[] for _ in range(capacity + 1)]
+        sums = [s for s in range(2, capacity + 1) if self.pairs[s]]
+        for a in have:
+            for rest in sums[: bisect_right(sums, min(2 * a, capacity - a))]:
+                self.triples[a + rest].append(a)
+
+    def fit(self, lengths: list[int]) -> bool:
+        return all(self.left[x] >= lengths.count(x) for x in lengths)
+
+    def live_pairs(self, total: int) -> list[int]:
+        some = self.pairs[total]
+        while some and not self.fit([some[-1], total - some[-1]]):
+            some.pop()
+        return some
+
+    def pair(self, gap: int, held: list[int]) -> list[int] | None:
+        for a in reversed(self.live_pairs(gap)):
+            if self.fit([*held, a, gap - a]):
+                return [a, gap - a]
+        return None
+
+    def triple(self, gap: int, held: list[int]) -> list[int] | None:
+        some = self.triples[gap]
+        while some and not (self.left[some[-1]] and self.live_pairs(gap - some[-1])):
+            some.pop()
+        for a in reversed(some):
+            if self.fit([*held, a]) and (rest := self.pair(gap - a, [*held, a])):
                 return [a, *rest]
         return None
 
-    def filling(self, gap: int) -> list[int] | None:
-        return self.single(gap) or self.pair(gap) or self.triple(gap)
+    def filling(self, gap: int, held: list[int]) -> list[int] | None:
+        """One, two or three available lengths beside *held* that add up to *gap*."""
+        if self.fit([*held, gap]):
+            return [gap]
+        return self.pair(gap, held) or self.triple(gap, held)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
@@ -82,20 +97,18 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
     out: list[Pattern] = []
     rest: list[tuple[int, int]] = []
     for length in sorted(counts, reverse=True):
-        while n := int(sums.left[length]):
+        while n := sums.left[length]:
             if length == capacity:
                 out.append(([length], n))
                 sums.left[length] = 0
                 continue
-            sums.left[length] -= 1  # the piece whose gap is filled
-            others = sums.filling(capacity - length)
+            others = sums.filling(capacity - length, [length])
             if others is None:
                 sums.left[length] = 0
                 rest.append((length, n))
                 continue
             need = Counter([length, *others])
-            sums.left[length] += 1
-            times = min(int(sums.left[x]) // k for x, k in need.items())
+            times = min(sums.left[x] // k for x, k in need.items())
             for x, k in need.items():
                 sums.left[x] -= k * times
             out.append(([length, *others], times))
@@ -184,12 +197,13 @@ def pieces(
 
 
 def assigned(table: DataFrame, capacity: int = CAPACITY, rows_per_ranking: int = ROWS_PER_RANKING) -> DataFrame:
-    """*table* (with doc_id, piece, start and length) with sequence_id and offset; it is read three times."""
+    """*table* (with doc_id, piece, start, length and _deal) with sequence_id and offset in place of _deal; it is read
+    three times. _deal is a random number saved with the row, so that equal rows are ranked in different tasks too."""
     histogram = {r["length"]: r["n"] for r in table.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     where, _ = places(plan(histogram, capacity))
     salts = max(1, max(histogram.values(), default=0) // rows_per_ranking + 1) if histogram else 1
     salts = max(salts, 8)
-    salted = table.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    salted = table.withColumn("_salt", F.pmod("_deal", F.lit(salts)).cast("int"))
     sizes = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(
         F.sum("_n").over(
@@ -215,12 +229,13 @@ def assigned(table: DataFrame, capacity: int = CAPACITY, rows_per_ranking: int =
     place.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
     made = F.arrow_udf(place, "struct<sequence_id: bigint, offset: bigint>")
     out = ranked.withColumn("_place", made(F.col("length"), F.col("_base") + F.col("_rank")))
-    return out.select(*table.columns, "_place.sequence_id", "_place.offset")
+    return out.select(*(c for c in table.columns if c != "_deal"), "_place.sequence_id", "_place.offset")
 
 
 def pack(
     docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = False
 ) -> DataFrame:
     """Every piece with its place; the texts are tokenized once, into the shared folder."""
-    table = materialize(pieces(docs, tokenizer, end_id, capacity, with_ids), "pieces")
+    dealt = pieces(docs, tokenizer, end_id, capacity, with_ids).withColumn("_deal", (F.rand(17) * (1 << 31)).cast("int"))
+    table = materialize(dealt, "pieces")
     return assigned(table, capacity)
