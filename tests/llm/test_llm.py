@@ -354,6 +354,32 @@ def test_top_k_of_odd_rows(spark, docs):
     assert sorted(first) == sorted(2 * [(1, 1, s), (2, 8, s), (3, 0, 128 * 128 + 256 * 256)])
 
 
+@pytest.mark.parametrize("bound_bytes", [topk.BOUND_BYTES, 600, 100])
+def test_top_k_equals_brute_force(spark, monkeypatch, bound_bytes):
+    """Clustered vectors of several lengths and sizes; bounds for each shard, for runs of shards, and none."""
+    monkeypatch.setattr(topk, "BOUND_BYTES", bound_bytes)
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(3_000):
+        dim = 3 if i % 10 else 5
+        center = rng.normal(size=(7, 5))[(i // 430) % 7] * (1 + i // 430)
+        v = np.round(center[:dim] + rng.normal(size=dim) * 0.2, 3) * (1e9 if i % 500 == 7 else 1)
+        rows.append((i, v.tolist()))
+    rows += [(100, rows[100][1])] * 300 + [(9_000, [])]
+    got = collections.defaultdict(list)
+    made = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=4)
+    for r in made.orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    x = [[int(np.floor(256 * c)) for c in v] for _, v in rows]
+    for q in range(0, 3_000, 50):
+        scores = [
+            (-sum(a * b for a, b in zip(x[q], x[j])), rows[j][0]) for j in range(len(rows)) if j != q and len(x[j]) == len(x[q])
+        ]
+        best = [(n + 1, i, -s) for n, (s, i) in enumerate(sorted(scores)[:4])]
+        assert sorted(got[q]) == sorted(best * (301 if q == 100 else 1))
+    assert 9_000 not in got
+
+
 def test_pipeline_runs_on_odd_rows(spark, docs, empty):
     for table in (docs, empty):
         rows = table
