@@ -389,6 +389,72 @@ def test_pipeline_runs_on_odd_rows(spark, docs, empty):
         corpus_pipeline.STAGES[-1][1](spark, rows, SMALL).count()
 
 
+def test_pipeline_run_equals_brute_force(spark, docs, tmp_path, monkeypatch):
+    """run() on planted bad texts, copies, passages and a secret, each stage judged on its own input."""
+    rng = np.random.default_rng(12)
+    texts = spark.read.parquet(f"{SMALL}/documents.parquet").select("text").toPandas().text.dropna()
+    known = sorted({w for t in texts for w in t.split() if w.isascii() and w.islower() and w.isalpha() and 3 <= len(w) <= 9})
+
+    def some(n):
+        return [w.upper() if c else w for w, c in zip(rng.choice(known, n).tolist(), rng.random(n) < 0.05)]
+
+    passage, clean = some(60), [some(int(rng.integers(100, 140))) for _ in range(40)]
+    near = [*clean[1][:50], "changed", *clean[1][51:]]
+    rows = [" ".join(t) for t in [*clean, clean[0], clean[0], near]]
+    rows += [" ".join([*some(60), *passage, *some(40)]) for _ in range(2)]
+    hidden = "Zk9+q2LmX0/vT7hRb3Wn8dQe5YcU1aJs"
+    rows += [" ".join([*some(50), "password:", hidden, *some(50)]), "too few words", " ".join(some(6) * 20)]
+    columns = [(i, t, "en", "a", len(t)) for i, t in enumerate(rows)]
+    spark.createDataFrame(columns, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(
+        f"{tmp_path}/documents.parquet"
+    )
+    saved, save = {}, corpus_pipeline.materialize
+    monkeypatch.setattr(corpus_pipeline, "materialize", lambda df, name: saved.setdefault(name, save(df, name)))
+    packed = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    text = {n: {r.doc_id: r.text for r in t.collect()} for n, t in saved.items()}
+    assert all(r.n_chars == len(r.text) for t in saved.values() for r in t.collect())
+
+    good = text["quality_rules"]
+    assert good == {i: rows[i] for i in range(len(rows) - 2)}
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    sets, one = {i: shingles(t) for i, t in good.items()}, text["near_duplicates"]
+    alike = {i: {j for j in sets if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])} for i in sets}
+    assert {frozenset(v) for v in alike.values() if len(v) > 1} == {frozenset({0, 40, 41}), frozenset({1, 42})}
+    assert all(len(v & one.keys()) == 1 for v in alike.values()) and all(good[i] == t for i, t in one.items())
+
+    windows = collections.Counter(tuple(w[i : i + 35]) for t in one.values() for w in [t.split()] for i in range(len(w) - 34))
+    assert text["repeated_passages"].keys() == one.keys()
+    for i, t in one.items():
+        w = t.split()
+        gone = {k for j in range(len(w) - 34) if windows[tuple(w[j : j + 35])] > 1 for k in range(j, j + 35)}
+        assert len(gone) == (60 if i in (43, 44) else 0)
+        assert text["repeated_passages"][i].split() == [x for k, x in enumerate(w) if k not in gone]
+
+    masked = text["masked_secrets"]
+    assert hidden not in masked[45] and masked[45].split()[:50] == rows[45].split()[:50]
+    assert {i: t for i, t in masked.items() if i != 45} == {i: t for i, t in text["repeated_passages"].items() if i != 45}
+
+    whole = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    lengths = {i: len(whole.encode(t, add_special_tokens=False).ids) + 1 for i, t in masked.items()}
+    assert packed.groupby("doc_id").length.sum().to_dict() == lengths
+    assert packed.groupby("sequence_id").length.sum().max() <= 2048
+    assert packed.sequence_id.nunique() == -(-sum(lengths.values()) // 2048)
+
+
+def test_toxicity_held_out(spark, docs):
+    """A model of one half of the labels, on the other half."""
+    table, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    model = toxicity.learn(table, labels.where("doc_id % 2 = 0"))
+    other = labels.where("doc_id % 2 = 1 and toxic is not null").withColumnRenamed("toxic", "label")
+    both = toxicity.scored(table, model).join(other, "doc_id").toPandas()
+    found, false = (both.toxic & (both.label == 1)).sum(), (both.toxic & (both.label == 0)).sum()
+    assert found > 0.8 * (both.label == 1).sum() and false < 0.01 * (both.label == 0).sum()
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, name):
     assert difference(QUERIES[name](spark, SMALL).toPandas(), connect(SMALL).execute(ORACLES[name]).fetchdf()) is None
