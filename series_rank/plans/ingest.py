@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from series_rank.functions.arrays import array_features
 from series_rank.functions.text import LINK_KEY, PAGE_METRICS, SeriesFormat, extract_key, page_links, parse_series
+from series_rank.session import materialize
 from series_rank.sources import tables
 from series_rank.sources.landing import FILE_NAME, attributes_of_pages, enumerate_series, file_index, landed_files, worklist
 from series_rank.sources.stages import Stages
@@ -66,12 +67,15 @@ def fill_store(
     spark: SparkSession, root: str, landed: Landed, regimes: Sequence[str], mode: str = "auto", batch: str | None = None
 ) -> DataFrame:
     """Bring the store under *root* up to date in the given mode and return its series rows."""
-    store, work = f"{root}/{STORE}", landed.work()
+    store = f"{root}/{STORE}"
+    # Saved once: every part asks for them again.
+    work = materialize(landed.work(), "work")
     if mode == "auto":
         mode = tables.chosen_mode(work, store)
     if mode == "reuse":
         return tables.saved_series(spark, store)
     index = file_index(spark, landed.files, landed.name_pattern).where(F.col("regime").isin(list(regimes)))
+    index = materialize(index.select("entity", "path"), "index")
 
     def rows_of(todo: DataFrame) -> DataFrame:
         named = index.join(todo, "entity", "left_semi").select("path")
