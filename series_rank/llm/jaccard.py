@@ -3,12 +3,15 @@
 1. Every text gets a MinHash signature over its word n-grams, cut into bands whose
    number and rows are the cheapest that find a pair at the threshold with the
    target recall. Exact copies count as one representative with a weight.
-2. Representatives meet by band hash. Buckets of the same members are one bucket.
+2. Representatives meet by band hash. Band hashes are first counted alone, and only
+   the entries of those that may repeat are moved. Buckets of the same members are
+   one bucket.
 3. Components of the bucket graph are candidates. A component that fits one task
    has all its pairs verified there, so every set moves once. A larger one, which
    chance links can make of any size, is verified bucket by bucket; a bucket too
    large for a task is cut into blocks, and pairs of blocks are tasks. A pair that
-   shares several bands counts in the first of them.
+   shares several bands counts in the first of them. One text of each candidate meets
+   its component before its n-grams are made, so sets move to their tasks only.
 4. Pairs are counted where they are verified and never listed: a task gives each
    member its number of links and one edge to the least member it reaches. These
    edges, at most one a member and task, make the classes.
@@ -113,9 +116,12 @@ def _key(text: str):
 
 
 def buckets(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entries (bucket, band, key, n) and the buckets (bucket, band, members, n) of two members or
-    more, one for each set of members: the one of the first band."""
-    entries = reps.select("key", "n", F.posexplode("bands").alias("band", "bucket"))
+    """Entries (key, id, weight, n, band, bucket) of buckets that may have two members, and the buckets
+    (bucket, band, members, n) of two members or more, one for each set of members: the one of the first band."""
+    met = reps.select(F.explode("bands").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("times"))
+    again = Sieve.of(met.where("times > 1"), "bucket")
+    entries = reps.select("key", "id", "weight", "n", F.posexplode("bands").alias("band", "bucket"))
+    entries = materialize(entries.where(again.may_hold(F.col("bucket"))), "entries")
     sizes = entries.groupBy("bucket").agg(
         F.min("band").alias("band"), F.count(F.lit(1)).alias("members"), F.sum("n").alias("n"),
         F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"),
@@ -225,7 +231,7 @@ def _verified_blocks(entries: DataFrame, threshold: float) -> DataFrame:
 
 
 def _gram_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(key, grams) of the wanted representatives, from one row of each."""
+    """(key, root, weight, fits, grams) of the wanted representatives."""
 
     def gather(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         only("words")
@@ -234,11 +240,10 @@ def _gram_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
     gather.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     rows = docs.select("doc_id", "text", _key("text").alias("key"))
-    rows = rows.where(Sieve.of(wanted, "key").may_hold(F.col("key")))  # so that few texts are moved
-    w = wanted.select(F.col("key").alias("_key"), F.col("id").alias("_id"))
-    own = rows.join(w, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    sets = own.select("key", F.arrow_udf(gather, "binary")(F.col("text").cast("binary")).alias("grams"))
-    return sets.groupBy("key").agg(F.min("grams").alias("grams"))  # rows that repeat a whole representative
+    rows = rows.where(Sieve.of(wanted, "key", "id").may_hold(F.col("key"), F.col("doc_id")))  # so that few texts are moved
+    texts = rows.groupBy("key").agg(F.any_value("text").alias("text"))  # rows that repeat a whole representative
+    own = texts.join(wanted.select("key", "root", "weight", "fits"), "key")
+    return own.select("key", "root", "weight", "fits", F.arrow_udf(gather, "binary")(F.col("text").cast("binary")).alias("grams"))
 
 
 def classes(
@@ -258,7 +263,8 @@ def classes(
     members = materialize(entries.drop("band").join(kept.select("bucket", "band", "members", F.col("n").alias("total")), "bucket"), "members")
     star = members.groupBy("bucket").agg(F.min("key").alias("b"))
     near = components(members.join(star, "bucket").select(F.col("key").alias("a"), "b"))
-    wanted = near.select(F.col("node").alias("key"), "root").join(reps, "key")
+    each = members.groupBy("key").agg(*(F.any_value(c).alias(c) for c in ("id", "weight", "n")))
+    wanted = near.select(F.col("node").alias("key"), "root").join(each, "key")
     sizes = wanted.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"))
     fits = (F.col("size") <= task_members) & (F.col("total") <= task_ngrams)
     wanted = materialize(wanted.join(sizes.select("root", fits.alias("fits")), "root"), "candidates")
@@ -266,11 +272,10 @@ def classes(
 
     load = wanted.agg(F.sum("n").alias("n"), F.count_if(~F.col("fits")).alias("large")).first()
     cells = max(16, -(-(load["n"] or 0) // task_ngrams) * 4)
-    small = wanted.where("fits").select("key", "root", "weight").join(sets, "key")
-    small = small.withColumn("cell", F.pmod(F.xxhash64("root"), F.lit(cells)))
+    small = sets.where("fits").drop("fits").withColumn("cell", F.pmod(F.xxhash64("root"), F.lit(cells)))
     found = _verified(small, threshold)
     if load["large"]:
-        found = found.unionByName(_large(wanted, members, sets, threshold, task_members, task_ngrams))
+        found = found.unionByName(_large(reps, members, sets.where("not fits"), threshold, task_members, task_ngrams))
     found = materialize(found, "links")
 
     labelled = reps.select("key", "id", "weight").join(found, "key", "left").select(
@@ -286,10 +291,10 @@ def classes(
     )
 
 
-def _large(wanted: DataFrame, members: DataFrame, sets: DataFrame, threshold: float, most: int, most_ngrams: int) -> DataFrame:
-    """(key, root, links) of the representatives in components beyond one task."""
-    large = wanted.where(~F.col("fits")).select("key", "weight", "bands")
-    rows = members.drop("n").join(large, "key").join(sets, "key")
+def _large(reps: DataFrame, members: DataFrame, sets: DataFrame, threshold: float, most: int, most_ngrams: int) -> DataFrame:
+    """(key, root, links) of the representatives in components beyond one task, by their sets."""
+    bands = reps.where(Sieve.of(sets, "key").may_hold(F.col("key"))).select("key", "bands")
+    rows = members.select("bucket", "key", "band", "members", "total").join(sets.select("key", "weight", "grams"), "key").join(bands, "key")
     blocks = F.greatest(F.ceil(F.col("members") / most), F.ceil(F.col("total") / most_ngrams)).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

@@ -24,8 +24,8 @@ class Sieve:
     bits: bytes
 
     @classmethod
-    def of(cls, keys: DataFrame, key: str) -> Sieve:
-        place = F.pmod(F.xxhash64(key), F.lit(BITS))
+    def of(cls, keys: DataFrame, *key: str) -> Sieve:
+        place = F.pmod(F.xxhash64(*key), F.lit(BITS))
         pages = keys.select(F.floor(place / PAGE).alias("page"), (place % PAGE).alias("bit")).groupBy("page").agg(
             F.bitmap_construct_agg("bit").alias("bits")
         )
@@ -34,7 +34,7 @@ class Sieve:
             out[r["page"] * PAGE // 8 : (r["page"] + 1) * PAGE // 8] = bytes(r["bits"])
         return cls(bytes(out))
 
-    def may_hold(self, key: Column) -> Column:
+    def may_hold(self, *key: Column) -> Column:
         held = self.bits
 
         def test(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -44,4 +44,4 @@ class Sieve:
                 yield pa.array(table[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1)
 
         test.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-        return F.arrow_udf(test, "boolean")(F.pmod(F.xxhash64(key), F.lit(BITS)))
+        return F.arrow_udf(test, "boolean")(F.pmod(F.xxhash64(*key), F.lit(BITS)))
